@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash
+from . import html, packing, simhash
 from .common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of all documents."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -19,6 +24,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op10_simhash": op10_simhash}
+QUERIES = {"op1_html": op1_html, "op2_packing": op2_packing, "op10_simhash": op10_simhash}
 #: None of the ten can be stated in SQL that DuckDB runs over whole tables in reasonable time; tests hold them to brute force.
 ORACLES: dict[str, str] = {}
