@@ -9,16 +9,18 @@ that a third of all rows share is never ranked in one task) and looks its sequen
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import lowered, slices, span_hashes, utf8, word_spans, written
 
 CAPACITY = 4096
 END_ID = 2
@@ -29,44 +31,87 @@ RANKED = 100_000
 class WordTokenizer:
     """Token ids of texts as little-endian 32-bit bytes, by a tokenizer that never joins across ASCII white space.
 
-    Words are looked up in a table of words seen by this worker, which is emptied when full; unseen words go to the
-    tokenizer in one batch. Lower-casing A-Z first is safe as the tokenizer itself lower-cases.
+    Words are looked up in a table of the first MOST words seen by this worker (the frequent ones come early); others
+    are encoded as they come. Plain words (Latin letters, then ASCII punctuation but the apostrophe) are two runs to the
+    pre-tokenizer, so their letters are encoded together in one text and told apart by the end-of-word tokens. Lower-
+    casing A-Z first is safe as the tokenizer itself lower-cases.
     """
 
-    MOST = 500_000
+    MOST = 1_000_000
+    PLAIN = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        self.seen.update((w, struct.pack(f"<{len(x)}I", *x)) for w, e in zip(words, found, strict=True) for x in (e.ids,))
-
-    @staticmethod
-    def _plain(word: bytes) -> bool:
-        """Whether a final . or , follows a plain letter or digit, so that it is a run of its own."""
-        return word[-1] in b".," and word[-2:-1].isalnum()
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        split = [(t if "<|" in t else t.encode().lower()) if t else b"" for t in texts]
-        split = [(t.encode() if isinstance(t, str) else t).split() for t in split]
-        seen = self.seen
-        new = set().union(*split) - seen.keys()
-        if new:
-            if len(seen) + len(new) > self.MOST:
-                seen.clear()
-                new = set().union(*split)
-            marked = [w for w in new if self._plain(w)]
-            rest = new.difference(marked)
-            rest.update(w[:-1] for w in marked)
-            rest.update((b".", b","))
-            self._encode([w for w in rest if w not in seen])
-            seen.update((w, seen[w[:-1]] + seen[w[-1:]]) for w in marked)
-        get = seen.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _runs(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of strings that are one run of the pre-tokenizer each."""
+        if not runs:
+            return {}
+        texts = [" ".join(runs[k : k + 400]) for k in range(0, len(runs), 400)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+        at = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(at) != len(runs):
+            raise ValueError("the tokenizer does not end each run with an end-of-word token")
+        raw, at = ids.tobytes(), at.tolist()
+        return {r: raw[i:j] for r, i, j in zip(runs, [0, *at], at, strict=False)}
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, other, parts = [], [], set()
+        for w in words:
+            text = w.decode()
+            m = self.PLAIN.fullmatch(text)
+            if m:
+                plain.append((w, m[1], m[2]))
+                parts.add(m[1])
+                parts.add(m[2])
+            else:
+                other.append((w, text))
+        parts.discard("")
+        ids = self._runs(list(parts))
+        ids[""] = b""
+        out = {w: ids[x] + ids[y] for w, x, y in plain}
+        found = self.tokenizer.encode_batch([t for _, t in other], add_special_tokens=False)
+        out.update((w, struct.pack(f"<{len(x)}I", *x)) for (w, _), e in zip(other, found, strict=True) for x in (e.ids,))
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, and the offsets of each text's. Words of a column are told apart by 64-bit hash."""
+        data, offsets = utf8(column)
+        if b"<|" not in data.tobytes():  # the tokenizer's special tokens are matched before lower-casing
+            data = lowered(data)
+        s, e, text = word_spans(data, offsets)
+        first, which = _distinct(span_hashes(data, s, e))
+        raw = data.tobytes()
+        words = [raw[i:j] for i, j in zip(s[first].tolist(), e[first].tolist(), strict=True)]
+        found = list(map(self.seen.get, words))
+        more = self._new([w for w, i in zip(words, found, strict=True) if i is None])
+        if len(self.seen) + len(more) <= self.MOST:
+            self.seen.update(more)
+        found = [more[w] if i is None else i for w, i in zip(words, found, strict=True)]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        each = size[which]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(start[which] - (ends - each), each) + np.arange(total)]
+        return ids, np.r_[0, np.cumsum(np.bincount(text, weights=each, minlength=len(column)))].astype(np.int64)
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one of each distinct value, and for each value the number of that one."""
+    order = np.argsort(h)
+    by = h[order]
+    new = np.r_[True, by[1:] != by[:-1]] if len(h) else np.zeros(0, bool)
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -84,19 +129,19 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     tokenizer: path of a tokenizers JSON file whose pre-tokenizer splits at white space and which lower-cases.
     Null text is empty text: one piece that holds end_id alone.
     """
-    end = struct.pack("<I", end_id)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
+    last = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _tokenizer(tokenizer)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
+            ids, offsets = words.encode(b.column("text"))
             rows: list[list] = [[] for _ in names]
-            for d, got in zip(b.column("doc_id").to_pylist(), words.encode(t or "" for t in b.column("text").to_pylist()), strict=True):
-                ids = got + end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    cut = ids[4 * start : 4 * (start + capacity)]
-                    for to, v in zip(rows, (d, start, len(cut) // 4, zlib.crc32(cut), n, np.frombuffer(cut, "<i4") if keep_ids else None), strict=False):
+            for k, d in enumerate(b.column("doc_id").to_pylist()):
+                own = np.concatenate([ids[offsets[k] : offsets[k + 1]], last])
+                for start in range(0, len(own), capacity):
+                    cut = own[start : start + capacity]
+                    for to, v in zip(rows, (d, start, len(cut), zlib.crc32(cut), len(own), cut), strict=False):
                         to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows[:5]] + [pa.array(r, pa.list_(pa.int32())) for r in rows[5:]], names)
 
