@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, packing, simhash, urls
+from . import html, linededup, packing, simhash, urls
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that earlier ones hold."""
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages' URLs."""
     return urls.judge(table(spark, sf_dir, "pages"))
@@ -29,6 +34,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html": op1_html, "op2_packing": op2_packing, "op7_urls": op7_urls, "op10_simhash": op10_simhash}
+QUERIES = {"op1_html": op1_html, "op2_packing": op2_packing, "op5_linededup": op5_linededup, "op7_urls": op7_urls, "op10_simhash": op10_simhash}
 #: None of the ten can be stated in SQL that DuckDB runs over whole tables in reasonable time; tests hold them to brute force.
 ORACLES: dict[str, str] = {}

@@ -113,7 +113,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW: dict[str, np.ndarray] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash's base and of its inverse, modulo 2**64."""
     if "p" not in _POW or len(_POW["p"]) < n:
         size = max(n, 1 << 20)
         _POW["p"], _POW["i"] = _powers(_STEP, size), _powers(pow(_STEP, -1, 1 << 64), size)
@@ -129,7 +130,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans, equal for equal bytes: differences of one running polynomial sum."""
-    p, inverse = _tables(len(data) + 1)
+    p, inverse = tables(len(data) + 1)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * p[: len(data)], out=run[1:])
     return mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
