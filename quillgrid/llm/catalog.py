@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, linededup, packing, simhash, urls
+from . import decontam, html, langid, linededup, packing, simhash, urls
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages' URLs."""
     return urls.judge(table(spark, sf_dir, "pages"))
@@ -39,6 +44,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html": op1_html, "op2_packing": op2_packing, "op5_linededup": op5_linededup, "op7_urls": op7_urls, "op8_decontam": op8_decontam, "op10_simhash": op10_simhash}
+QUERIES = {"op1_html": op1_html, "op2_packing": op2_packing, "op5_linededup": op5_linededup, "op6_langid": op6_langid, "op7_urls": op7_urls, "op8_decontam": op8_decontam, "op10_simhash": op10_simhash}
 #: None of the ten can be stated in SQL that DuckDB runs over whole tables in reasonable time; tests hold them to brute force.
 ORACLES: dict[str, str] = {}
