@@ -22,6 +22,8 @@ from .common import mix, partitions, slices, span_hashes, tables, utf8, word_spa
 MIN_WORDS = 20
 #: A line of over LONG words is also cut after words whose hash is a multiple of CUT.
 LONG, CUT = 32, 16
+#: A sentence of fewer words is no line of its own.
+SHORT = 4
 _NEWLINE, _END = ord("\n"), np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 _LETTER = np.zeros(256, bool)
@@ -31,21 +33,28 @@ _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Words and lines of concatenated texts: word starts, ends, hashes; first and last word of each line; its text.
 
-    A line ends at a newline, at a text's end, and after a word whose last letter or digit is followed by one of . ! ?;
-    lines of over LONG words also end after words whose hash is a multiple of CUT.
+    A line ends at a newline, at a text's end, and after a word whose last letter or digit is followed by one of . ! ?
+    (a sentence of under SHORT words goes with the next); lines of over LONG words also end after words whose hash is a
+    multiple of CUT. All of this depends on the words nearby alone, so equal passages are cut alike.
     """
     s, e, text = word_spans(data, offsets)
     if not len(s):
         z = np.zeros(0, np.int64)
         return s, e, z.astype(np.uint64), z, z, z
     h = span_hashes(data, s, e)
-    at = np.arange(len(data))
-    stop = np.maximum.accumulate(np.where(_END[data], at, -1))[e - 1]
-    letter = np.maximum.accumulate(np.where(_LETTER[data], at, -1))[e - 1]
     newlines = np.cumsum(data == _NEWLINE)
-    last = (stop >= s) & (stop > letter)
-    last[-1] = True
-    last[:-1] |= (text[1:] != text[:-1]) | (newlines[s[1:]] != newlines[e[:-1] - 1])
+    hard = np.ones(len(s), bool)
+    hard[:-1] = (text[1:] != text[:-1]) | (newlines[s[1:]] != newlines[e[:-1] - 1])
+    last = hard.copy()
+    at, p = np.arange(len(s)), e - 1  # words whose bytes after p are no letters
+    while len(at):
+        byte = data[p]
+        last[at] |= _END[byte]
+        on = ~_LETTER[byte] & ~_END[byte] & (p > s[at])
+        at, p = at[on], p[on] - 1
+    ends = np.flatnonzero(last)
+    size = np.diff(np.r_[-1, ends])
+    last[ends[(size < SHORT) & ~hard[ends]]] = False
     ends = np.flatnonzero(last)
     size = np.diff(np.r_[-1, ends])
     last |= np.repeat(size > LONG, size) & (h % np.uint64(CUT) == 0)
@@ -71,10 +80,10 @@ def runs(first: np.ndarray, last: np.ndarray, text: np.ndarray, min_words: int)
 
 
 def run_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(run, doc_id, text_hash, first, last, lo, hi) of all runs of docs (doc_id, text, text_hash).
+    """(run, doc_id, text_hash, span) of all runs of docs (doc_id, text, text_hash).
 
-    run: hash of the run's words. first, last: its lines within the text; lo, hi: its bytes, hi being where the next
-    word starts (or the text ends).
+    run: hash of the run's words. span: the bytes lo << 32 | hi of the text, hi being where the next word starts (or the
+    text ends).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,13 +100,11 @@ def run_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             own = text[i]
             start, end = offsets[own], offsets[own + 1]
             following = np.r_[s, len(data)][w1]
-            base = np.searchsorted(text, own, "left")
+            span = (s[w0] - start << 32) | (np.minimum(following, end) - start)
             take = pa.array(own)
-            cols = [pa.array(key.view(np.int64)), b.column("doc_id").take(take), b.column("text_hash").take(take)]
-            cols += [pa.array(x.astype(np.int32)) for x in (i - base, j - base, s[w0] - start, np.minimum(following, end) - start)]
-            yield pa.RecordBatch.from_arrays(cols, ["run", "doc_id", "text_hash", "first", "last", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("doc_id").take(take), b.column("text_hash").take(take), pa.array(span)], ["run", "doc_id", "text_hash", "span"])
 
-    return docs.mapInArrow(run, "run long, doc_id long, text_hash long, first int, last int, lo int, hi int")
+    return docs.mapInArrow(run, "run long, doc_id long, text_hash int, span long")
 
 
 def patience(ours: list[tuple[int, int]]) -> list[int]:
@@ -116,27 +123,29 @@ def patience(ours: list[tuple[int, int]]) -> list[int]:
     return out[::-1]
 
 
-def align(shared: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """Common blocks (first line here, first line there, bytes lo, hi) of a pair, from its shared runs.
+def align(shared: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Common blocks (lo, hi, lo there) in bytes of a pair of documents, from its shared runs (lo, hi, lo there, run).
 
-    shared: (first here, first there, run, lo, hi). Runs that are unique on both sides are aligned as in patience diff;
-    those that are left over are aligned again until none is.
+    Runs that are unique on both sides are aligned as in patience diff, and those that touch or overlap are one block;
+    what is left over (moved or repeated blocks) is aligned again until nothing is.
     """
     found, left = [], sorted(shared)
     while left:
         here: dict[int, int] = {}
         for k, x in enumerate(left):
-            here.setdefault(x[2], k)  # its first place that isn't aligned yet
+            here.setdefault(x[3], k)  # its first place that isn't aligned yet
         once = sorted(here.values())
-        chosen = patience([(left[k][0], left[k][1]) for k in once])
-        for k in chosen:
-            at, there, _, lo, hi = left[once[k]]
-            if found and found[-1][3] >= lo >= found[-1][2] and at - found[-1][0] == there - found[-1][1]:
-                found[-1] = (*found[-1][:3], max(hi, found[-1][3]))
+        chosen = {once[k] for k in patience([(left[k][0], left[k][2]) for k in once])}
+        block = None
+        for k in sorted(chosen):
+            lo, hi, there, _ = left[k]
+            if block and lo <= block[1]:
+                block = (block[0], max(hi, block[1]), block[2])
             else:
-                found.append((at, there, lo, hi))
-        gone = {once[k] for k in chosen}
-        left = [x for k, x in enumerate(left) if k not in gone]
+                found += [block] if block else []
+                block = (lo, hi, there)
+        found.append(block)
+        left = [x for k, x in enumerate(left) if k not in chosen]
     return found
 
 
@@ -147,8 +156,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks: list[dict] = []
 
     def close_pair() -> None:
-        for at, there, lo, hi in align(shared):
-            blocks.append({"earlier_id": pair, "line": at, "earlier_line": there, "lo": lo, "hi": hi})
+        blocks.extend({"earlier_id": pair, "lo": lo, "hi": hi, "earlier_lo": there} for lo, hi, there in align(shared))
         shared.clear()
 
     def close() -> None:
@@ -164,8 +172,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flushed() -> pa.RecordBatch:
         span = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
-        block = pa.struct([("earlier_id", pa.int64()), ("line", pa.int32()), ("earlier_line", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-        kinds = (pa.int64(), pa.int64(), pa.list_(span), pa.int32(), pa.list_(block))
+        block = pa.struct([("earlier_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("earlier_lo", pa.int32())])
+        kinds = (pa.int64(), pa.int32(), pa.list_(span), pa.int32(), pa.list_(block))
         done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["_id", "_hash", "_keep", "_tail", "blocks"])
         for c in out:
             c.clear()
@@ -173,7 +181,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         cols = [c.to_pylist() for c in b.columns]
-        for d, t, a, run, at, there, lo, hi in zip(*cols, strict=True):
+        for d, t, a, run, span, there in zip(*cols, strict=True):
             if (d, t) != key:
                 if key is not None:
                     close()
@@ -181,7 +189,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif a != pair:
                 close_pair()
                 pair = a
-            shared.append((at, there, run, lo, hi))
+            shared.append((span >> 32, span & 0xFFFFFFFF, there >> 32, run))
         if len(out[0]) > 2000:
             yield flushed()
     if key is not None:
@@ -193,23 +201,23 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     """docs with the passages deleted from text that an earlier document (lower doc_id) also holds; plus `blocks`.
 
     A passage is a run of consecutive lines of at least min_words words in all. Its earliest document keeps it. White
-    space between words does not matter. blocks: array of (earlier_id, line, earlier_line, lo, hi), bytes lo up to hi of
+    space between words does not matter. blocks: array of (earlier_id, lo, hi, earlier_lo), bytes lo up to hi of
     the old text; null where nothing was deleted. Rows stay as they are if text or doc_id is null, if text is empty or
     short, and rows of one doc_id are not compared with each other. A text that is deleted entirely becomes empty. All
     columns are kept; one named blocks is replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash")).filter("doc_id is not null and text is not null")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.hash(F.col(text).cast("string")).alias("text_hash")).filter("doc_id is not null and text is not null")
     found = written(run_table(slim, min_words), "runs")
-    at = F.struct("doc_id", "first")
-    held = found.groupBy("run").agg(F.min(at).alias("_from"), F.max("doc_id").alias("_last")).filter("_last > _from.doc_id").select("run", "_from")
-    shared = found.join(held, "run").filter("doc_id > _from.doc_id")
-    shared = shared.select("doc_id", "text_hash", F.col("_from.doc_id").alias("earlier"), "run", "first", F.col("_from.first").alias("there"), "lo", "hi").distinct()
-    shared = shared.repartition(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "earlier", "first")
-    block = "struct<earlier_id:long,line:int,earlier_line:int,lo:int,hi:int>"
-    cut = shared.mapInArrow(_blocks, f"_id long, _hash long, _keep array<struct<lo:int,hi:int>>, _tail int, blocks array<{block}>")
+    held = found.groupBy("run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("_last")).filter("_last > earlier").select("run", "earlier")
+    repeated = written(found.join(held.hint("shuffle_hash"), "run"), "repeated")
+    there = repeated.filter("doc_id = earlier").groupBy("run").agg(F.min("span").alias("there"))
+    shared = repeated.filter("doc_id > earlier").join(there, "run").select("doc_id", "text_hash", "earlier", "run", "span", "there").distinct()
+    shared = shared.repartition(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "earlier", "span")
+    block = "struct<earlier_id:long,lo:int,hi:int,earlier_lo:int>"
+    cut = shared.mapInArrow(_blocks, f"_id long, _hash int, _keep array<struct<lo:int,hi:int>>, _tail int, blocks array<{block}>")
     rows = docs.drop("blocks").withColumn("_of", F.col(text).cast("string"))
-    out = rows.join(cut, (rows[doc_id].cast("long") == cut["_id"]) & (F.xxhash64("_of") == cut["_hash"]), "left")
+    out = rows.join(cut, (rows[doc_id].cast("long") == cut["_id"]) & (F.hash("_of") == cut["_hash"]), "left")
     raw = F.col("_of").cast("binary")
     keep = F.concat("_keep", F.array(F.struct(F.col("_tail").alias("lo"), F.octet_length("_of").alias("hi"))))
     rest = F.array_join(F.transform(keep, lambda r: F.decode(F.substring(raw, r["lo"] + 1, r["hi"] - r["lo"]), "utf-8")), "")

@@ -1,25 +1,29 @@
 import re
 
+import numpy as np
+
 from quillgrid.llm import linededup
 from quillgrid.llm.common import span_hashes
 
-import numpy as np
-
 HASH = lambda w: int(span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0])
 
 
 def slow_lines(text):
     """Lines as lists of (word, byte start)."""
     raw = text.encode()
-    out, now, prev_end = [], [], 0
+    out, now, since = [], [], 0
     words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
     for k, (s, e) in enumerate(words):
         now.append((raw[s:e], s))
         nxt = words[k + 1][0] if k + 1 < len(words) else len(raw)
+        hard = b"\n" in raw[e:nxt] or k + 1 == len(words)
         stops = re.search(rb"[.!?][^0-9A-Za-z\x80-\xff]*$", raw[s:e])
-        if stops or b"\n" in raw[e:nxt] or k + 1 == len(words):
-            out.append(now)
-            now = []
+        since += 1
+        if stops or hard:
+            if hard or since >= linededup.SHORT:
+                out.append(now)
+                now = []
+            since = 0
     cut = []
     for line in out:
         if len(line) <= linededup.LONG:
@@ -97,11 +101,11 @@ Q = "Another one begins here! It is as long as the first was, with words that di
 
 
 def test_moved_and_repeated_blocks(spark):
-    a, b = f"Own start. {P} Middle of it.\n{Q}", f"{Q}\nBetween them. {P} {P} Own end."
+    a, b = f"Own start of this text. {P} Middle of it.\n{Q}", f"{Q}\nBetween them there is this. {P} {P} Own end."
     df = spark.createDataFrame([(2, b, "x", 1), (1, a, "y", 2)], "doc_id long, text string, run string, lo int")
     got = {r.doc_id: r for r in linededup.dedup(df).collect()}
     assert got[1].text == a and got[1].blocks is None and got[1].run == "y"
-    assert got[2].text == "Between them. Own end." and {x.earlier_id for x in got[2].blocks} == {1}
+    assert got[2].text == "Between them there is this. Own end." and {x.earlier_id for x in got[2].blocks} == {1}
 
 
 def test_edges(spark):
