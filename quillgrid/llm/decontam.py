@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores the copies.
 
 The test items are the query set: their seeds and words go to the tasks in blocks of bounded size, one pass over the
-documents a block. A seed is a run of `SEED` words; it is rare if, judged by the frequencies of its words among all
-words of the corpus and taking words to be independent, chance would put it there less than `CHANCE` times (so a leak
-that is copied very often stays a seed). Around its seeds, a document's words are aligned with the item's words.
+documents a block. A seed is a run of `SEED` words; it is rare if the product of its words' frequencies among all words
+of the corpus is under `RARE`, or so small that chance would put it there less than half a time (so the seeds of a leak
+that is copied very often stay rare, at any size of corpus).
+Around its seeds, a document's words are aligned with the item's words.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import gram_hashes, lowered, slices, span_hashes, utf8
 
-SEED = 4
-CHANCE = 0.5
+SEED = 3
+RARE = 1e-9
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the item's best possible score.
 MIN_SCORE = 0.5
@@ -29,8 +30,16 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """Capital ASCII and Latin-1 letters of UTF-8 bytes to small ones, in place of equal length."""
+    out = lowered(data)
+    second = out[1:]
+    second[(out[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 0x20
+    return out
+
+
 def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, hashes and text numbers of words: runs of ASCII letters, digits and bytes from 128 on, lower-cased."""
+    """Starts, ends, hashes and text numbers of words: runs of ASCII letters, digits and bytes from 128 on, in lower case."""
     data, offsets = utf8(column)
     n = len(data)
     if not n:
@@ -43,7 +52,7 @@ def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     begins[1:] &= ~letter[:-1] | first[1:n]
     ends[:-1] &= ~letter[1:] | first[1:n]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return s, e, span_hashes(lowered(data), s, e), np.searchsorted(offsets, s, "right") - 1
+    return s, e, span_hashes(_folded(data), s, e), np.searchsorted(offsets, s, "right") - 1
 
 
 class Seeds:
@@ -58,7 +67,7 @@ class Seeds:
             keep = np.ones(len(h), bool)
             if common is not None:
                 log = np.array([common.get(int(x), -np.inf) for x in w])
-                keep = np.array([log[i : i + n].sum() for i in range(len(h))]) + common[-1] < np.log(CHANCE)
+                keep = np.array([log[i : i + n].sum() for i in range(len(h))]) < max(np.log(RARE), np.log(0.5) - common[-1])
                 if not keep.any():  # an item of common words alone is sought by all its seeds
                     keep[:] = True
             rows += [(int(x), n, k, i) for i, x in enumerate(h) if keep[i]]

@@ -8,7 +8,8 @@ from quillgrid.llm import decontam
 
 
 def slow_words(text):
-    return [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())]
+    small = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or "")
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+", small.encode())
 
 
 def slow_score(a, b):
