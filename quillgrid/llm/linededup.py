@@ -189,7 +189,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif a != pair:
                 close_pair()
                 pair = a
-            shared.append((span >> 32, span & 0xFFFFFFFF, there >> 32, run))
+            row = (span >> 32, span & 0xFFFFFFFF, there >> 32, run)
+            if not shared or shared[-1] != row:  # rows of documents that are given twice
+                shared.append(row)
         if len(out[0]) > 2000:
             yield flushed()
     if key is not None:
@@ -211,8 +213,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     found = written(run_table(slim, min_words), "runs")
     held = found.groupBy("run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("_last")).filter("_last > earlier").select("run", "earlier")
     repeated = written(found.join(held.hint("shuffle_hash"), "run"), "repeated")
-    there = repeated.filter("doc_id = earlier").groupBy("run").agg(F.min("span").alias("there"))
-    shared = repeated.filter("doc_id > earlier").join(there, "run").select("doc_id", "text_hash", "earlier", "run", "span", "there").distinct()
+    # a table of its own, so that a run which very many documents hold is split in the join
+    there = written(repeated.filter("doc_id = earlier").groupBy("run").agg(F.min("span").alias("there")), "there")
+    shared = repeated.filter("doc_id > earlier").join(there, "run").select("doc_id", "text_hash", "earlier", "run", "span", "there")
     shared = shared.repartition(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "earlier", "span")
     block = "struct<earlier_id:long,lo:int,hi:int,earlier_lo:int>"
     cut = shared.mapInArrow(_blocks, f"_id long, _hash int, _keep array<struct<lo:int,hi:int>>, _tail int, blocks array<{block}>")
