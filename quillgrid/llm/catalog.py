@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, linededup, lm, media, packing, simhash, urls
+from . import decontam, html, langid, linededup, lm, media, packing, secrets, simhash, urls
 from .common import table
 
 
@@ -49,11 +49,16 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' secret candidates, judged."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html": op1_html, "op2_packing": op2_packing, "op3_ctw": op3_ctw, "op4_media": op4_media, "op5_linededup": op5_linededup, "op6_langid": op6_langid, "op7_urls": op7_urls, "op8_decontam": op8_decontam, "op10_simhash": op10_simhash}
+QUERIES = {"op1_html": op1_html, "op2_packing": op2_packing, "op3_ctw": op3_ctw, "op4_media": op4_media, "op5_linededup": op5_linededup, "op6_langid": op6_langid, "op7_urls": op7_urls, "op8_decontam": op8_decontam, "op9_secrets": op9_secrets, "op10_simhash": op10_simhash}
 #: None of the ten can be stated in SQL that DuckDB runs over whole tables in reasonable time; tests hold them to brute force.
 ORACLES: dict[str, str] = {}
