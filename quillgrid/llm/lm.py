@@ -29,9 +29,9 @@ from .common import crc_mod, lowered, partitions, slices, span_hashes, utf8, wor
 DEPTH = 5
 END = 0xFF
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 8_000_000
 #: Distinct words or grams that a chunk holds unsorted before it merges them.
-PENDING = 4_000_000
+PENDING = 1_000_000
 WORD_BUCKET, GRAM_BUCKET = 0, 1
 
 
