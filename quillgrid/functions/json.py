@@ -10,10 +10,13 @@ BRACES, BRACKETS = r"(?s)(\{.*\})", r"(?s)(\[.*\])"
 
 
 def json_in(text: Column) -> Column:
-    """The JSON text that an answer holds: as it is, fenced, or between its outer braces or brackets; null if none."""
+    """The JSON text that an answer holds: as it is, fenced, or between its outer braces or brackets; null if none.
+
+    The parser lets words after a value pass, so both ends are looked at too.
+    """
     tries = [text, F.regexp_extract(text, FENCE, 1), F.regexp_extract(text, BRACES, 1), F.regexp_extract(text, BRACKETS, 1)]
     bare = [F.trim(t, F.lit(" \t\r\n")) for t in tries]
-    return F.coalesce(*(F.when(F.try_parse_json(F.nullif(t, F.lit(""))).isNotNull(), t) for t in bare))
+    return F.coalesce(*(F.when(t.rlike(r"(?s)^(\{.*\}|\[.*\])$") & F.try_parse_json(t).isNotNull(), t) for t in bare))
 
 
 def repaired(text: Column) -> Column:

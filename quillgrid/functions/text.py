@@ -36,14 +36,25 @@ def compact(x: Column) -> Column:
 
 def keyword_hits(x: Column, keywords: tuple[str, ...]) -> Column:
     """How many keywords the text holds, in any case, with or without its spaces."""
-    low = F.lower(x)
-    tight = compact(low)
-    return sum((F.when(F.contains(low, F.lit(k.lower())) | F.contains(tight, F.lit(k.lower().replace(" ", ""))), 1).otherwise(0) for k in keywords), F.lit(0))
+    return hits_in(F.lower(x), compact(F.lower(x)), keywords)
+
+
+def hits_in(low: Column, tight: Column, keywords: tuple[str, ...]) -> Column:
+    """keyword_hits of lower-cased text, as it is and without spaces; the two as columns are computed once."""
+    out = F.lit(0)
+    for k in keywords:
+        word = k.lower()
+        held = F.contains(tight, F.lit(word.replace(" ", "")))
+        out = out + ((F.contains(low, F.lit(word)) | held) if " " in word else held).cast("int")
+    return out
 
 
 def occurrences(x: Column, words: tuple[str, ...]) -> Column:
     """Non-overlapping occurrences of all words, case-sensitive."""
-    return sum((F.regexp_count(x, F.lit(rf"\Q{w}\E")) for w in words), F.lit(0))
+    out = F.lit(0)
+    for w in words:
+        out = out + ((F.length(x) - F.length(F.replace(x, F.lit(w), F.lit("")))) / len(w)).cast("int")
+    return out
 
 
 def long_text_signal(x: Column) -> Column:

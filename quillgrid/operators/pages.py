@@ -24,31 +24,34 @@ KEYWORDS = {
 
 
 def page_features(pages: DataFrame, text: str = "text", page: str = "page") -> DataFrame:
-    """pages with a struct `f` of the counts that the rules weigh. Null text is empty text."""
-    rows = pages.withColumn("_t", T.clean(F.col(text))).withColumn("_c", T.compact(F.col("_t")))
+    """pages with the counts that the rules weigh, as columns _f_*. Null text is empty text.
+
+    They stay plain columns: each is computed once, however many rules use it.
+    """
+    rows = pages.withColumn("_t", T.clean(F.col(text)))
+    rows = rows.withColumns({"_c": T.compact(F.col("_t")), "_lt": F.lower("_t"), "_lc": T.compact(F.lower("_t"))})
     t, c = F.col("_t"), F.col("_c")
-    counts = {k: T.keyword_hits(t, w) for k, w in KEYWORDS.items()}
-    f = F.struct(
-        *[v.alias(k) for k, v in counts.items()],
-        T.count_codes(t, T.TOC_CODE).alias("toc_codes"),
-        T.occurrences(c, T.UNITS).alias("units"),
-        T.count_codes(c, T.NUMBER).alias("numbers"),
-        T.count_codes(t, T.HYDRAULIC_CODE).alias("hydraulic"),
-        T.count_codes(t, T.ELECTRIC_CODE).alias("electric"),
-        T.long_text_signal(t).alias("long_text"),
-        F.length(t).alias("length"),
-        (F.contains(c, F.lit("目录")) | F.contains(c, F.lit("ht_toc"))).alias("toc_word"),
-        F.contains(c, F.lit("页面描述")).alias("page_word"),
-        F.contains(c, F.lit("动作图")).alias("motion"),
-        (F.contains(t, F.lit("序号")) & F.contains(t, F.lit("名称"))).alias("head"),
-        ((F.contains(c, F.lit("序号")) & F.contains(c, F.lit("名称"))) | (F.contains(c, F.lit("代号")) & F.contains(c, F.lit("型号")))).alias("tight_head"),
-    )
-    return rows.withColumn("f", f).drop("_t", "_c")
+    found = {k: T.hits_in(F.col("_lt"), F.col("_lc"), w) for k, w in KEYWORDS.items()}
+    found |= {
+        "toc_codes": T.count_codes(t, T.TOC_CODE),
+        "units": T.occurrences(c, T.UNITS),
+        "numbers": T.count_codes(c, T.NUMBER),
+        "hydraulic": T.count_codes(t, T.HYDRAULIC_CODE),
+        "electric": T.count_codes(t, T.ELECTRIC_CODE),
+        "long_text": T.long_text_signal(t),
+        "length": F.length(t),
+        "toc_word": F.contains(c, F.lit("目录")) | F.contains(c, F.lit("ht_toc")),
+        "page_word": F.contains(c, F.lit("页面描述")),
+        "motion": F.contains(c, F.lit("动作图")),
+        "head": F.contains(t, F.lit("序号")) & F.contains(t, F.lit("名称")),
+        "tight_head": (F.contains(c, F.lit("序号")) & F.contains(c, F.lit("名称"))) | (F.contains(c, F.lit("代号")) & F.contains(c, F.lit("型号"))),
+    }
+    return rows.withColumns({f"_f_{k}": v for k, v in found.items()}).drop("_t", "_c", "_lt", "_lc")
 
 
 def page_scores(pages: DataFrame, page: str = "page") -> DataFrame:
-    """pages (with f) with page_type and a struct of shares by type, rounded to four digits."""
-    f = lambda k: F.col(f"f.{k}")
+    """pages (with _f_*) with page_type and a struct of shares by type, rounded to four digits."""
+    f = lambda k: F.col(f"_f_{k}")
     no = F.coalesce(F.col(page), F.lit(0))
     some = lambda cond, points: F.when(cond, points).otherwise(0.0)
     dense = (f("hydraulic") >= 4) | (f("electric") >= 3)
@@ -60,9 +63,9 @@ def page_scores(pages: DataFrame, page: str = "page") -> DataFrame:
         "toc": f("toc") * 3.0 + some(f("toc_codes") >= 2, F.least(F.lit(4.0), f("toc_codes") / 2.0)) + some((no <= 4) & (f("toc_word") | f("page_word") | (f("toc_codes") >= 2)), 3.2) + some((f("toc_codes") >= 3) & (no <= 3), 2.0),
         "mixed": F.lit(0.0),
     }
-    rows = pages.withColumn("_raw", F.struct(*[v.cast("double").alias(k) for k, v in raw.items()]))
-    rows = rows.withColumn("_total", sum((F.col(f"_raw.{k}") for k in TYPES), F.lit(0.0)))
-    shares = F.struct(*[F.when(F.col("_total") > 0, F.bround(F.col(f"_raw.{k}") / F.col("_total"), 4)).otherwise(0.0).alias(k) for k in TYPES])
+    rows = pages.withColumns({f"_raw_{k}": v.cast("double") for k, v in raw.items()})
+    rows = rows.withColumn("_total", sum((F.col(f"_raw_{k}") for k in TYPES), F.lit(0.0)))
+    shares = F.struct(*[F.when(F.col("_total") > 0, F.bround(F.col(f"_raw_{k}") / F.col("_total"), 4)).otherwise(0.0).alias(k) for k in TYPES])
     rows = rows.withColumn("scores", shares)
     best = F.array_max(F.array(*[F.struct(F.col(f"scores.{k}").alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(TYPES)]))
     kind = (
@@ -72,24 +75,25 @@ def page_scores(pages: DataFrame, page: str = "page") -> DataFrame:
         .when(best["s"] < 0.34, "mixed")
         .otherwise(best["k"])
     )
-    return rows.withColumn("page_type", kind).drop("_raw", "_total")
+    return rows.withColumn("page_type", kind).drop(*[f"_raw_{k}" for k in TYPES], "_total")
 
 
 def classify_pages(pages: DataFrame, text: str = "text", page: str = "page") -> DataFrame:
     """pages with page_type and scores."""
-    return page_scores(page_features(pages, text, page), page).drop("f")
+    out = page_scores(page_features(pages, text, page), page)
+    return out.drop(*[c for c in out.columns if c.startswith("_f_")])
 
 
 def classify_documents(pages: DataFrame, key: str = "doc_id", text: str = "text", page: str = "page") -> DataFrame:
     """(key, pages, family) of each document from its classified pages. Keywords count over its first five pages."""
     rows = page_scores(page_features(pages, text, page), page)
-    dense = (F.col("f.numbers") >= 20) | (F.col("f.units") >= 2)
+    dense = (F.col("_f_numbers") >= 20) | (F.col("_f_units") >= 2)
     head = F.when(F.col(page) <= 5, F.struct(F.col(page).alias("p"), T.clean(F.col(text)).alias("t")))
     g = rows.groupBy(key).agg(
         F.count("*").alias("pages"),
         *[F.count_if(F.col("page_type") == k).alias(k) for k in TYPES],
-        F.avg("f.length").alias("_length"),
-        F.sum("f.noise").alias("_noise"),
+        F.avg("_f_length").alias("_length"),
+        F.sum("_f_noise").alias("_noise"),
         F.count_if(dense).alias("_dense"),
         F.count_distinct("page_type").alias("_kinds"),
         F.array_join(F.transform(F.array_sort(F.collect_list(head)), lambda x: x["t"]), " ").alias("_head"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.permissions import visible
+from ..storage import written
 from . import filters, joins, ranking
 
 #: Lucene's defaults.
@@ -27,30 +29,36 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[0-9a-zà-öø-ÿ]+|[一-鿿]", query.lower())))
 
 
-def _equals(term: str) -> Callable[[Column], Column]:
-    return lambda x: x == term
+def term_count(low: Column, term: str) -> Column:
+    """How often a token occurs in lower-cased text, without building its token array."""
+    letter = "[0-9a-zà-öø-ÿ]"
+    alone = rf"(?<!{letter}){term}(?!{letter})" if term < "\u4e00" else term
+    return F.regexp_count(low, F.lit(alone))
 
 
 def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "text", where: Column | None = None) -> DataFrame:
     """(key, score) of the rows that hold a term of the query.
 
-    One pass turns each text into its length and the counts of the query's terms (no postings, no explode); the corpus
-    statistics are one row, which the scoring pass receives by broadcast. Statistics cover the rows that `where` keeps.
+    One pass over the texts: each becomes its length and the counts of the query's terms (no postings, no explode), the
+    rows with a term go to a narrow table, and the corpus statistics are observed on the way. Statistics cover the rows
+    that `where` keeps.
     """
     terms = query_terms(query)
     rows = docs if where is None else docs.filter(where)
     if not terms:
         return rows.select(key, F.lit(0.0).alias("score")).filter("false")
-    rows = rows.select(key, tokens(F.col(text)).alias("_tokens"))
-    rows = rows.select(key, F.size("_tokens").alias("_dl"), *[F.size(F.filter("_tokens", _equals(t))).alias(f"_tf{i}") for i, t in enumerate(terms)])
-    stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
-    rows = rows.filter(" or ".join(f"_tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
+    rows = rows.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    rows = rows.select(key, F.regexp_count("_low", F.lit(TOKEN)).alias("_dl"), *[term_count(F.col("_low"), t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    seen = Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    hits = written(rows.filter(" or ".join(f"_tf{i} > 0" for i in range(len(terms)))), "hits")
+    stats = seen.get
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        tf = F.col(f"_tf{i}")
-        score = score + idf * tf / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avgdl")))
-    return rows.select(key, score.alias("score"))
+        df, tf = stats[f"df{i}"], F.col(f"_tf{i}")
+        idf = math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
+        score = score + idf * tf / (tf + K1 * (1 - B + B * F.col("_dl") / (stats["avgdl"] or 1.0)))
+    return hits.select(key, score.alias("score"))
 
 
 def bm25_topk(docs: DataFrame, query: str, k: int, key: str = "id", text: str = "text", where: Column | None = None) -> DataFrame:
