@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, metadata, permissions, text, vectors
 from .operators import aggregates, chats, chunking, filters, graph, joins, pages, ranking, search, tables, tasks, tree
+from .storage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +31,8 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def _records(spark: SparkSession, sf_dir: str, vectors_too: bool = True) -> DataFrame:
