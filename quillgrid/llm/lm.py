@@ -378,7 +378,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_byt
     stats = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("train").cast("int")).alias("ends")).first()
     number = max(1, -(-(stats.bytes or 0) // chunk_bytes))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(number)))
-    asked = written(rows.select("text", "train", "chunk").repartition(number, "chunk").mapInArrow(_requests(number), _REQUEST), "asked")
+    asked = written(rows.select("text", "train", "chunk").repartitionById(number, F.col("chunk").cast("int")).mapInArrow(_requests(number), _REQUEST), "asked")
     words, grams = asked.filter(f"kind = {WORD_BUCKET}"), asked.filter(f"kind = {GRAM_BUCKET}")
     counted = written(words.groupBy("bucket").applyInPandas(_word_answers, _ANSWER), "words")
     sums = counted.filter("chunk < 0").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
