@@ -112,7 +112,8 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
     if labelled.isEmpty():
         return rows.select("page_id", "host", "path", "rule", F.coalesce("_fixed", F.lit(default)).alias("verdict"), F.lit(None).cast("string").alias("mined_rule"))
     open_sets = rows.filter("_fixed is null").select("tokens").distinct()
-    found = match(open_sets, mine(labelled, min_support, min_confidence)).select("tokens", F.col("verdict").alias("_mined"), "mined_rule")
+    # a table of its own, so that token sets which very many URLs share are split in the join
+    found = written(match(open_sets, mine(labelled, min_support, min_confidence)).select("tokens", F.col("verdict").alias("_mined"), "mined_rule"), "matched")
     out = rows.join(found, "tokens", "left")
     decided = F.col("_fixed").isNotNull()
     return out.select("page_id", "host", "path", "rule", F.coalesce("_fixed", "_mined", F.lit(default)).alias("verdict"), F.when(~decided, F.col("mined_rule")).alias("mined_rule"))
