@@ -61,7 +61,7 @@ def rising_only(toc: DataFrame, key: str = "doc_id", page: str = "target_page",
 
 
 def similar_islands(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_id", vector: str = "vector", least: float = 0.85) -> DataFrame:
-    """chunks with similarity to the one before and the number of their island of similar neighbours."""
+    """chunks with similarity to the one before and the number of their island of similar neighbours."""
     w = Window.partitionBy(key).orderBy(order)
     rows = chunks.withColumn("similarity", cosine(F.lag(vector).over(w), F.col(vector)))
     return rows.withColumn("island", F.sum(F.when(F.col("similarity") >= least, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))

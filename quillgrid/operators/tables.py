@@ -49,11 +49,12 @@ def batch_delete(rows: DataFrame, batch: str, batch_column: str = "batch_id") ->
 
 
 def residual(rows: DataFrame, batch: str, batch_column: str = "batch_id") -> DataFrame:
-    """What of a batch is still live."""
+    """What of a batch is still live."""
     return rows.filter((F.col(batch_column) == batch) & ~F.coalesce("is_deleted", F.lit(False)))
 
 
 def drop_collection(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of all other collections."""
     return rows.filter(F.coalesce(F.col("collection_name") != name, F.lit(True)))
 
 
@@ -99,7 +100,7 @@ def registry(rows: DataFrame) -> DataFrame:
 
 
 def preview(rows: DataFrame, most: int = 20000) -> DataFrame:
-    """What a file's preview shows: steps, JSON, file text, content, or a download (P10)."""
+    """What a file's preview shows: steps, JSON, file text, content, or a download."""
     kind = F.when(F.size("steps") > 0, "steps").when(F.try_parse_json("content").isNotNull(), "json").when(F.length("file_text") > 0, "text").when(F.length("content") > 0, "content").otherwise("download")
     body = F.when(kind == "text", F.substring("file_text", 1, most)).when(kind.isin("json", "content"), F.substring("content", 1, most))
     return rows.select("id", kind.alias("kind"), body.alias("body"), F.coalesce((F.length(F.coalesce(F.when(kind == "text", F.col("file_text")), F.col("content"))) > most), F.lit(False)).alias("truncated"))
