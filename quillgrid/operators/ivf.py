@@ -29,7 +29,10 @@ def centroids(vectors: DataFrame, nlist: int, vector: str = "vector", seed: int
 
 
 def assign(vectors: DataFrame, centres: np.ndarray, vector: str = "vector", probes: int = 1) -> DataFrame:
-    """vectors with the cells of the highest inner product, one row for each of `probes` cells."""
+    """vectors with the cells of the highest inner product, one row for each of `probes` cells.
+
+    Records may be filed in two cells as well: those near a border are then found from either side.
+    """
     kept = vectors.columns
 
     def run(batches):
@@ -46,6 +49,7 @@ def search(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int,
     """The k best of the records in each query's nprobe nearest cells. indexed: (id, vector, cell); queries: (query_id, query_vector)."""
     q = assign(queries, centres, "query_vector", nprobe)
     scored = indexed.join(q, "cell").select("query_id", "id", dot(F.col("vector"), F.col("query_vector")).alias("score"))
+    scored = scored.dropDuplicates(["query_id", "id"])  # a record that is filed in several cells counts once
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
