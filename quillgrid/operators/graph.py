@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -79,16 +81,11 @@ def entities(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     """(id, entity) of all ids in links (a, b): entity is the least id reachable, by propagating minima over joins."""
     links = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = links.select(F.col("a").alias("id")).distinct().withColumn("entity", F.col("id"))
-    spark = pairs.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        from tempfile import mkdtemp
-
-        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="spark-", dir="/tmp"))
-    links = links.checkpoint()
+    links = written(links, "links")
     for _ in range(rounds):
         near = links.join(label, links["b"] == label["id"]).groupBy("a").agg(F.min("entity").alias("_near"))
         new = label.join(near, label["id"] == near["a"], "left").select("id", F.least("entity", "_near").alias("entity"), (F.col("_near") < F.col("entity")).alias("_moved"))
-        new = new.checkpoint()
+        new = written(new, "entities")
         moved = new.filter("_moved").limit(1).count()
         label = new.select("id", "entity")
         if not moved:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from .scoring import best_pairs
 
 
 def latest_with_ties(df: DataFrame, key: str, at: str) -> DataFrame:
@@ -95,15 +95,12 @@ def located(batches: DataFrame, wanted: DataFrame, tasks: str = "task_history",
 def nearest(incoming: DataFrame, stored: DataFrame, least: float, key: str = "id", other: str = "stored_id", vector: str = "vector", same: str | None = None) -> DataFrame:
     """Each incoming row with its most similar stored row of over least, null if none; ties go to the greater id.
 
-    Vectors are unit vectors. incoming is the stated query set of one batch; it is sent to the stored rows where its
-    size is under the broadcast threshold. With same, only rows of equal value there are compared.
+    Vectors are unit vectors. incoming is the stated query set of one batch, scored in blocks. With same, only rows of
+    equal value there are compared.
     """
-    a = incoming.select(F.col(key), F.col(vector).alias("_a"), *([F.col(same)] if same else []))
-    b = stored.select(F.col(other), F.col(vector).alias("_b"), *([F.col(same)] if same else []))
-    pairs = b.join(a, same) if same else b.crossJoin(a)
-    best = pairs.select(key, other, dot(F.col("_a"), F.col("_b")).alias("similarity")).filter(F.col("similarity") > least)
-    best = best.groupBy(key).agg(F.max_by(F.struct(other, "similarity"), F.struct("similarity", other)).alias("_m"))
-    return incoming.join(best.select(key, F.col(f"_m.{other}").alias(other), F.col("_m.similarity").alias("similarity")), key, "left")
+    pairs = best_pairs(stored, incoming, 1, other, vector, key, vector, least, same)
+    best = pairs.groupBy(key).agg(F.max_by(F.struct(other, "score"), F.struct("score", other)).alias("_m"))
+    return incoming.join(best.select(key, F.col(f"_m.{other}").alias(other), F.col("_m.score").alias("similarity")), key, "left")
 
 
 def gathered(links: DataFrame, key: str = "document_id", value: str = "image_id", order: str = "sort_order") -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, dot_with
+from ..functions.vectors import dot_with
+from .scoring import best_pairs
 
 
 def vector_topk(records: DataFrame, query: list[float], k: int, vector: str = "vector", key: str = "id", least: float | None = None, where: Column | None = None) -> DataFrame:
@@ -21,28 +20,13 @@ def vector_topk(records: DataFrame, query: list[float], k: int, vector: str = "v
     return rows.orderBy(F.col("score").desc(), F.col(key)).limit(k)
 
 
-def vector_topk_many(records: DataFrame, queries: DataFrame, k: int, key: str = "id", query_key: str = "query_id", vector: str = "vector", query_vector: str = "query_vector", least: float | None = None, block: int = 1024) -> DataFrame:
-    """The k best records of every query.
+def vector_topk_many(records: DataFrame, queries: DataFrame, k: int, key: str = "id", query_key: str = "query_id", vector: str = "vector", query_vector: str = "query_vector", least: float | None = None) -> DataFrame:
+    """(query_key, key, score, rank): the k best records of every query, score over least, ties by key.
 
-    queries is a stated query set: its vectors go to the tasks in blocks of at most `block` rows, one pass over the
-    records a block. Each record meets each query once, and the k best of a query are found within 1,024 parts of the
-    records first, so that one query's records are never ranked in one task.
+    queries is a stated query set, scored in blocks. Batches keep their k best, and what is left is ranked within 1,024
+    parts of the records first, so that one query's records are never ranked in one task.
     """
-    parts = F.pmod(F.xxhash64(key), F.lit(1024)).alias("_part")
-    listed = queries.select(F.col(query_key), F.col(query_vector)).toLocalIterator()
-    schema, out = queries.select(query_key, query_vector).schema, None
-    while held := list(islice(listed, block)):
-        few = F.broadcast(records.sparkSession.createDataFrame(held, schema))
-        own = _best_of(records.select(F.col(key), F.col(vector), parts).crossJoin(few), k, key, query_key, vector, query_vector, least)
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        out = _best_of(records.select(F.col(key), F.col(vector), parts).crossJoin(F.broadcast(records.sparkSession.createDataFrame([], schema))), k, key, query_key, vector, query_vector, least)
-    return out
-
-
-def _best_of(rows: DataFrame, k: int, key: str, query_key: str, vector: str, query_vector: str, least: float | None) -> DataFrame:
-    scored = rows.select(query_key, key, "_part", dot(F.col(vector), F.col(query_vector)).alias("score")).filter("score is not null")
-    scored = scored if least is None else scored.filter(F.col("score") >= least)
+    scored = best_pairs(records, queries, k, key, vector, query_key, query_vector, least).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(1024)))
     best = lambda *by: Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col(key))
     local = scored.withColumn("rank", F.row_number().over(best(query_key, "_part"))).filter(F.col("rank") <= k)
     return local.withColumn("rank", F.row_number().over(best(query_key))).filter(F.col("rank") <= k).drop("_part")
