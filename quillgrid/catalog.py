@@ -296,11 +296,11 @@ def _toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of contents of each document: every third line starts a chapter."""
     d = _t(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
     d = d.select("doc_id", F.size("lines").alias("total_pages"), F.posexplode("lines").alias("n", "line")).filter("n % 3 = 0")
-    return d.select("doc_id", "total_pages", (F.col("n") + 1).alias("page_start"), F.substring("line", 1, 12).alias("title"), (F.col("n") / 3).cast("int").alias("position"))
+    return d.select("doc_id", "total_pages", (F.col("n") + 1).alias("page_start"), F.col("line").alias("title"), (F.col("n") / 3).cast("int").alias("position"))
 
 
 _TOC = """l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), toc AS (
-  SELECT doc_id, len(lines) AS total_pages, n AS page_start, substring(lines[n], 1, 12) AS title, (n - 1) // 3 AS position FROM (SELECT *, unnest(generate_series(1, len(lines), 3)) AS n FROM l))"""
+  SELECT doc_id, len(lines) AS total_pages, n AS page_start, lines[n] AS title, (n - 1) // 3 AS position FROM (SELECT *, unnest(generate_series(1, len(lines), 3)) AS n FROM l))"""
 
 
 @query(f"WITH {_TOC} SELECT doc_id, page_start::INTEGER AS page_start, greatest(coalesce(lead(page_start) OVER (PARTITION BY doc_id ORDER BY page_start) - 1, total_pages), page_start)::INTEGER AS page_end FROM toc")
@@ -468,17 +468,17 @@ def token_usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.token_usage(_t(spark, sf_dir, "events"), "event_type", "value").withColumn("value", F.round("value", 2))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(substring(text, 1, 200), ' ') AS w, substring(text, 1, 50) AS s FROM documents)
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w, string_split(text, chr(10))[1] AS s FROM documents)
 SELECT doc_id AS id, doc_id || '|summary' AS local_key, 'summary' AS kind, s AS text FROM w WHERE trim(s) <> '' UNION ALL
 SELECT doc_id, doc_id || '|entity|' || w[1], 'entity', w[1] || ': ' || lang FROM w JOIN documents USING (doc_id) WHERE trim(w[1]) <> '' UNION ALL
 SELECT doc_id, doc_id || '|relation|0', 'relation', w[1] || ' near ' || w[2] FROM w WHERE trim(w[1]) <> '' AND trim(coalesce(w[2], '')) <> ''""")
 def graph_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule stands for the extractor."""
-    w = F.split(F.substring("text", 1, 200), " ")
+    w = F.split("text", " ")
     d = _t(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").cast("string").alias("slice_id"),
-        F.substring("text", 1, 50).alias("summary"),
+        F.split("text", "\n")[0].alias("summary"),
         F.array(F.struct(w[0].alias("name"), F.lit("word").alias("type"), F.col("lang").alias("description"))).alias("entities"),
         F.array(F.struct(F.get(w, F.lit(0)).alias("src"), F.lit("near").alias("rel"), F.get(w, F.lit(1)).alias("tgt"), F.lit("").alias("description"))).alias("relations"),
     )

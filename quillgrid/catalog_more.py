@@ -73,13 +73,13 @@ def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.toc_pages(p, least=2)
 
 
-@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(substring(string_split(text, chr(10))[1], 1, 40), '\s+', ' ', 'g')) AS t FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE WHEN regexp_matches(t, '^(.+?)\s*(?:[._·…-]{2,}|\s{2,})\s*([IVXLCDMivxlcdm]+|\d+(?:[.\-]\d+){0,6})\s*$') THEN 'leader'
  WHEN regexp_matches(t, '^((?:\d+[.\-])*\d+)\s*[\)\]】）\.、:\-]?\s*(.+)$') THEN trim(regexp_extract(t, '^((?:\d+[.\-])*\d+)\s*[\)\]】）\.、:\-]?\s*(.+)$', 1))
  WHEN regexp_matches(t, '^([IVXLCDMivxlcdm]+)\s*[\)\]】）\.、:\-]?\s*(.+)$') THEN trim(regexp_extract(t, '^([IVXLCDMivxlcdm]+)\s*[\)\]】）\.、:\-]?\s*(.+)$', 1)) ELSE '' END AS section_number FROM t""")
 def contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section numbers of first lines (leader lines are marked)."""
-    x = F.substring(F.split("text", "\n")[0], 1, 40)
+    x = F.split("text", "\n")[0]
     d = _t(spark, sf_dir, "documents").select("doc_id", text.section_and_title(x).alias("s"), text.toc_text(x).rlike(text.TOC_LINES[1][0]).alias("leader"))
     return d.select("doc_id", F.when(F.col("leader"), "leader").otherwise(F.col("s.section_number")).alias("section_number"))
 
