@@ -231,5 +231,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """docs without the rows whose doc_id has a leak; all columns are kept. Rows with a null doc_id stay."""
-    found = leaks(docs, benchmark, doc_id, text, min_score=min_score).select(F.col("doc_id").alias("_leak")).filter("_leak is not null").distinct()
-    return docs.join(found, docs[doc_id].cast("long") == found["_leak"], "left_anti")
+    found = leaks(docs, benchmark, doc_id, text, min_score=min_score).select(F.col("doc_id").alias("__leak")).filter("__leak is not null").distinct()
+    return docs.join(found, docs[doc_id].cast("long") == found["__leak"], "left_anti")

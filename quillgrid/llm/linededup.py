@@ -174,7 +174,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
         block = pa.struct([("earlier_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("earlier_lo", pa.int32())])
         kinds = (pa.int64(), pa.int32(), pa.list_(span), pa.int32(), pa.list_(block))
-        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["_id", "_hash", "_keep", "_tail", "blocks"])
+        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["__cut_id", "__cut_hash", "__cut_keep", "__cut_tail", "blocks"])
         for c in out:
             c.clear()
         return done
@@ -218,13 +218,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     shared = repeated.filter("doc_id > earlier").join(there, "run").select("doc_id", "text_hash", "earlier", "run", "span", "there")
     shared = shared.repartition(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "earlier", "span")
     block = "struct<earlier_id:long,lo:int,hi:int,earlier_lo:int>"
-    cut = shared.mapInArrow(_blocks, f"_id long, _hash int, _keep array<struct<lo:int,hi:int>>, _tail int, blocks array<{block}>")
-    rows = docs.drop("blocks").withColumn("_of", F.col(text).cast("string"))
-    out = rows.join(cut, (rows[doc_id].cast("long") == cut["_id"]) & (F.hash("_of") == cut["_hash"]), "left")
-    raw = F.col("_of").cast("binary")
-    keep = F.concat("_keep", F.array(F.struct(F.col("_tail").alias("lo"), F.octet_length("_of").alias("hi"))))
+    cut = shared.mapInArrow(_blocks, f"__cut_id long, __cut_hash int, __cut_keep array<struct<lo:int,hi:int>>, __cut_tail int, blocks array<{block}>")
+    rows = docs.drop("blocks").withColumn("__cut_of", F.col(text).cast("string"))
+    out = rows.join(cut, (rows[doc_id].cast("long") == cut["__cut_id"]) & (F.hash("__cut_of") == cut["__cut_hash"]), "left")
+    raw = F.col("__cut_of").cast("binary")
+    keep = F.concat("__cut_keep", F.array(F.struct(F.col("__cut_tail").alias("lo"), F.octet_length("__cut_of").alias("hi"))))
     rest = F.array_join(F.transform(keep, lambda r: F.decode(F.substring(raw, r["lo"] + 1, r["hi"] - r["lo"]), "utf-8")), "")
-    new = F.when(F.col("_id").isNull(), F.col("_of")).otherwise(F.rtrim(rest))
+    new = F.when(F.col("__cut_id").isNull(), F.col("__cut_of")).otherwise(F.rtrim(rest))
     return out.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns if c != "blocks"], "blocks")
 
 

@@ -75,7 +75,7 @@ def test_edited_copies(spark):
 def test_edges(spark):
     item = "one two three four five six seven"
     long = "pad " * 100000 + item + " pad" * 100000
-    df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, long, 3), (4, item, 4), (4, item, 4), (None, item, 5), (5, "hi there you", 0)], "doc_id long, text string, score int")
+    df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, long, 3), (4, item, 4), (4, item, 4), (None, item, 5), (5, "hi there you", 0)], "doc_id long, text string, _leak int")
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "", "x"), (4, "hi there", "x"), (None, "?!", "x")], "item_id long, text string, doc_id string")
     got = sorted((r.doc_id or -1, r.item_id, r.score) for r in decontam.leaks(df, bench).collect())
     assert got == [(-1, 1, 1.0), (3, 1, 1.0), (4, 1, 1.0), (4, 1, 1.0), (5, 4, 1.0)]

@@ -111,7 +111,8 @@ def test_moved_and_repeated_blocks(spark):
 def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(60000))
     data = [(1, None), (2, ""), (3, P), (4, P), (4, P), (None, P), (5, " \n"), (6, long), (7, "x " + long + " é"), (8, P.replace(" ", "\t ")), (9, "short. text")]
-    df = spark.createDataFrame([(d, t, "b") for d, t in data], "doc_id long, text string, blocks string")
+    df = spark.createDataFrame([(d, t, "b", 1, 2) for d, t in data], "doc_id long, text string, blocks string, _id int, _of int")
+    assert linededup.dedup(df).columns == ["doc_id", "text", "_id", "_of", "blocks"]
     got = linededup.report(df).collect()
     assert len(got) == len(data)
     text = {}
