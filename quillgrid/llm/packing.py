@@ -37,7 +37,7 @@ class WordTokenizer:
     casing A-Z first is safe as the tokenizer itself lower-cases.
     """
 
-    MOST = 1_000_000
+    MOST = 500_000
     PLAIN = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
