@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are deleted; documents of which nothing is left go. n_chars follows."""
-    done = linededup.dedup(docs)
+    done = linededup.dedup(docs, stretch=linededup.STRETCH)
     changed = F.col("blocks").isNotNull()
     rows = done.filter(~changed | (F.trim("text") != ""))
     return rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

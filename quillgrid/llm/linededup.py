@@ -5,6 +5,11 @@ A line is a sentence or text line (see `lines`). Rare by themselves are only run
 words, so those runs are what is hashed and looked up: each document meets, for every run that an earlier document
 holds, the earliest such document, never all others (a run held by n documents gives n - 1 rows). The shared runs of
 such a pair are aligned by patience diff; what one alignment leaves over (moved or repeated blocks) is aligned again.
+
+Passages that start or end inside a line are found as stretches: every window of `stretch` words that an earlier
+document holds goes. Neighbouring windows with one least ANCHOR-word gram (winnowing) are looked up as one group; only
+where a gram has several groups, as at a passage's ends, each window of the groups' earliest holders is looked up.
+Equal windows have equal least grams, so none is missed, and overlapping windows reach a stretch's true ends.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import mix, partitions, slices, span_hashes, tables, utf8, word_spans, written
 
 MIN_WORDS = 20
+#: Shared words from which a passage counts wherever it starts, and the words of a gram that is looked up for it.
+STRETCH, ANCHOR = 50, 10
 #: A line of over LONG words is also cut after words whose hash is a multiple of CUT.
 LONG, CUT = 32, 16
 #: A sentence of fewer words is no line of its own.
@@ -79,11 +86,45 @@ def runs(first: np.ndarray, last: np.ndarray, text: np.ndarray, min_words: int)
     return pairs // n, pairs % n
 
 
-def run_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(run, doc_id, text_hash, span) of all runs of docs (doc_id, text, text_hash).
+def range_hashes(h: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    """Hashes of the words w0 up to w1, from the words' hashes."""
+    p, inverse = tables(len(h) + 1)
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)])]
+    return mix((total[w1] - total[w0]) * inverse[w0] + (w1 - w0).astype(np.uint64))
+
+
+def least(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each window of width values."""
+    size = 1
+    while size * 2 <= width:
+        x, size = np.minimum(x[:-size], x[size:]), size * 2
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :])
+
+
+def windows(h: np.ndarray, text: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the windows of stretch words inside one text, and the least hash of the grams of each."""
+    n, gram = len(h), min(ANCHOR, stretch)
+    if n < stretch:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i = np.arange(n - gram + 1)
+    low = least(range_hashes(h, i, i + gram), stretch - gram + 1).view(np.int64)
+    i = np.flatnonzero(text[: n - stretch + 1] == text[stretch - 1 :])
+    return i, low[i]
+
+
+def _spans(s: np.ndarray, data: np.ndarray, offsets: np.ndarray, own: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    start, end = offsets[own], offsets[own + 1]
+    return (s[w0] - start << 32) | (np.minimum(np.r_[s, len(data)][w1], end) - start)
+
+
+_ROW, _FIELDS = "run long, doc_id long, text_hash int, span long", ["run", "doc_id", "text_hash", "span"]
 
-    run: hash of the run's words. span: the bytes lo << 32 | hi of the text, hi being where the next word starts (or the
-    text ends).
+
+def run_table(docs: DataFrame, min_words: int = MIN_WORDS, stretch: int = 0) -> DataFrame:
+    """(run, doc_id, text_hash, span, gram) of all runs of docs (doc_id, text, text_hash).
+
+    run: hash of the run's words, even. span: the bytes lo << 32 | hi of the text, hi being where the next word starts
+    (or the text ends). gram: null. With stretch, also the groups of each text's windows with their least gram; their run is odd.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,20 +132,46 @@ def run_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             data, offsets = utf8(b.column("text"))
             s, e, h, first, last, text = lines(data, offsets)
             i, j = runs(first, last, text, min_words)
-            if not len(i):
-                continue
-            p, inverse = tables(len(h) + 1)
-            total = np.r_[np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)])]
             w0, w1 = first[i], last[j] + 1
-            key = mix((total[w1] - total[w0]) * inverse[w0] + (w1 - w0).astype(np.uint64))
-            own = text[i]
-            start, end = offsets[own], offsets[own + 1]
-            following = np.r_[s, len(data)][w1]
-            span = (s[w0] - start << 32) | (np.minimum(following, end) - start)
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("doc_id").take(take), b.column("text_hash").take(take), pa.array(span)], ["run", "doc_id", "text_hash", "span"])
+            key, own, span = range_hashes(h, w0, w1).view(np.int64) & ~1, text[i], _spans(s, data, offsets, text[i], w0, w1)
+            gram = np.zeros(0, np.int64)
+            if stretch:
+                of = np.searchsorted(offsets, s, "right") - 1
+                at, low = windows(h, of, stretch)
+                new = np.ones(len(at), bool)
+                new[1:] = (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)
+                w0, w1 = at[new], at[np.r_[new[1:], True][: len(at)]] + stretch
+                key = np.r_[key, range_hashes(h, w0, w1).view(np.int64) | 1]
+                own, span, gram = np.r_[own, of[w0]], np.r_[span, _spans(s, data, offsets, of[w0], w0, w1)], low[new]
+            if len(key):
+                take = pa.array(own)
+                grams = pa.concat_arrays([pa.nulls(len(key) - len(gram), pa.int64()), pa.array(gram)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(take), b.column("text_hash").take(take), pa.array(span), grams], [*_FIELDS, "gram"])
+
+    return docs.mapInArrow(run, f"{_ROW}, gram long")
+
+
+def window_table(docs: DataFrame, stretch: int) -> DataFrame:
+    """(run, doc_id, text_hash, span), with odd run, of the windows of docs (doc_id, text, text_hash, spans) inside spans."""
 
-    return docs.mapInArrow(run, "run long, doc_id long, text_hash int, span long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            data, offsets = utf8(b.column("text"))
+            s, e, _ = word_spans(data, offsets)
+            h = span_hashes(data, s, e)
+            spans = b.column("spans")
+            of = np.repeat(np.arange(b.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
+            span = spans.flatten().to_numpy(zero_copy_only=False)
+            w0 = np.searchsorted(s, offsets[of] + (span >> 32), "left")
+            n = np.maximum(np.searchsorted(s, offsets[of] + (span & 0xFFFFFFFF), "left") - stretch + 1 - w0, 0)
+            i = np.repeat(w0 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own = np.repeat(of, n)
+            if len(i):
+                key = range_hashes(h, i, i + stretch).view(np.int64) | 1
+                take = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(take), b.column("text_hash").take(take), pa.array(_spans(s, data, offsets, own, i, i + stretch))], _FIELDS)
+
+    return docs.select("doc_id", "text", "text_hash", "spans").mapInArrow(run, _ROW)
 
 
 def patience(ours: list[tuple[int, int]]) -> list[int]:
@@ -149,6 +216,28 @@ def align(shared: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]
     return found
 
 
+def joined(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Blocks like align's of windows sorted by place: those that overlap, in the same order there, are one block."""
+    found: list[tuple[int, int, int]] = []
+    for lo, hi, there, _ in rows:
+        if found and lo <= found[-1][1] and there >= found[-1][2]:
+            found[-1] = (found[-1][0], max(hi, found[-1][1]), found[-1][2])
+        else:
+            found.append((lo, hi, there))
+    return found
+
+
+def _joined_rows(b: pa.RecordBatch) -> list[list]:
+    """Columns of a batch, with overlapping windows of a pair of documents as one row."""
+    doc, text, earlier, run, span, there = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+    more = np.zeros(len(doc), bool)
+    more[1:] = (run[1:] & run[:-1] & 1 == 1) & (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (earlier[1:] == earlier[:-1])
+    more[1:] &= (span[1:] >> 32 <= span[:-1] & 0xFFFFFFFF) & (there[1:] >= there[:-1])
+    at = np.flatnonzero(~more)
+    span = span[at] >> 32 << 32 | np.maximum.reduceat(span & 0xFFFFFFFF, at) if len(at) else span
+    return [c.tolist() for c in (doc[at], text[at], earlier[at], run[at], span, there[at])]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by document and earlier document to one row per document: ranges to keep, and the aligned blocks."""
     out: list[list] = [[], [], [], [], []]
@@ -156,7 +245,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks: list[dict] = []
 
     def close_pair() -> None:
-        blocks.extend({"earlier_id": pair, "lo": lo, "hi": hi, "earlier_lo": there} for lo, hi, there in align(shared))
+        blocks.extend({"earlier_id": pair, "lo": lo, "hi": hi, "earlier_lo": there} for lo, hi, there in align([x for x in shared if not x[3] & 1]) + joined([x for x in shared if x[3] & 1]))
         shared.clear()
 
     def close() -> None:
@@ -180,8 +269,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return done
 
     for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        for d, t, a, run, span, there in zip(*cols, strict=True):
+        for d, t, a, run, span, there in zip(*_joined_rows(b), strict=True):
             if (d, t) != key:
                 if key is not None:
                     close()
@@ -199,10 +287,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flushed()
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, stretch: int = 0) -> DataFrame:
     """docs with the passages deleted from text that an earlier document (lower doc_id) also holds; plus `blocks`.
 
-    A passage is a run of consecutive lines of at least min_words words in all. Its earliest document keeps it. White
+    A passage is a run of consecutive lines of at least min_words words in all, or any stretch of at least stretch
+    words, wherever it starts (0: runs of lines alone). Its earliest document keeps it. White
     space between words does not matter. blocks: array of (earlier_id, lo, hi, earlier_lo), bytes lo up to hi of
     the old text; null where nothing was deleted. Rows stay as they are if text or doc_id is null, if text is empty or
     short, and rows of one doc_id are not compared with each other. A text that is deleted entirely becomes empty. All
@@ -210,13 +299,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.hash(F.col(text).cast("string")).alias("text_hash")).filter("doc_id is not null and text is not null")
-    found = written(run_table(slim, min_words), "runs")
+    found = written(run_table(slim, min_words, stretch), "runs")
+    if stretch:
+        groups = found.filter("gram is not null")
+        several = groups.groupBy("gram").agg(F.min("run").alias("_least"), F.max("run").alias("_most")).filter("_least < _most").select("gram")
+        open_ends = written(groups.join(several.hint("shuffle_hash"), "gram").select("run", "doc_id", "text_hash", "span"), "ends")
+        first = open_ends.groupBy("run").agg(F.min("doc_id").alias("doc_id"))
+        spans = open_ends.join(first, ["run", "doc_id"]).groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"))
+        found = found.drop("gram").unionByName(written(window_table(slim.join(spans, ["doc_id", "text_hash"]), stretch), "windows"))
     held = found.groupBy("run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("_last")).filter("_last > earlier").select("run", "earlier")
     repeated = written(found.join(held.hint("shuffle_hash"), "run"), "repeated")
     # a table of its own, so that a run which very many documents hold is split in the join
     there = written(repeated.filter("doc_id = earlier").groupBy("run").agg(F.min("span").alias("there")), "there")
     shared = repeated.filter("doc_id > earlier").join(there, "run").select("doc_id", "text_hash", "earlier", "run", "span", "there")
-    shared = shared.repartition(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "earlier", "span")
+    shared = shared.repartition(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "earlier", F.col("run").bitwiseAND(F.lit(1)), "span")
     block = "struct<earlier_id:long,lo:int,hi:int,earlier_lo:int>"
     cut = shared.mapInArrow(_blocks, f"__cut_id long, __cut_hash int, __cut_keep array<struct<lo:int,hi:int>>, __cut_tail int, blocks array<{block}>")
     rows = docs.drop("blocks").withColumn("__cut_of", F.col(text).cast("string"))
@@ -228,9 +324,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     return out.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns if c != "blocks"], "blocks")
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, stretch: int = 0) -> DataFrame:
     """(doc_id, text, n_blocks, earlier_ids, removed_bytes) of every row: the text left and where the rest is held."""
-    done = dedup(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.octet_length(text).alias("_n")), min_words=min_words)
+    done = dedup(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.octet_length(text).alias("_n")), min_words=min_words, stretch=stretch)
     size = F.coalesce(F.size("blocks"), F.lit(0))
     return done.select(
         "doc_id",
