@@ -544,3 +544,11 @@ def canonical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("_b"), F.floor(F.col("vec_id") / 400).alias("_block"))
     pairs = a.join(b, ["label", "_block"]).filter("b > a and b <= a + 400").select("a", "b", vectors.dot(F.col("_a"), F.col("_b")).alias("similarity"))
     return graph.entities(graph.canonical_merge(pairs, 0.95, lambda s: s > 0.4, 0.4))
+
+
+@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(id, entity) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, w.entity FROM w JOIN l ON l.a = w.id)
+SELECT id, min(entity) AS entity FROM w GROUP BY id""")
+def canonical_entities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R12 in its order-free form over whole labels: no pair is left out for the distance of its ids."""
+    return graph.entities(graph.similar_links(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.4))

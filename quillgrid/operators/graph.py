@@ -77,6 +77,47 @@ def canonical_merge(pairs: DataFrame, least: float = 0.95, judge: Callable[[Colu
     return pairs.filter((s > least) | ((s >= doubt) & accept)).select("a", "b")
 
 
+def similar_links(rows: DataFrame, key: str, vector: str, part: str, over: float, block: int = 1024) -> DataFrame:
+    """(a, b) of keys that connect the rows of each part as all its pairs with a dot product of over `over` do.
+
+    Exact over whole parts: rows are dealt to blocks by hash, and each pair of blocks is scored by a matrix product in one
+    task, which returns a spanning forest of its links. Work grows with the square of a part. Nulls link to nothing.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(len(flat), -1)
+
+    def score(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("key")
+        own, m = cell["own"].to_numpy(), matrix(cell["vector"])
+        near = m @ m.T > over
+        if own.min() != own.max():
+            near &= own[:, None] != own[None, :]
+        left, a, b = near.any(axis=1), [], []
+        while left.any():
+            root = int(left.argmax())
+            left[root] = False
+            front = np.array([root])
+            while len(front):
+                front = np.flatnonzero(near[front].any(axis=0) & left)
+                left[front] = False
+                a += [root] * len(front)
+                b += front.tolist()
+        return pa.table({"a": cell["key"].take(pa.array(a, pa.int64())), "b": cell["key"].take(pa.array(b, pa.int64()))})
+
+    kind = dict(rows.dtypes)[key]
+    good = rows.filter(F.col(key).isNotNull() & F.col(part).isNotNull() & F.col(vector).isNotNull())
+    slim = good.select(F.col(part).alias("part"), F.col(key).alias("key"), F.col(vector).alias("vector"))
+    n = F.ceil(F.col("_n") / block).cast("long")
+    dealt = slim.join(slim.groupBy("part").agg(F.count("*").alias("_n")), "part").withColumn("own", F.pmod(F.xxhash64("key"), n))
+    mates = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
+    cells = dealt.withColumn("cell", F.explode(mates)).select("part", "cell", "own", "key", "vector")
+    return cells.groupBy("part", "cell").applyInArrow(score, f"a {kind}, b {kind}")
+
+
 def entities(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     """(id, entity) of all ids in links (a, b): entity is the least id reachable, by propagating minima over joins."""
     links = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
