@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.permissions import visible
@@ -39,9 +39,8 @@ def term_count(low: Column, term: str) -> Column:
 def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "text", where: Column | None = None) -> DataFrame:
     """(key, score) of the rows that hold a term of the query.
 
-    One pass over the texts: each becomes its length and the counts of the query's terms (no postings, no explode), the
-    rows with a term go to a narrow table, and the corpus statistics are observed on the way. Statistics cover the rows
-    that `where` keeps.
+    One pass over the texts: each becomes its length and the counts of the query's terms in a narrow table (no postings,
+    no explode), from which one aggregate gives the corpus statistics. These cover the rows that `where` keeps.
     """
     terms = query_terms(query)
     rows = docs if where is None else docs.filter(where)
@@ -49,10 +48,9 @@ def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "text", where
         return rows.select(key, F.lit(0.0).alias("score")).filter("false")
     rows = rows.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
     rows = rows.select(key, F.regexp_count("_low", F.lit(TOKEN)).alias("_dl"), *[term_count(F.col("_low"), t).alias(f"_tf{i}") for i, t in enumerate(terms)])
-    seen = Observation()
-    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hits = written(rows.filter(" or ".join(f"_tf{i} > 0" for i in range(len(terms)))), "hits")
-    stats = seen.get
+    rows = written(rows, "terms")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    hits = rows.filter(" or ".join(f"_tf{i} > 0" for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
         df, tf = stats[f"df{i}"], F.col(f"_tf{i}")
