@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import spread, written  # noqa: F401  the operators take written from here
 
 #: Bytes of text handled at once inside a task; numpy needs some tens of times as much.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -48,6 +51,25 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = to
 
 
+def release() -> None:
+    """Give memory that a task freed back to the system, so that reused workers do not add up what single tasks needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches that releases memory when its task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in one array, and the offsets of each text; null is the empty text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -63,6 +85,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return _SPACE[data]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of the words (runs without ASCII white space) of concatenated texts."""
     n = len(data)
@@ -80,28 +107,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return s, e, np.searchsorted(offsets, s, "right") - 1
 
 
-_STEP = 0x9E3779B97F4A7C15 | 1
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW: dict[str, np.ndarray] = {}
-
-
-def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's base and of its inverse, modulo 2**64."""
-    if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, 1 << 20)
-        _POW["p"], _POW["i"] = _powers(_STEP, size), _powers(pow(_STEP, -1, 1 << 64), size)
-    return _POW["p"], _POW["i"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -109,12 +114,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Spans of more bytes are hashed one by one.
+_LONG = 32
+_KEEP = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 8)), 0xFFFFFFFFFFFFFFFF], np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal for equal bytes: differences of one running polynomial sum."""
-    p, inverse = tables(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * p[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte spans, equal for equal bytes. Spans of one length of up to 8 bytes never collide."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(size):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    wide = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    some = np.arange(len(size))
+    for k in range(0, _LONG, 8):
+        some = some[size[some] > k]
+        if not len(some):
+            break
+        part = wide[starts[some] + k] & _KEEP[np.minimum(size[some] - k, 8)]
+        out[some] = mix((out[some] ^ part) * np.uint64(0x9FB21C651E98DF25))
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -1,54 +1,52 @@
 """Passage dedup: shared rare line hashes find overlapping documents, patience diff aligns them, and aligned common
 blocks are deleted from the later document.
 
-A line is a sentence or text line (see `lines`). Rare by themselves are only runs of lines with at least `min_words`
-words, so those runs are what is hashed and looked up: each document meets, for every run that an earlier document
-holds, the earliest such document, never all others (a run held by n documents gives n - 1 rows). The shared runs of
-such a pair are aligned by patience diff; what one alignment leaves over (moved or repeated blocks) is aligned again.
-
-Passages that start or end inside a line are found as stretches: every window of `stretch` words that an earlier
-document holds goes. Neighbouring windows with one least ANCHOR-word gram (winnowing) are looked up as one group; only
-where a gram has several groups, as at a passage's ends, each window of the groups' earliest holders is looked up.
-Equal windows have equal least grams, so none is missed, and overlapping windows reach a stretch's true ends.
+A document's lines are hashed with what follows: `min_words` words from the start of each sentence or text line, and
+`ANCHOR + stretch // 2` words after and before anchors. Anchors are picked by winnowing (the least ANCHOR-word gram of
+every window of `stretch` words), so that any shared `stretch` words hold a common line wherever they start. Lines of so
+many words are rare by themselves; each document meets, for every line that an earlier document holds, the earliest such
+document, never all others (a line held by n documents gives n - 1 rows).
+
+The shared lines of such a pair are aligned by patience diff (`align`). The aligned blocks are then compared word by word
+with the text of the earlier document, so that equal hashes alone delete nothing, and followed to their true ends.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mix, partitions, slices, span_hashes, tables, utf8, word_spans, written
+from .common import lean, mix, partitions, slices, span_hashes, utf8, word_spans, written
 
 MIN_WORDS = 20
-#: Shared words from which a passage counts wherever it starts, and the words of a gram that is looked up for it.
-STRETCH, ANCHOR = 50, 10
-#: A line of over LONG words is also cut after words whose hash is a multiple of CUT.
-LONG, CUT = 32, 16
-#: A sentence of fewer words is no line of its own.
-SHORT = 4
+#: Shared words that always hold a common line wherever they start, and the words of a gram that anchors a line.
+STRETCH, ANCHOR = 50, 8
+#: A sentence of fewer words is no line of its own; a line of over LONG words also ends after words whose hash is a multiple of CUT.
+SHORT, LONG, CUT = 4, 32, 16
+#: Bytes beyond an aligned block that are compared; equal words go on no further than the next common line.
+MARGIN = 1024
 _NEWLINE, _END = ord("\n"), np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Words and lines of concatenated texts: word starts, ends, hashes; first and last word of each line; its text.
+def line_starts(data: np.ndarray, s: np.ndarray, e: np.ndarray, text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """First words of the lines of texts with words from s to e and hashes h.
 
     A line ends at a newline, at a text's end, and after a word whose last letter or digit is followed by one of . ! ?
     (a sentence of under SHORT words goes with the next); lines of over LONG words also end after words whose hash is a
     multiple of CUT. All of this depends on the words nearby alone, so equal passages are cut alike.
     """
-    s, e, text = word_spans(data, offsets)
     if not len(s):
-        z = np.zeros(0, np.int64)
-        return s, e, z.astype(np.uint64), z, z, z
-    h = span_hashes(data, s, e)
+        return np.zeros(0, np.int64)
     newlines = np.cumsum(data == _NEWLINE)
     hard = np.ones(len(s), bool)
     hard[:-1] = (text[1:] != text[:-1]) | (newlines[s[1:]] != newlines[e[:-1] - 1])
@@ -62,35 +60,18 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     ends = np.flatnonzero(last)
     size = np.diff(np.r_[-1, ends])
     last[ends[(size < SHORT) & ~hard[ends]]] = False
-    ends = np.flatnonzero(last)
-    size = np.diff(np.r_[-1, ends])
+    size = np.diff(np.r_[-1, np.flatnonzero(last)])
     last |= np.repeat(size > LONG, size) & (h % np.uint64(CUT) == 0)
-    ends = np.flatnonzero(last)
-    firsts = np.r_[0, ends[:-1] + 1]
-    return s, e, h, firsts, ends, text[firsts]
-
+    return np.r_[0, np.flatnonzero(last)[:-1] + 1]
 
-def runs(first: np.ndarray, last: np.ndarray, text: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last line of the shortest runs, from each line on and back, of at least min_words words in one text."""
-    n = len(first)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i = np.arange(n)
-    lo = np.searchsorted(text, text, "left")
-    hi = np.searchsorted(text, text, "right") - 1
-    on = np.searchsorted(last, first + min_words - 1, "left")
-    back = np.searchsorted(first, last - min_words + 1, "right") - 1
-    a, b = on <= hi, back >= lo
-    pairs = np.r_[i[a] * n + on[a], back[b] * n + i[b]]
-    pairs = np.unique(pairs)
-    return pairs // n, pairs % n
 
-
-def range_hashes(h: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
-    """Hashes of the words w0 up to w1, from the words' hashes."""
-    p, inverse = tables(len(h) + 1)
-    total = np.r_[np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)])]
-    return mix((total[w1] - total[w0]) * inverse[w0] + (w1 - w0).astype(np.uint64))
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of width of the words' hashes, from those of two runs of a power of two that cover it."""
+    size = 1
+    while size * 2 <= width:
+        h, size = mix(h[:-size] * np.uint64(0x9FB21C651E98DF25) + h[size:]) if len(h) > size else h[:0], size * 2
+    n = max(0, len(h) - (width - size))
+    return mix(h[:n] * np.uint64(0xD6E8FEB86659FD93) + (h[width - size :][:n] ^ np.uint64(width)))
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -101,88 +82,65 @@ def least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :])
 
 
-def windows(h: np.ndarray, text: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the windows of stretch words inside one text, and the least hash of the grams of each."""
+def anchors(h: np.ndarray, text: np.ndarray, stretch: int) -> np.ndarray:
+    """First words of the grams that are the least of some window of stretch words inside one text."""
     n, gram = len(h), min(ANCHOR, stretch)
     if n < stretch:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     i = np.arange(n - gram + 1)
-    low = least(range_hashes(h, i, i + gram), stretch - gram + 1).view(np.int64)
+    low = np.uint64((1 << 20) - 1)
+    # the place in the low bits: of equal grams the first one is the least
+    found = least(window_hashes(h, gram) & ~low | (i.astype(np.uint64) & low), stretch - gram + 1)
     i = np.flatnonzero(text[: n - stretch + 1] == text[stretch - 1 :])
-    return i, low[i]
-
-
-def _spans(s: np.ndarray, data: np.ndarray, offsets: np.ndarray, own: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
-    start, end = offsets[own], offsets[own + 1]
-    return (s[w0] - start << 32) | (np.minimum(np.r_[s, len(data)][w1], end) - start)
-
-
-_ROW, _FIELDS = "run long, doc_id long, text_hash int, span long", ["run", "doc_id", "text_hash", "span"]
+    place = (found[i] & low).astype(np.int64)
+    return np.unique(i + (place - i) % (1 << 20))
 
 
 def run_table(docs: DataFrame, min_words: int = MIN_WORDS, stretch: int = 0) -> DataFrame:
-    """(run, doc_id, text_hash, span, gram) of all runs of docs (doc_id, text, text_hash).
+    """(run, doc_id, text_hash, place, size, span) of the hashed lines of docs (doc_id, text, text_hash).
 
-    run: hash of the run's words, even. span: the bytes lo << 32 | hi of the text, hi being where the next word starts
-    (or the text ends). gram: null. With stretch, also the groups of each text's windows with their least gram; their run is odd.
+    place, size: first word and number of words. span: bytes lo << 32 | hi of the text. Anchored lines only with stretch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             data, offsets = utf8(b.column("text"))
-            s, e, h, first, last, text = lines(data, offsets)
-            i, j = runs(first, last, text, min_words)
-            w0, w1 = first[i], last[j] + 1
-            key, own, span = range_hashes(h, w0, w1).view(np.int64) & ~1, text[i], _spans(s, data, offsets, text[i], w0, w1)
-            gram = np.zeros(0, np.int64)
-            if stretch:
-                of = np.searchsorted(offsets, s, "right") - 1
-                at, low = windows(h, of, stretch)
-                new = np.ones(len(at), bool)
-                new[1:] = (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)
-                w0, w1 = at[new], at[np.r_[new[1:], True][: len(at)]] + stretch
-                key = np.r_[key, range_hashes(h, w0, w1).view(np.int64) | 1]
-                own, span, gram = np.r_[own, of[w0]], np.r_[span, _spans(s, data, offsets, of[w0], w0, w1)], low[new]
-            if len(key):
-                take = pa.array(own)
-                grams = pa.concat_arrays([pa.nulls(len(key) - len(gram), pa.int64()), pa.array(gram)])
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(take), b.column("text_hash").take(take), pa.array(span), grams], [*_FIELDS, "gram"])
-
-    return docs.mapInArrow(run, f"{_ROW}, gram long")
-
-
-def window_table(docs: DataFrame, stretch: int) -> DataFrame:
-    """(run, doc_id, text_hash, span), with odd run, of the windows of docs (doc_id, text, text_hash, spans) inside spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            data, offsets = utf8(b.column("text"))
-            s, e, _ = word_spans(data, offsets)
+            s, e, text = word_spans(data, offsets)
             h = span_hashes(data, s, e)
-            spans = b.column("spans")
-            of = np.repeat(np.arange(b.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
-            span = spans.flatten().to_numpy(zero_copy_only=False)
-            w0 = np.searchsorted(s, offsets[of] + (span >> 32), "left")
-            n = np.maximum(np.searchsorted(s, offsets[of] + (span & 0xFFFFFFFF), "left") - stretch + 1 - w0, 0)
-            i = np.repeat(w0 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            own = np.repeat(of, n)
-            if len(i):
-                key = range_hashes(h, i, i + stretch).view(np.int64) | 1
-                take = pa.array(own)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(take), b.column("text_hash").take(take), pa.array(_spans(s, data, offsets, own, i, i + stretch))], _FIELDS)
-
-    return docs.select("doc_id", "text", "text_hash", "spans").mapInArrow(run, _ROW)
-
-
-def patience(ours: list[tuple[int, int]]) -> list[int]:
-    """Indices of a longest common subsequence of unique items: (position here, position there), sorted by the first."""
+            w0 = [line_starts(data, s, e, text, h)]
+            size = [np.full(len(w0[0]), min_words)]
+            if stretch:
+                p, half = anchors(h, text, stretch), (stretch - min(ANCHOR, stretch)) // 2
+                w0 += [p, p - half]
+                size += [np.full(len(p), min(ANCHOR, stretch) + half)] * 2
+            w0, size = np.concatenate(w0), np.concatenate(size)
+            ok = (w0 >= 0) & (w0 + size <= len(s))
+            w0, size = w0[ok], size[ok]
+            ok = text[w0] == text[w0 + size - 1]
+            w0, size = w0[ok], size[ok]
+            if not len(w0):
+                continue
+            key = np.empty(len(w0), np.uint64)
+            for n in np.unique(size):
+                key[size == n] = window_hashes(h, int(n))[w0[size == n]]
+            own = text[w0]
+            place = w0 - np.searchsorted(text, np.arange(b.num_rows), "left")[own]
+            span = (s[w0] - offsets[own] << 32) | (e[w0 + size - 1] - offsets[own])
+            take = pa.array(own)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("doc_id").take(take), b.column("text_hash").take(take), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(span)], ["run", "doc_id", "text_hash", "place", "size", "span"])
+
+    return docs.mapInArrow(lean(run), "run long, doc_id long, text_hash int, place int, size int, span long")
+
+
+def patience(there: list[int]) -> list[int]:
+    """Places of a longest strictly rising subsequence, by the piles of the card game."""
     tops: list[int] = []
-    back: list[int] = [-1] * len(ours)
+    back: list[int] = [-1] * len(there)
     piles: list[int] = []
-    for k, (_, there) in enumerate(ours):
-        at = bisect_left(tops, there)
+    for k, x in enumerate(there):
+        at = bisect_left(tops, x)
         back[k] = piles[at - 1] if at else -1
-        tops[at : at + 1], piles[at : at + 1] = [there], [k]
+        tops[at : at + 1], piles[at : at + 1] = [x], [k]
     out, k = [], piles[-1] if piles else -1
     while k >= 0:
         out.append(k)
@@ -190,138 +148,196 @@ def patience(ours: list[tuple[int, int]]) -> list[int]:
     return out[::-1]
 
 
-def align(shared: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """Common blocks (lo, hi, lo there) in bytes of a pair of documents, from its shared runs (lo, hi, lo there, run).
+def aligned(here: list[int], there: list[int]) -> list[int]:
+    """Places of the lines that patience diff aligns, of a pair's shared lines (word here, word there) sorted by here.
 
-    Runs that are unique on both sides are aligned as in patience diff, and those that touch or overlap are one block;
-    what is left over (moved or repeated blocks) is aligned again until nothing is.
+    there is the line's first place in the earlier document, so equal values are one line. Lines that occur once are
+    aligned by a longest rising subsequence; what lies between two of them, in both documents, is aligned by itself, where
+    further lines may occur once. Where none does, the first of each takes part. Moved and repeated blocks beside the
+    alignment stay unaligned.
     """
-    found, left = [], sorted(shared)
-    while left:
-        here: dict[int, int] = {}
-        for k, x in enumerate(left):
-            here.setdefault(x[3], k)  # its first place that isn't aligned yet
-        once = sorted(here.values())
-        chosen = {once[k] for k in patience([(left[k][0], left[k][2]) for k in once])}
-        block = None
-        for k in sorted(chosen):
-            lo, hi, there, _ = left[k]
-            if block and lo <= block[1]:
-                block = (block[0], max(hi, block[1]), block[2])
-            else:
-                found += [block] if block else []
-                block = (lo, hi, there)
-        found.append(block)
-        left = [x for k, x in enumerate(left) if k not in chosen]
-    return found
-
-
-def joined(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """Blocks like align's of windows sorted by place: those that overlap, in the same order there, are one block."""
-    found: list[tuple[int, int, int]] = []
-    for lo, hi, there, _ in rows:
-        if found and lo <= found[-1][1] and there >= found[-1][2]:
-            found[-1] = (found[-1][0], max(hi, found[-1][1]), found[-1][2])
-        else:
-            found.append((lo, hi, there))
+    out: list[int] = []
+    todo = [list(range(len(here)))]
+    while todo:
+        rows = todo.pop()
+        if all(there[x] < there[y] for x, y in zip(rows, rows[1:], strict=False)):
+            out += rows
+            continue
+        times = Counter(there[k] for k in rows)
+        once = [k for k in rows if times[there[k]] == 1]
+        if not once:
+            seen: set[int] = set()
+            once = [k for k in rows if not (there[k] in seen or seen.add(there[k]))]
+        chosen = [once[k] for k in patience([there[k] for k in once])]
+        out += chosen
+        rest, at = [], 0
+        for k in rows:  # rows and chosen are in the same order
+            if at < len(chosen) and k == chosen[at]:
+                todo += [rest] if rest else []
+                rest, at = [], at + 1
+            elif (not at or there[k] > there[chosen[at - 1]]) and (at == len(chosen) or there[k] < there[chosen[at]]):
+                rest.append(k)
+        todo += [rest] if rest else []
+    return sorted(out)
+
+
+def align(shared: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, int, int, int, bool]]:
+    """Blocks (place here, place there, words, bytes lo << 32 | hi there, again) of a pair of documents from its shared lines.
+
+    shared: distinct (place here, place there, size, span there, again), sorted; again: whether the earlier document
+    repeats the line. Aligned lines that overlap or touch at one distance are one block.
+    """
+    shared = [x for k, x in enumerate(shared) if not k or shared[k - 1][:2] != x[:2]]  # two lines at one place: the first
+    found: list[tuple[int, int, int, int, bool]] = []
+    for k in aligned([x[0] for x in shared], [x[1] for x in shared]):
+        here, there, size, span, again = shared[k]
+        if found:
+            at, to, n, held, before = found[-1]
+            if here - there == at - to and here <= at + n:
+                found[-1] = (at, to, max(n, here + size - at), held >> 32 << 32 | max(held & 0xFFFFFFFF, span & 0xFFFFFFFF), before or again)
+                continue
+        found.append((here, there, size, span, again))
     return found
 
 
-def _joined_rows(b: pa.RecordBatch) -> list[list]:
-    """Columns of a batch, with overlapping windows of a pair of documents as one row."""
-    doc, text, earlier, run, span, there = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-    more = np.zeros(len(doc), bool)
-    more[1:] = (run[1:] & run[:-1] & 1 == 1) & (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (earlier[1:] == earlier[:-1])
-    more[1:] &= (span[1:] >> 32 <= span[:-1] & 0xFFFFFFFF) & (there[1:] >= there[:-1])
-    at = np.flatnonzero(~more)
-    span = span[at] >> 32 << 32 | np.maximum.reduceat(span & 0xFFFFFFFF, at) if len(at) else span
-    return [c.tolist() for c in (doc[at], text[at], earlier[at], run[at], span, there[at])]
+def _pair_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pair and place to the pair's aligned blocks."""
+    names = ["doc_id", "text_hash", "earlier_id", "earlier_hash", "place", "there", "size", "span", "again"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+    out: list[tuple] = []
+    pair, shared = None, []
 
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by document and earlier document to one row per document: ranges to keep, and the aligned blocks."""
-    out: list[list] = [[], [], [], [], []]
-    key, pair, shared = None, None, []
-    blocks: list[dict] = []
-
-    def close_pair() -> None:
-        blocks.extend({"earlier_id": pair, "lo": lo, "hi": hi, "earlier_lo": there} for lo, hi, there in align([x for x in shared if not x[3] & 1]) + joined([x for x in shared if x[3] & 1]))
+    def close() -> None:
+        if pair is not None:
+            out.extend((*pair, *x) for x in align(shared))
         shared.clear()
 
-    def close() -> None:
-        close_pair()
-        keep, at = [], 0
-        for lo, hi in sorted((b["lo"], b["hi"]) for b in blocks):
-            if lo > at:
-                keep.append({"lo": at, "hi": lo})
-            at = max(at, hi)
-        for to, v in zip(out, (*key, keep, at, blocks.copy()), strict=True):
-            to.append(v)
-        blocks.clear()
-
-    def flushed() -> pa.RecordBatch:
-        span = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
-        block = pa.struct([("earlier_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("earlier_lo", pa.int32())])
-        kinds = (pa.int64(), pa.int32(), pa.list_(span), pa.int32(), pa.list_(block))
-        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["__cut_id", "__cut_hash", "__cut_keep", "__cut_tail", "blocks"])
-        for c in out:
-            c.clear()
+    def told() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        out.clear()
         return done
 
     for b in batches:
-        for d, t, a, run, span, there in zip(*_joined_rows(b), strict=True):
-            if (d, t) != key:
-                if key is not None:
-                    close()
-                key, pair = (d, t), a
-            elif a != pair:
-                close_pair()
-                pair = a
-            row = (span >> 32, span & 0xFFFFFFFF, there >> 32, run)
-            if not shared or shared[-1] != row:  # rows of documents that are given twice
-                shared.append(row)
-        if len(out[0]) > 2000:
-            yield flushed()
-    if key is not None:
-        close()
-        yield flushed()
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:4] != pair:
+                close()
+                pair = row[:4]
+            if not shared or shared[-1] != row[4:]:  # rows of documents that are given twice
+                shared.append(row[4:])
+        if len(out) > 5000:
+            yield told()
+    close()
+    if out:
+        yield told()
+
+
+def common_block(words: list[bytes], place: int, size: int, before: list[bytes], other: list[bytes]) -> tuple[int, int]:
+    """First word and end of the equal words around a block of size words from place; (place, place) if it isn't equal.
+
+    other: the earlier document's words from the block on; before: those that lead to it.
+    """
+    if words[place : place + size] != other[:size]:
+        return place, place
+    lo, hi = place, place + size
+    for x in other[size:]:
+        if hi >= len(words) or words[hi] != x:
+            break
+        hi += 1
+    for x in reversed(before):
+        if not lo or words[lo - 1] != x:
+            break
+        lo -= 1
+    return lo, hi
+
+
+def _cut(raw: bytes, blocks: list[dict]) -> tuple[str, list[dict]]:
+    """The text without the blocks that it really shares, and those (earlier_id, lo, hi, earlier_lo) in bytes."""
+    words = raw.split()
+    starts = np.r_[word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0], len(raw)].tolist()
+    found = []
+    for b in blocks:
+        lead = b["lo"] - b["start"]
+        part = b["part"]
+        before, other = part[:lead].split(), part[lead:].split()
+        if b["start"] and before and not part[:1].isspace():
+            before = before[1:]  # may be the end of a word
+        if b["start"] + len(part) < b["whole"] and not part[-1:].isspace():
+            other = other[:-1]
+        lo, hi = common_block(words, b["place"], b["size"], before, other)
+        if hi > lo:
+            back = sum(map(len, before[len(before) - (b["place"] - lo) :])) if lo < b["place"] else 0
+            there = b["lo"] - back - (b["place"] - lo)  # one space a word, as a rule
+            found.append({"earlier_id": b["earlier_id"], "lo": starts[lo], "hi": starts[hi], "earlier_lo": max(0, there)})
+    keep, at = [], 0
+    for b in sorted(found, key=lambda b: (b["lo"], b["hi"])):
+        keep.append(raw[at : b["lo"]] if b["lo"] > at else b"")
+        at = max(at, b["hi"])
+    keep.append(raw[at:])
+    return (b"".join(keep).decode().rstrip(" ") if found else raw.decode()), found
+
+
+_BLOCK = pa.struct([("earlier_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("earlier_lo", pa.int32())])
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, stretch: int = 0) -> DataFrame:
     """docs with the passages deleted from text that an earlier document (lower doc_id) also holds; plus `blocks`.
 
-    A passage is a run of consecutive lines of at least min_words words in all, or any stretch of at least stretch
-    words, wherever it starts (0: runs of lines alone). Its earliest document keeps it. White
-    space between words does not matter. blocks: array of (earlier_id, lo, hi, earlier_lo), bytes lo up to hi of
-    the old text; null where nothing was deleted. Rows stay as they are if text or doc_id is null, if text is empty or
-    short, and rows of one doc_id are not compared with each other. A text that is deleted entirely becomes empty. All
-    columns are kept; one named blocks is replaced. An empty table gives no rows.
+    A passage is a block of equal words that patience diff aligns with the earliest document that holds one of its hashed
+    lines. So of any whole lines with at least min_words words that an earlier document holds, and with stretch of any
+    stretch words wherever they start, at least a hashed line's words go (29 of 50), unless the alignment leaves them out
+    as moved or repeated; those stay, and what an even earlier holder of the line lacks may stay too. White space between
+    words does not matter.
+
+    blocks: array of (earlier_id, lo, hi, earlier_lo), bytes lo up to hi of the old text; null where nothing was deleted.
+    Rows stay as they are if text or doc_id is null, if text is empty or short, and rows of one doc_id are not compared
+    with each other. A text that is deleted entirely becomes empty. All columns are kept; one named blocks is replaced;
+    names that begin with __cut are the operator's own. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    docs = docs.drop("blocks")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.hash(F.col(text).cast("string")).alias("text_hash")).filter("doc_id is not null and text is not null")
     found = written(run_table(slim, min_words, stretch), "runs")
-    if stretch:
-        groups = found.filter("gram is not null")
-        several = groups.groupBy("gram").agg(F.min("run").alias("_least"), F.max("run").alias("_most")).filter("_least < _most").select("gram")
-        open_ends = written(groups.join(several.hint("shuffle_hash"), "gram").select("run", "doc_id", "text_hash", "span"), "ends")
-        first = open_ends.groupBy("run").agg(F.min("doc_id").alias("doc_id"))
-        spans = open_ends.join(first, ["run", "doc_id"]).groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"))
-        found = found.drop("gram").unionByName(written(window_table(slim.join(spans, ["doc_id", "text_hash"]), stretch), "windows"))
-    held = found.groupBy("run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("_last")).filter("_last > earlier").select("run", "earlier")
+    held = found.groupBy("run").agg(F.min("doc_id").alias("earlier_id"), F.max("doc_id").alias("_last")).filter("_last > earlier_id").select("run", "earlier_id")
     repeated = written(found.join(held.hint("shuffle_hash"), "run"), "repeated")
     # a table of its own, so that a run which very many documents hold is split in the join
-    there = written(repeated.filter("doc_id = earlier").groupBy("run").agg(F.min("span").alias("there")), "there")
-    shared = repeated.filter("doc_id > earlier").join(there, "run").select("doc_id", "text_hash", "earlier", "run", "span", "there")
-    shared = shared.repartition(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "earlier", F.col("run").bitwiseAND(F.lit(1)), "span")
-    block = "struct<earlier_id:long,lo:int,hi:int,earlier_lo:int>"
-    cut = shared.mapInArrow(_blocks, f"__cut_id long, __cut_hash int, __cut_keep array<struct<lo:int,hi:int>>, __cut_tail int, blocks array<{block}>")
-    rows = docs.drop("blocks").withColumn("__cut_of", F.col(text).cast("string"))
-    out = rows.join(cut, (rows[doc_id].cast("long") == cut["__cut_id"]) & (F.hash("__cut_of") == cut["__cut_hash"]), "left")
-    raw = F.col("__cut_of").cast("binary")
-    keep = F.concat("__cut_keep", F.array(F.struct(F.col("__cut_tail").alias("lo"), F.octet_length("__cut_of").alias("hi"))))
-    rest = F.array_join(F.transform(keep, lambda r: F.decode(F.substring(raw, r["lo"] + 1, r["hi"] - r["lo"]), "utf-8")), "")
-    new = F.when(F.col("__cut_id").isNull(), F.col("__cut_of")).otherwise(F.rtrim(rest))
-    return out.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns if c != "blocks"], "blocks")
+    first = repeated.filter("doc_id = earlier_id").groupBy("run").agg(F.min(F.struct("text_hash", "place", "span")).alias("_first"), (F.count("*") > 1).alias("again"))
+    first = written(first.select("run", F.col("_first.text_hash").alias("earlier_hash"), F.col("_first.place").alias("there"), F.col("_first.span").alias("span"), "again"), "first")
+    shared = repeated.filter("doc_id > earlier_id").drop("span").join(first, "run")
+    order = ["doc_id", "text_hash", "earlier_id", "earlier_hash"]
+    shared = shared.select(*order, "place", "there", "size", "span", "again").repartition(partitions(spark), *order).sortWithinPartitions(*order, "place", "there")
+    blocks = written(shared.mapInArrow(lean(_pair_blocks), "doc_id long, text_hash int, earlier_id long, earlier_hash int, place int, there int, size int, span long, again boolean"), "blocks")
+    # the earlier document's bytes around each block
+    texts = slim.join(blocks.select(F.col("earlier_id").alias("doc_id"), F.col("earlier_hash").alias("text_hash")).distinct(), ["doc_id", "text_hash"], "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("earlier_id"), F.col("text_hash").alias("earlier_hash"), "text")
+    lo, hi = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    # without anchors, or where the earlier document repeats itself, equal words may go on without another line that is aligned
+    whole = F.col("again") | F.lit(not stretch)
+    start = F.when(whole, 0).otherwise(F.greatest(F.lit(0), lo - MARGIN))
+    size = F.when(whole, F.octet_length("text")).otherwise(hi + MARGIN - start)
+    parts = blocks.join(texts, ["earlier_id", "earlier_hash"]).select("doc_id", "text_hash", F.struct("earlier_id", "place", "size", lo.alias("lo"), hi.alias("hi"), start.alias("start"), F.octet_length("text").alias("whole"), F.substring(F.col("text").cast("binary"), start + 1, size).alias("part")).alias("_block"))
+    # at most as many blocks as the document has lines
+    cut = parts.groupBy("doc_id", "text_hash").agg(F.collect_list("_block").alias("__cut_blocks")).select(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias("__cut_hash"), "__cut_blocks")
+    rows = docs.withColumn(text, F.col(text).cast("string"))
+    rows = rows.join(cut, (rows[doc_id].cast("long") == cut["__cut_id"]) & (F.hash(rows[text]) == cut["__cut_hash"]), "left").select(*docs.columns, "__cut_blocks")
+    at, kept = docs.columns.index(text), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            whole = pa.RecordBatch.from_arrays(whole.columns, [f"c{k}" for k in range(len(whole.columns))])
+            for b in slices(iter([whole]), f"c{at}", 4 << 20):
+                told: list = [None] * b.num_rows
+                column, lists = b.column(at), b.column(len(kept))
+                some = lists.is_valid().to_numpy(zero_copy_only=False).nonzero()[0]
+                if len(some):
+                    texts = column.to_pylist()
+                    for k, own in zip(some.tolist(), lists.take(pa.array(some)).to_pylist(), strict=True):
+                        new, found = _cut(texts[k].encode(), sorted(own, key=lambda x: (x["place"], x["earlier_id"])))
+                        texts[k], told[k] = new, found or None
+                    column = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([column if k == at else b.column(k) for k in range(len(kept))] + [pa.array(told, pa.list_(_BLOCK))], [*kept, "blocks"])
+
+    block = spark.createDataFrame([], "blocks array<struct<earlier_id:long,lo:int,hi:int,earlier_lo:int>>").schema
+    return rows.mapInArrow(lean(run), T.StructType(rows.select(*kept).schema.fields + block.fields))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, stretch: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lowered, slices, span_hashes, utf8, word_spans, written
+from .common import is_space, lean, lowered, slices, utf8, word_spans, written
 
 CAPACITY = 4096
 END_ID = 2
@@ -37,7 +37,7 @@ class WordTokenizer:
     casing A-Z first is safe as the tokenizer itself lower-cases.
     """
 
-    MOST = 500_000
+    MOST = 200_000
     PLAIN = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
@@ -82,14 +82,15 @@ class WordTokenizer:
         return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a column, and the offsets of each text's. Words of a column are told apart by 64-bit hash."""
+        """Ids of all texts of a column, and the offsets of each text's. Words of a column are told apart by their bytes."""
         data, offsets = utf8(column)
         if b"<|" not in data.tobytes():  # the tokenizer's special tokens are matched before lower-casing
             data = lowered(data)
         s, e, text = word_spans(data, offsets)
-        first, which = _distinct(span_hashes(data, s, e))
-        raw = data.tobytes()
-        words = [raw[i:j] for i, j in zip(s[first].tolist(), e[first].tolist(), strict=True)]
+        ends = np.cumsum(e - s)
+        held = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(data[~is_space(data)])])
+        distinct = held.dictionary_encode()
+        which, words = distinct.indices.to_numpy(), distinct.dictionary.to_pylist()
         found = list(map(self.seen.get, words))
         more = self._new([w for w, i in zip(words, found, strict=True) if i is None])
         if len(self.seen) + len(more) <= self.MOST:
@@ -104,16 +105,6 @@ class WordTokenizer:
         return ids, np.r_[0, np.cumsum(np.bincount(text, weights=each, minlength=len(column)))].astype(np.int64)
 
 
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one of each distinct value, and for each value the number of that one."""
-    order = np.argsort(h)
-    by = h[order]
-    new = np.r_[True, by[1:] != by[:-1]] if len(h) else np.zeros(0, bool)
-    which = np.empty(len(h), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], which
-
-
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -134,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _tokenizer(tokenizer)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             ids, offsets = words.encode(b.column("text"))
             rows: list[list] = [[] for _ in names]
             for k, d in enumerate(b.column("doc_id").to_pylist()):
@@ -146,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows[:5]] + [pa.array(r, pa.list_(pa.int32())) for r in rows[5:]], names)
 
     cols = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, cols)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), cols)
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -206,19 +197,22 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id, offset, sequence_tokens and padded_tokens to a table of pieces (doc_id, start, length, ...).
 
     cut is read three times, so it should be a stored table. padded_tokens is the stored length of the sequence:
-    its used length where that is a power of two, else the capacity.
+    its used length where that is a power of two, else the capacity. Repeated rows have places of their own; an empty
+    table gives no rows; other columns are kept, those of the four added names replaced (names that begin with __pack
+    are the operator's own). length must not be null.
     """
+    cut = cut.drop("sequence_id", "offset", "sequence_tokens", "padded_tokens")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots = _slots(pack_histogram(counts, capacity), capacity)
     buckets = max(16, sum(counts.values()) // RANKED)
-    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = dealt.withColumn("_rank", F.row_number().over(own)).join(sizes, ["length", "_bucket"])
-    ranked = ranked.select(*cut.columns, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
-    schema = ranked.drop("_rank").schema
+    dealt = cut.withColumn("__pack_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    sizes = dealt.groupBy("length", "__pack_bucket").agg(F.count("*").alias("__pack_n"))
+    before = Window.partitionBy("length").orderBy("__pack_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "__pack_bucket", F.coalesce(F.sum("__pack_n").over(before), F.lit(0)).alias("__pack_before"))
+    own = Window.partitionBy("length", "__pack_bucket").orderBy("doc_id", "start", "ids_crc32")
+    ranked = dealt.withColumn("__pack_rank", F.row_number().over(own)).join(sizes, ["length", "__pack_bucket"])
+    ranked = ranked.select(*cut.columns, (F.col("__pack_before") + F.col("__pack_rank") - 1).alias("__pack_rank"))
+    schema = ranked.drop("__pack_rank").schema
     for name in ("sequence_id", "offset", "sequence_tokens", "padded_tokens"):
         schema = schema.add(name, "long")
     kept = cut.columns
@@ -226,7 +220,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, base, offset, used = slots
         for b in batches:
-            key = (b.column("length").to_numpy() << 44) + b.column("_rank").to_numpy()
+            key = (b.column("length").to_numpy() << 44) + b.column("__pack_rank").to_numpy()
             i = np.searchsorted(starts, key, "right") - 1
             tokens = used[i]
             padded = np.where(tokens & (tokens - 1), capacity, tokens)

@@ -1,7 +1,9 @@
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillgrid.llm import langid
 from quillgrid.llm.common import mix
@@ -67,3 +69,25 @@ def test_edges(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 5, *range(7, 20)]
     none = langid.identify(df.filter("doc_id = 3")).collect()
     assert [r.lang_pred for r in none] == ["und"]
+
+
+def test_any_number_of_languages(spark):
+    r = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:03}": ["".join(r.choices(letters, k=6)) for _ in range(4)] for k in range(230)}
+    rows = [(k, " ".join(r.choices(w, k=8)), x) for k, (x, w) in enumerate(x for x in own.items() for _ in range(2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert len(model.langs) == 230
+    got = {x.doc_id: x for x in langid.predict(df, model).collect()}  # four blocks
+    one = {x.doc_id: x for x in langid.predict(df, model, block_langs=1000).collect()}
+    assert all(got[d].lang_pred == one[d].lang_pred == lang and abs(got[d].score - one[d].score) < 1e-4 for d, _, lang in rows)
+
+
+def test_texts_in_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    other = spark.createDataFrame([(-1, "съешь же ещё этих мягких французских булок да выпей чаю " * 3, None), (-2, "qzxj kvwq xxzq jjqx vvkz " * 3, None), (-3, "日本語の文章です。これは誰も知らない。", None)], docs.schema)
+    kept = {r.doc_id for r in langid.keep_known(docs.union(other)).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} | (kept & {-2}) and not kept & {-1, -3}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_known(unlabelled).count() == docs.count()

@@ -1,94 +1,117 @@
+import random
 import re
+import time
+from functools import cache
 
 import numpy as np
+import pytest
 
 from quillgrid.llm import linededup
 from quillgrid.llm.common import span_hashes
 
-HASH = lambda w: int(span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0])
+@cache
+def HASH(w):
+    return span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
 
 
-def slow_lines(text):
-    """Lines as lists of (word, byte start)."""
+def slow_line_starts(text):
+    """First words of the lines."""
     raw = text.encode()
-    out, now, since = [], [], 0
     words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
+    out, since = [0], 0
     for k, (s, e) in enumerate(words):
-        now.append((raw[s:e], s))
-        nxt = words[k + 1][0] if k + 1 < len(words) else len(raw)
-        hard = b"\n" in raw[e:nxt] or k + 1 == len(words)
+        hard = k + 1 == len(words) or b"\n" in raw[e : words[k + 1][0]]
         stops = re.search(rb"[.!?][^0-9A-Za-z\x80-\xff]*$", raw[s:e])
         since += 1
         if stops or hard:
             if hard or since >= linededup.SHORT:
-                out.append(now)
-                now = []
+                if k + 1 - out[-1] > linededup.LONG:
+                    out += [i + 1 for i in range(out[-1], k) if HASH(raw[words[i][0] : words[i][1]]) % np.uint64(linededup.CUT) == 0]
+                out.append(k + 1)
             since = 0
-    cut = []
-    for line in out:
-        if len(line) <= linededup.LONG:
-            cut.append(line)
-            continue
-        piece = []
-        for w in line:
-            piece.append(w)
-            if HASH(w[0].decode("utf-8", "replace")) % linededup.CUT == 0:
-                cut.append(piece)
-                piece = []
-        if piece:
-            cut.append(piece)
-    return cut
-
-
-def slow_runs(text, n):
-    ls = slow_lines(text)
-    size = [len(x) for x in ls]
-    spans = set()
-    for i in range(len(ls)):
-        t, j = 0, i
-        while j < len(ls) and t < n:
-            t += size[j]
-            j += 1
-        if t >= n:
-            spans.add((i, j - 1))
-        t, j = 0, i
-        while j >= 0 and t < n:
-            t += size[j]
-            j -= 1
-        if t >= n:
-            spans.add((j + 1, i))
-    flat = {s: tuple(w for x in ls[s[0] : s[1] + 1] for w, _ in x) for s in spans}
-    starts = [x[0][1] for x in ls] + [len(text.encode())]
-    return {s: (words, starts[s[0]], starts[s[1] + 1]) for s, words in flat.items()}
-
-
-def slow_dedup(rows, n):
-    seen, out = {}, []
-    ids = sorted({d for d, t in rows if d is not None and t is not None})
-    table = [(d, t, slow_runs(t or "", n)) for d, t in rows]
-    for d, t, r in table:
-        for words, _, _ in r.values():
-            if d is not None and t is not None:
-                seen[words] = min(seen.get(words, d), d)
-    for d, t, r in table:
-        gone = [(lo, hi) for words, lo, hi in r.values() if d is not None and seen[words] < d]
+    return out[:-1]
+
+
+def slow_lines(text, n, stretch):
+    """(first word, size) of all hashed lines."""
+    words = text.encode().split()
+    out = {(p, n) for p in slow_line_starts(text) if p + n <= len(words)}
+    if stretch:
+        gram, half = linededup.ANCHOR, (stretch - linededup.ANCHOR) // 2
+        h = np.array([HASH(w) for w in words], np.uint64)
+        g = [int(x) >> 20 for x in linededup.window_hashes(h, gram)]
+        for i in range(len(words) - stretch + 1):
+            p = min(range(i, i + stretch - gram + 1), key=lambda k: (g[k], k))
+            out |= {(q, gram + half) for q in (p, p - half) if q >= 0 and q + gram + half <= len(words)}
+    return sorted(out)
+
+
+def slow_rising(x):
+    """Longest strictly rising subsequence; of several, the one patience piles give: least values first, then the latest."""
+    size, back = [], []
+    for k, v in enumerate(x):
+        before = [j for j in range(k) if x[j] < v]
+        most = max((size[j] for j in before), default=0)
+        best = [j for j in before if size[j] == most]
+        back.append(min(best, key=lambda j: (x[j], -j)) if best else -1)
+        size.append(most + 1)
+    out, k = [], min((j for j in range(len(x)) if size[j] == max(size)), key=lambda j: (x[j], -j), default=-1)
+    while k >= 0:
+        out.append(k)
+        k = back[k]
+    return out[::-1]
+
+
+def slow_aligned(rows):
+    """Aligned (here, there, ...) rows by the textbook recursion."""
+    if not rows:
+        return []
+    keys = [r[1] for r in rows]
+    once = [r for r in rows if keys.count(r[1]) == 1] or [r for k, r in enumerate(rows) if r[1] not in keys[:k]]
+    chosen = [once[k] for k in slow_rising([r[1] for r in once])]
+    out = list(chosen)
+    for a, b in zip([(-1, -1), *chosen], [*chosen, (1 << 40, 1 << 40)]):
+        out += slow_aligned([r for r in rows if a[0] < r[0] < b[0] and a[1] < r[1] < b[1]])
+    return sorted(out)
+
+
+def slow_dedup(rows, n, stretch=0):
+    """(doc_id, text) with the aligned blocks deleted; blocks are followed as far as words are equal."""
+    table = [(d, t, t.encode().split(), slow_lines(t, n, stretch)) if d is not None and t is not None else (d, t, [], []) for d, t in rows]
+    first = {}
+    for k in sorted((k for k, r in enumerate(table) if r[0] is not None), key=lambda k: table[k][0]):
+        for p, size in table[k][3]:
+            first.setdefault(tuple(table[k][2][p : p + size]), (k, p))
+    out = []
+    for d, t, words, own in table:
+        pairs, gone = {}, set()
+        for p, size in own:
+            k, there = first[tuple(words[p : p + size])]
+            if table[k][0] < d:
+                pairs.setdefault(k, {}).setdefault((p, there), (p, there, size))
+        for k, shared in pairs.items():
+            other = table[k][2]
+            for p, there, size in slow_aligned(sorted(shared.values())):
+                lo, hi = 0, size
+                while p + hi < len(words) and there + hi < len(other) and words[p + hi] == other[there + hi]:
+                    hi += 1
+                while p + lo > 0 and there + lo > 0 and words[p + lo - 1] == other[there + lo - 1]:
+                    lo -= 1
+                gone |= set(range(p + lo, p + hi))
         if gone:
-            raw, keep = t.encode(), bytearray()
-            mask = bytearray(len(raw))
-            for lo, hi in gone:
-                mask[lo:hi] = b"\1" * (hi - lo)
-            keep = bytes(b for b, m in zip(raw, mask) if not m)
-            t = keep.decode().rstrip(" ")
+            raw = t.encode()
+            starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)] + [len(raw)]
+            t = (raw[: starts[0]] + b"".join(raw[starts[i] : starts[i + 1]] for i in range(len(words)) if i not in gone)).decode().rstrip(" ")
         out.append((d, t))
-    assert ids is not None
     return out
 
 
-def test_sample_against_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars < 9000")
+@pytest.mark.parametrize(("stretch", "chars"), [(0, 9000), (50, 1500)])
+def test_sample_against_brute_force(spark, stretch, chars):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(f"n_chars < {chars}")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want = sorted(slow_dedup(rows, linededup.MIN_WORDS))
-    got = linededup.report(docs).collect()
+    want = sorted(slow_dedup(rows, linededup.MIN_WORDS, stretch))
+    got = linededup.report(docs, stretch=stretch).collect()
     assert sorted((r.doc_id, r.text) for r in got) == want
     changed = dict(rows)
     assert sum(r.text != changed[r.doc_id] for r in got) > 50
@@ -98,14 +121,44 @@ def test_sample_against_brute_force(spark):
 
 P = "This passage has rather many words. It goes on for a while, and on, and on again. Then it comes to its end at last, or nearly so."
 Q = "Another one begins here! It is as long as the first was, with words that differ from those. Does it end? It does, in some more words."
+R = "The third of them holds as many words again, none of which the others hold in such an order. It ends like this, and not in another way."
 
 
-def test_moved_and_repeated_blocks(spark):
-    a, b = f"Own start of this text. {P} Middle of it.\n{Q}", f"{Q}\nBetween them there is this. {P} {P} Own end."
+def test_alignment_decides(spark):
+    """Of blocks in another order, the longest rising ones go; moved and repeated ones stay, though both documents hold them."""
+    a, b = f"Own start of this text. {P} Middle of it.\n{Q} Bridge. {R}", f"{Q}\nBetween them there is this. {R} {P} {Q} Own end."
     df = spark.createDataFrame([(2, b, "x", 1), (1, a, "y", 2)], "doc_id long, text string, run string, lo int")
     got = {r.doc_id: r for r in linededup.dedup(df).collect()}
     assert got[1].text == a and got[1].blocks is None and got[1].run == "y"
-    assert got[2].text == "Between them there is this. Own end." and {x.earlier_id for x in got[2].blocks} == {1}
+    want = dict(slow_dedup([(1, a), (2, b)], linededup.MIN_WORDS))
+    union = "Between them there is this. Own end."  # what is left without any shared line
+    assert got[2].text == want[2] != union and {x.earlier_id for x in got[2].blocks} == {1}
+    assert got[2].text == f"{Q}\nBetween them there is this. {R} Own end."
+
+
+def test_alignment_of_random_lines():
+    r = random.Random(3)
+    for _ in range(300):
+        n = r.randrange(1, 14)
+        rows = sorted({(r.randrange(30), r.randrange(8)) for _ in range(n)})
+        rows = [x for k, x in enumerate(rows) if not k or x[0] != rows[k - 1][0]]
+        got = linededup.aligned([x[0] for x in rows], [x[1] for x in rows])
+        assert [rows[k] for k in got] == slow_aligned(rows)
+
+
+def test_many_repeated_lines_are_fast():
+    began = time.time()
+    n = 20000
+    assert linededup.aligned(list(range(n)), [0] * n) == [0]
+    assert len(linededup.aligned(list(range(n)), list(range(n, 0, -1)))) == 1
+    assert len(linededup.aligned(list(range(n)), [k % 100 for k in range(n)])) == 100
+    assert time.time() - began < 2
+
+
+def test_equal_hashes_alone_delete_nothing():
+    words = b"a b c d e f".split()
+    assert linededup.common_block(words, 1, 3, [b"a"], b"b c x e f".split()) == (1, 1)
+    assert linededup.common_block(words, 1, 3, [b"z", b"a"], b"b c d e y".split()) == (0, 5)
 
 
 def test_edges(spark):
@@ -125,5 +178,5 @@ def test_edges(spark):
 
 
 def test_patience():
-    assert linededup.patience([(0, 5), (1, 1), (2, 2), (3, 0), (4, 3)]) == [1, 2, 4]
+    assert linededup.patience([5, 1, 2, 0, 3]) == [1, 2, 4]
     assert linededup.patience([]) == []

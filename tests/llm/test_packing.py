@@ -95,3 +95,14 @@ def encoded(tokenizer, texts):
 
 
 _OWN, _WHOLE = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+
+
+def test_words_are_told_apart_by_their_bytes():
+    morse = "a"
+    while len(morse) < 1024:  # the two words differ everywhere, yet any polynomial hash modulo 2**64 takes them for one
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    texts = [morse, morse.translate(str.maketrans("ab", "ba")), f"{morse} {morse[::-1]} {morse}"]
+    ids, offsets = packing.WordTokenizer(PATH).encode(pa.array(texts))
+    whole = Tokenizer.from_file(PATH)
+    for k, t in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids
