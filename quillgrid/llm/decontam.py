@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, lowered, slices, span_hashes, utf8
+from .common import gram_hashes, lean, lowered, slices, span_hashes, utf8
 
 SEED = 3
 RARE = 1e-9
@@ -173,7 +173,7 @@ def word_logs(rows: DataFrame, words: np.ndarray) -> dict[int, float]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[n[some], total])], ["word", "n"])
 
     # as many rows as there are distinct words in a block of test items
-    got = rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    got = rows.select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = {r.word: r.n for r in got}
     total = max(1, n.pop(-1, 0))
     return {int(words[k]): float(np.log(v / total)) for k, v in n.items()} | {-1: float(np.log(total))}
@@ -224,12 +224,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     out = None
     for ids, words in _items(benchmark, item_id, item_text):
         block = Seeds(ids, words, word_logs(rows, np.concatenate(words)))
-        found = rows.mapInArrow(_aligned(block, min_score), schema)
+        found = rows.mapInArrow(lean(_aligned(block, min_score)), schema)
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows whose doc_id has a leak; all columns are kept. Rows with a null doc_id stay."""
-    found = leaks(docs, benchmark, doc_id, text, min_score=min_score).select(F.col("doc_id").alias("__leak")).filter("__leak is not null").distinct()
-    return docs.join(found, docs[doc_id].cast("long") == found["__leak"], "left_anti")
+    """docs without the rows whose text holds a copy of a test item; all columns are kept.
+
+    Several texts under one doc_id are judged apart. Rows with a null doc_id and null texts stay; rows given twice stay
+    or go together; empty tables lose nothing; names that begin with __leak are the operator's own.
+    """
+    marks = docs.filter(F.col(doc_id).isNotNull()).select(F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = leaks(marks, benchmark, min_score=min_score).select(F.col("doc_id").alias("__leak_of")).distinct()
+    rows = docs.withColumn("__leak", F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id), F.col(text).cast("string"))))
+    return rows.join(found, rows["__leak"] == found["__leak_of"], "left_anti").drop("__leak")

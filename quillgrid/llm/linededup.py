@@ -1,11 +1,10 @@
 """Passage dedup: shared rare line hashes find overlapping documents, patience diff aligns them, and aligned common
 blocks are deleted from the later document.
 
-A document's lines are hashed with what follows: `min_words` words from the start of each sentence or text line, and
-`ANCHOR + stretch // 2` words after and before anchors. Anchors are picked by winnowing (the least ANCHOR-word gram of
-every window of `stretch` words), so that any shared `stretch` words hold a common line wherever they start. Lines of so
-many words are rare by themselves; each document meets, for every line that an earlier document holds, the earliest such
-document, never all others (a line held by n documents gives n - 1 rows).
+A line is a run of `min_words` words: one from the start of each sentence or text line, and with `stretch` also those
+whose hash is the least within some `stretch` words (winnowing), so that any shared `stretch` words hold a common line
+wherever they start. Lines of so many words are rare by themselves; each document meets, for every line that an earlier
+document holds, the earliest such document, never all others (a line held by n documents gives n - 1 rows).
 
 The shared lines of such a pair are aligned by patience diff (`align`). The aligned blocks are then compared word by word
 with the text of the earlier document, so that equal hashes alone delete nothing, and followed to their true ends.
@@ -26,12 +25,14 @@ from pyspark.sql import types as T
 from .common import lean, mix, partitions, slices, span_hashes, utf8, word_spans, written
 
 MIN_WORDS = 20
-#: Shared words that always hold a common line wherever they start, and the words of a gram that anchors a line.
-STRETCH, ANCHOR = 50, 8
+#: Shared words that always hold a common line wherever they start.
+STRETCH = 50
 #: A sentence of fewer words is no line of its own; a line of over LONG words also ends after words whose hash is a multiple of CUT.
 SHORT, LONG, CUT = 4, 32, 16
 #: Bytes beyond an aligned block that are compared; equal words go on no further than the next common line.
-MARGIN = 1024
+MARGIN = 2048
+#: Aligned lines at one distance and so many bytes apart at most are looked up as one block.
+GAP = 512
 _NEWLINE, _END = ord("\n"), np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 _LETTER = np.zeros(256, bool)
@@ -82,24 +83,24 @@ def least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :])
 
 
-def anchors(h: np.ndarray, text: np.ndarray, stretch: int) -> np.ndarray:
-    """First words of the grams that are the least of some window of stretch words inside one text."""
-    n, gram = len(h), min(ANCHOR, stretch)
-    if n < stretch:
+def anchors(lines: np.ndarray, text: np.ndarray, n: int, stretch: int) -> np.ndarray:
+    """First words of the runs of n words whose hash is the least of some window of stretch words inside one text."""
+    if len(text) < stretch or stretch < n:
         return np.zeros(0, np.int64)
-    i = np.arange(n - gram + 1)
+    i = np.arange(len(lines))
     low = np.uint64((1 << 20) - 1)
-    # the place in the low bits: of equal grams the first one is the least
-    found = least(window_hashes(h, gram) & ~low | (i.astype(np.uint64) & low), stretch - gram + 1)
-    i = np.flatnonzero(text[: n - stretch + 1] == text[stretch - 1 :])
+    # the place in the low bits: of equal hashes the first one is the least
+    found = least(lines & ~low | (i.astype(np.uint64) & low), stretch - n + 1)
+    i = np.flatnonzero(text[: len(text) - stretch + 1] == text[stretch - 1 :])
     place = (found[i] & low).astype(np.int64)
     return np.unique(i + (place - i) % (1 << 20))
 
 
 def run_table(docs: DataFrame, min_words: int = MIN_WORDS, stretch: int = 0) -> DataFrame:
-    """(run, doc_id, text_hash, place, size, span) of the hashed lines of docs (doc_id, text, text_hash).
+    """(run, doc_id, place) of the lines of docs (doc_id, text, text_hash).
 
-    place, size: first word and number of words. span: bytes lo << 32 | hi of the text. Anchored lines only with stretch.
+    run: hash of the line's words. place: text_hash << 32 and the byte where the line starts. Winnowed lines only with
+    stretch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,29 +108,17 @@ def run_table(docs: DataFrame, min_words: int = MIN_WORDS, stretch: int = 0) ->
             data, offsets = utf8(b.column("text"))
             s, e, text = word_spans(data, offsets)
             h = span_hashes(data, s, e)
-            w0 = [line_starts(data, s, e, text, h)]
-            size = [np.full(len(w0[0]), min_words)]
+            key = window_hashes(h, min_words)
+            w0 = line_starts(data, s, e, text, h)
             if stretch:
-                p, half = anchors(h, text, stretch), (stretch - min(ANCHOR, stretch)) // 2
-                w0 += [p, p - half]
-                size += [np.full(len(p), min(ANCHOR, stretch) + half)] * 2
-            w0, size = np.concatenate(w0), np.concatenate(size)
-            ok = (w0 >= 0) & (w0 + size <= len(s))
-            w0, size = w0[ok], size[ok]
-            ok = text[w0] == text[w0 + size - 1]
-            w0, size = w0[ok], size[ok]
-            if not len(w0):
-                continue
-            key = np.empty(len(w0), np.uint64)
-            for n in np.unique(size):
-                key[size == n] = window_hashes(h, int(n))[w0[size == n]]
+                w0 = np.union1d(w0, anchors(key, text, min_words, stretch))
+            w0 = w0[w0 < len(key)]
+            w0 = w0[text[w0] == text[w0 + min_words - 1]]
             own = text[w0]
-            place = w0 - np.searchsorted(text, np.arange(b.num_rows), "left")[own]
-            span = (s[w0] - offsets[own] << 32) | (e[w0 + size - 1] - offsets[own])
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("doc_id").take(take), b.column("text_hash").take(take), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(span)], ["run", "doc_id", "text_hash", "place", "size", "span"])
+            place = b.column("text_hash").to_numpy().astype(np.int64)[own] << 32 | (s[w0] - offsets[own])
+            yield pa.RecordBatch.from_arrays([pa.array(key[w0].view(np.int64)), b.column("doc_id").take(pa.array(own)), pa.array(place)], ["run", "doc_id", "place"])
 
-    return docs.mapInArrow(lean(run), "run long, doc_id long, text_hash int, place int, size int, span long")
+    return docs.mapInArrow(lean(run), "run long, doc_id long, place long")
 
 
 def patience(there: list[int]) -> list[int]:
@@ -181,29 +170,26 @@ def aligned(here: list[int], there: list[int]) -> list[int]:
     return sorted(out)
 
 
-def align(shared: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, int, int, int, bool]]:
-    """Blocks (place here, place there, words, bytes lo << 32 | hi there, again) of a pair of documents from its shared lines.
+def align(shared: list[tuple[int, int, bool]]) -> list[tuple[list[int], int, bool]]:
+    """Blocks (places here, first place there, again) of a pair of documents from its shared lines.
 
-    shared: distinct (place here, place there, size, span there, again), sorted; again: whether the earlier document
-    repeats the line. Aligned lines that overlap or touch at one distance are one block.
+    shared: distinct (place here, place there, again) in bytes, sorted; again: whether the earlier document repeats the
+    line. Aligned lines near each other at one distance are one block.
     """
-    shared = [x for k, x in enumerate(shared) if not k or shared[k - 1][:2] != x[:2]]  # two lines at one place: the first
-    found: list[tuple[int, int, int, int, bool]] = []
+    found: list[tuple[list[int], int, bool]] = []
     for k in aligned([x[0] for x in shared], [x[1] for x in shared]):
-        here, there, size, span, again = shared[k]
-        if found:
-            at, to, n, held, before = found[-1]
-            if here - there == at - to and here <= at + n:
-                found[-1] = (at, to, max(n, here + size - at), held >> 32 << 32 | max(held & 0xFFFFFFFF, span & 0xFFFFFFFF), before or again)
-                continue
-        found.append((here, there, size, span, again))
+        here, there, again = shared[k]
+        if found and here - there == found[-1][0][0] - found[-1][1] and here - found[-1][0][-1] <= GAP:
+            found[-1] = ([*found[-1][0], here], found[-1][1], found[-1][2] or again)
+        else:
+            found.append(([here], there, again))
     return found
 
 
 def _pair_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by pair and place to the pair's aligned blocks."""
-    names = ["doc_id", "text_hash", "earlier_id", "earlier_hash", "place", "there", "size", "span", "again"]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+    """Rows (doc_id, text_hash, earlier_id, earlier_hash, here, there, again) sorted by pair and place to the pair's blocks."""
+    names = ["doc_id", "text_hash", "earlier_id", "earlier_hash", "places", "there", "again"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.bool_())
     out: list[tuple] = []
     pair, shared = None, []
 
@@ -231,43 +217,44 @@ def _pair_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def common_block(words: list[bytes], place: int, size: int, before: list[bytes], other: list[bytes]) -> tuple[int, int]:
-    """First word and end of the equal words around a block of size words from place; (place, place) if it isn't equal.
+def _words(raw: bytes) -> tuple[list[bytes], list[int]]:
+    """Words and where they start."""
+    return raw.split(), word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
 
-    other: the earlier document's words from the block on; before: those that lead to it.
-    """
-    if words[place : place + size] != other[:size]:
-        return place, place
-    lo, hi = place, place + size
-    for x in other[size:]:
-        if hi >= len(words) or words[hi] != x:
-            break
+
+def common_block(words: list[bytes], i: int, other: list[bytes], j: int, n: int) -> tuple[int, int]:
+    """First word and end of the equal words around n words from i and, in the other document, j; (i, i) if those differ."""
+    if words[i : i + n] != other[j : j + n] or j + n > len(other) or i + n > len(words):
+        return i, i
+    lo, hi, shift = i, i + n, j - i
+    while hi < len(words) and hi + shift < len(other) and words[hi] == other[hi + shift]:
         hi += 1
-    for x in reversed(before):
-        if not lo or words[lo - 1] != x:
-            break
+    while lo and lo + shift and words[lo - 1] == other[lo - 1 + shift]:
         lo -= 1
     return lo, hi
 
 
-def _cut(raw: bytes, blocks: list[dict]) -> tuple[str, list[dict]]:
+def _cut(raw: bytes, blocks: list[dict], n: int) -> tuple[str, list[dict]]:
     """The text without the blocks that it really shares, and those (earlier_id, lo, hi, earlier_lo) in bytes."""
-    words = raw.split()
-    starts = np.r_[word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0], len(raw)].tolist()
+    words, starts = _words(raw)
+    starts.append(len(raw))
     found = []
     for b in blocks:
-        lead = b["lo"] - b["start"]
-        part = b["part"]
-        before, other = part[:lead].split(), part[lead:].split()
-        if b["start"] and before and not part[:1].isspace():
-            before = before[1:]  # may be the end of a word
-        if b["start"] + len(part) < b["whole"] and not part[-1:].isspace():
+        part, base = b["part"], b["start"]
+        other, at = _words(part)
+        if base and other and not part[:1].isspace():
+            other, at = other[1:], at[1:]  # may be the end of a word
+        if base + len(part) < b["whole"] and not part[-1:].isspace():
             other = other[:-1]
-        lo, hi = common_block(words, b["place"], b["size"], before, other)
-        if hi > lo:
-            back = sum(map(len, before[len(before) - (b["place"] - lo) :])) if lo < b["place"] else 0
-            there = b["lo"] - back - (b["place"] - lo)  # one space a word, as a rule
-            found.append({"earlier_id": b["earlier_id"], "lo": starts[lo], "hi": starts[hi], "earlier_lo": max(0, there)})
+        done = -1
+        for here in b["places"]:
+            if here < done:
+                continue
+            i, j = bisect_left(starts, here), bisect_left(at, here - b["places"][0] + b["there"] - base)
+            lo, hi = common_block(words, i, other, j, n)
+            if hi > lo:
+                found.append({"earlier_id": b["earlier_id"], "lo": starts[lo], "hi": starts[hi], "earlier_lo": base + at[lo + j - i]})
+                done = starts[hi]
     keep, at = [], 0
     for b in sorted(found, key=lambda b: (b["lo"], b["hi"])):
         keep.append(raw[at : b["lo"]] if b["lo"] > at else b"")
@@ -284,7 +271,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
 
     A passage is a block of equal words that patience diff aligns with the earliest document that holds one of its hashed
     lines. So of any whole lines with at least min_words words that an earlier document holds, and with stretch of any
-    stretch words wherever they start, at least a hashed line's words go (29 of 50), unless the alignment leaves them out
+    stretch words wherever they start, at least a line's words go (20 of 50), unless the alignment leaves them out
     as moved or repeated; those stay, and what an even earlier holder of the line lacks may stay too. White space between
     words does not matter.
 
@@ -300,21 +287,21 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     held = found.groupBy("run").agg(F.min("doc_id").alias("earlier_id"), F.max("doc_id").alias("_last")).filter("_last > earlier_id").select("run", "earlier_id")
     repeated = written(found.join(held.hint("shuffle_hash"), "run"), "repeated")
     # a table of its own, so that a run which very many documents hold is split in the join
-    first = repeated.filter("doc_id = earlier_id").groupBy("run").agg(F.min(F.struct("text_hash", "place", "span")).alias("_first"), (F.count("*") > 1).alias("again"))
-    first = written(first.select("run", F.col("_first.text_hash").alias("earlier_hash"), F.col("_first.place").alias("there"), F.col("_first.span").alias("span"), "again"), "first")
-    shared = repeated.filter("doc_id > earlier_id").drop("span").join(first, "run")
-    order = ["doc_id", "text_hash", "earlier_id", "earlier_hash"]
-    shared = shared.select(*order, "place", "there", "size", "span", "again").repartition(partitions(spark), *order).sortWithinPartitions(*order, "place", "there")
-    blocks = written(shared.mapInArrow(lean(_pair_blocks), "doc_id long, text_hash int, earlier_id long, earlier_hash int, place int, there int, size int, span long, again boolean"), "blocks")
+    first = written(repeated.filter("doc_id = earlier_id").groupBy("run").agg(F.min("place").alias("first"), (F.count("*") > 1).alias("again")), "first")
+    shared = repeated.filter("doc_id > earlier_id").join(first.hint("shuffle_hash"), "run").drop("run").repartition(partitions(spark), "doc_id")
+    high, low = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    shared = shared.select("doc_id", high("place").alias("text_hash"), "earlier_id", high("first").alias("earlier_hash"), low("place").alias("here"), low("first").alias("there"), "again")
+    shared = shared.sortWithinPartitions("doc_id", "text_hash", "earlier_id", "earlier_hash", "here", "there")
+    blocks = written(shared.mapInArrow(lean(_pair_blocks), "doc_id long, text_hash int, earlier_id long, earlier_hash int, places array<int>, there int, again boolean"), "blocks")
     # the earlier document's bytes around each block
     texts = slim.join(blocks.select(F.col("earlier_id").alias("doc_id"), F.col("earlier_hash").alias("text_hash")).distinct(), ["doc_id", "text_hash"], "left_semi")
     texts = texts.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("earlier_id"), F.col("text_hash").alias("earlier_hash"), "text")
-    lo, hi = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     # without anchors, or where the earlier document repeats itself, equal words may go on without another line that is aligned
     whole = F.col("again") | F.lit(not stretch)
-    start = F.when(whole, 0).otherwise(F.greatest(F.lit(0), lo - MARGIN))
-    size = F.when(whole, F.octet_length("text")).otherwise(hi + MARGIN - start)
-    parts = blocks.join(texts, ["earlier_id", "earlier_hash"]).select("doc_id", "text_hash", F.struct("earlier_id", "place", "size", lo.alias("lo"), hi.alias("hi"), start.alias("start"), F.octet_length("text").alias("whole"), F.substring(F.col("text").cast("binary"), start + 1, size).alias("part")).alias("_block"))
+    start = F.when(whole, 0).otherwise(F.greatest(F.lit(0), F.col("there") - MARGIN))
+    size = F.when(whole, F.octet_length("text")).otherwise(F.col("there") + F.element_at("places", -1) - F.element_at("places", 1) + MARGIN - start)
+    part = F.substring(F.col("text").cast("binary"), start + 1, size).alias("part")
+    parts = blocks.join(texts, ["earlier_id", "earlier_hash"]).select("doc_id", "text_hash", F.struct("earlier_id", "places", "there", start.alias("start"), F.octet_length("text").alias("whole"), part).alias("_block"))
     # at most as many blocks as the document has lines
     cut = parts.groupBy("doc_id", "text_hash").agg(F.collect_list("_block").alias("__cut_blocks")).select(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias("__cut_hash"), "__cut_blocks")
     rows = docs.withColumn(text, F.col(text).cast("string"))
@@ -331,7 +318,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
                 if len(some):
                     texts = column.to_pylist()
                     for k, own in zip(some.tolist(), lists.take(pa.array(some)).to_pylist(), strict=True):
-                        new, found = _cut(texts[k].encode(), sorted(own, key=lambda x: (x["place"], x["earlier_id"])))
+                        new, found = _cut(texts[k].encode(), sorted(own, key=lambda x: (x["places"], x["earlier_id"])), min_words)
                         texts[k], told[k] = new, found or None
                     column = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([column if k == at else b.column(k) for k in range(len(kept))] + [pa.array(told, pa.list_(_BLOCK))], [*kept, "blocks"])

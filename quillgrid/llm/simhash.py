@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, written
+from . import shingles
+from .common import lean, partitions, slices, written
 from .components import components
 
 RADIUS = 3
@@ -64,54 +65,72 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, fp long")
+
+
+def _wide(fps: np.ndarray) -> np.ndarray:
+    """Fingerprints of one or more 64-bit words as a matrix."""
+    return fps.reshape(len(fps), -1)
+
+
+def _bits(fps: np.ndarray) -> np.ndarray:
+    """One row of bits for each fingerprint."""
+    wide = _wide(fps)
+    return np.unpackbits(np.ascontiguousarray(wide.astype(">u8")).view(np.uint8).reshape(len(wide), -1), axis=1)
 
 
 def within(x: np.ndarray, radius: int = RADIUS, block: int = 4096) -> np.ndarray:
-    """Which of the xor values x have at most radius set bits, by bit planes and carry-save counters (radius < 8).
+    """Which of the xor values x have at most radius set bits, by bit planes and carry-save counters.
 
     Planes are taken one by one for a block of values; the block is left once all its counters exceed the radius.
     """
     out = np.zeros(len(x), bool)
     for at in range(0, len(x), block):
         part = x[at : at + block]
-        planes = np.packbits(np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).T, axis=1)
+        planes = np.packbits(_bits(part).T, axis=1)
         out[at : at + block] = ~np.unpackbits(_over(planes, radius), count=len(part)).astype(bool)
     return out
 
 
 def _over(differences: Iterator[np.ndarray] | np.ndarray, radius: int) -> np.ndarray:
-    """Bits of the candidates whose planes of differences have more than radius ones; stops when all have."""
-    over = one = two = four = None
-    for k, d in enumerate(differences):
-        if over is None:
-            over, one, two, four = (np.zeros_like(d) for _ in range(4))
-        carry = one & d
-        one = one ^ d
-        more = two & carry
-        two = two ^ carry
-        over |= four & more
-        four = four ^ more
-        beyond = {3: four, 2: four | (one & two), 1: four | two, 0: four | two | one}[radius] if radius <= 3 else None
-        if beyond is None:
-            beyond = np.bitwise_or.reduce([m for v, m in _values(one, two, four) if v > radius])
-        over |= beyond
-        if k % 8 == 7 and k > radius and (over == np.iinfo(over.dtype).max).all():
-            break
-    return over
-
+    """Bits of the candidates whose planes of differences have more than radius ones; stops when all have.
 
-def _values(one: np.ndarray, two: np.ndarray, four: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    return [(v, (one if v & 1 else ~one) & (two if v & 2 else ~two) & (four if v & 4 else ~four)) for v in range(8)]
+    The counters are vertical as well: bit k of all counters is one plane, and a plane of differences is added by
+    carries. A counter that runs over exceeds the radius for good.
+    """
+    over, counters = None, []
+
+    def exceed() -> np.ndarray:
+        more, same = np.zeros_like(over), ~np.zeros_like(over)
+        for k in range(len(counters) - 1, -1, -1):
+            if radius >> k & 1:
+                same &= counters[k]
+            else:
+                more |= same & counters[k]
+                same &= ~counters[k]
+        return over | more
+
+    for k, carry in enumerate(differences):
+        if over is None:
+            over = np.zeros_like(carry)
+            counters = [np.zeros_like(carry) for _ in range(max(1, radius.bit_length()))]
+        for c, count in enumerate(counters):
+            counters[c], carry = count ^ carry, count & carry
+        over |= carry
+        if k % 8 == 7 and k > radius:
+            over = exceed()
+            if (over == np.iinfo(over.dtype).max).all():
+                return over
+    return exceed()
 
 
 class Planes:
-    """Fingerprints as 64 vertical bit planes, compared with several queries at a time."""
+    """Fingerprints as vertical bit planes, compared with several queries at a time."""
 
     def __init__(self, fps: np.ndarray) -> None:
         self.n = len(fps)
-        bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).T
-        wide = np.zeros((64, -(-self.n // 64) * 64), np.uint8)
+        bits = _bits(fps).T
+        wide = np.zeros((len(bits), -(-self.n // 64) * 64), np.uint8)
         wide[:, : self.n] = bits
         self.planes = np.packbits(wide, axis=1).view(np.uint64)
         valid = np.zeros(wide.shape[1], np.uint8)
@@ -120,7 +139,7 @@ class Planes:
 
     def near(self, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         """A row of candidate bits for each query: those within the radius."""
-        flip = np.unpackbits(queries.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(bool).T
+        flip = _bits(queries).astype(bool).T
         ones = np.uint64(0xFFFFFFFFFFFFFFFF)
         # outside the table bits count as exceeding, so that a block can be left early
         start = (p[None, :] ^ np.where(f, ones, np.uint64(0))[:, None] for p, f in zip(self.planes, flip, strict=True))
@@ -146,6 +165,8 @@ def forest(fps: np.ndarray, radius: int = RADIUS, queries: int = 64) -> list[tup
         while len(front):
             fresh = []
             unseen = np.packbits(np.pad(left, (0, len(table.valid) * 64 - n))).view(np.uint64)
+            if not left.any():
+                break
             for at in range(0, len(front), queries):
                 hit = np.bitwise_or.reduce(table.near(fps[front[at : at + queries]], radius), axis=0) & unseen
                 got = take(hit)
@@ -181,24 +202,38 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int)
 
 def _link_rows(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        kept: list[np.ndarray] = []
 
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            x, y = bucket_links(cols[0], cols[1].view(np.uint64), cols[2], radius)
+            x, y = bucket_links(cols[0], np.stack(cols[2:], axis=1).view(np.uint64), cols[1], radius)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
         for batch in batches:  # sorted by key; the last key may go on in the next batch
-            cols = [np.concatenate([k, c.to_numpy()]) for k, c in zip(kept, batch.columns, strict=True)]
+            cols = [c.to_numpy() for c in batch.columns]
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)] if kept else cols
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             kept = [c[cut:] for c in cols]
             if cut:
                 yield out([c[:cut] for c in cols])
-        if len(kept[0]):
+        if kept and len(kept[0]):
             yield out(kept)
 
-    return run
+    return lean(run)
+
+
+def paired_parts(rows: DataFrame, sizes: DataFrame, by: str, parts: Column, of: str) -> DataFrame:
+    """rows of the groups that sizes lists, with the number key of their task's group.
+
+    A group of several parts (a column of sizes, at least 1) is never one task's: its rows go to parts by the hash of
+    column of, and each pair of parts is one group.
+    """
+    own = F.pmod(F.xxhash64(of), F.col("__parts"))
+    mates = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1), lambda j: F.least(j, F.col("__own")) * F.col("__parts") + F.greatest(j, F.col("__own")))
+    kept = [c for c in rows.columns if c != by]
+    dealt = rows.join(sizes.select(by, parts.cast("long").alias("__parts")).hint("shuffle_hash"), by).withColumn("__own", own)
+    return dealt.select(by, *kept, F.explode(mates).alias("__pair")).select(F.xxhash64(by, "__pair").alias("key"), *kept)
 
 
 def _band(fp: Column, number: int, pair: tuple[int, int]) -> Column:
@@ -212,19 +247,9 @@ def links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
     if not 0 <= radius <= 3:
         raise ValueError("five blocks serve a radius of 0 to 3")
     bands = F.array(*[_band(F.col("fp"), i, p) for i, p in enumerate(combinations(range(5), 2))])
-    rows = reps.select("fp", "rep", F.explode(bands).alias("band"))
+    rows = reps.select(F.explode(bands).alias("band"), "rep", "fp")
     sizes = rows.groupBy("band").count().filter("count > 1")
-    # buckets of over PART rows: rows go to parts by hash, and each pair of parts is one group
-    parts = F.ceil(F.col("count") / PART).cast("long")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    mates = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.least(j, F.col("own")) * F.col("parts") + F.greatest(j, F.col("own")))
-    dealt = (
-        rows.join(sizes, "band")
-        .withColumn("parts", parts)
-        .withColumn("own", own)
-        .select("band", "fp", "rep", F.explode(mates).alias("pair"))
-        .select(F.xxhash64("band", "pair").alias("key"), "fp", "rep")
-    )
+    dealt = paired_parts(rows, sizes, "band", F.ceil(F.col("count") / PART), "fp")
     n = partitions(reps.sparkSession)
     return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_rows(radius), "a long, b long")
 
@@ -242,3 +267,56 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = written(components(links(reps, radius)), "components")
     to = reps.join(found, reps.rep == found.vertex, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(to, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, group_id, keeps) of the distinct rows of docs: groups linked by similar sets of word shingles.
+
+    text_hash: Spark's xxhash64 of the text. Texts are linked if their sets of shingles of width words (A-Z lower-cased;
+    fewer words: all of them) have a Jaccard similarity of at least similarity; a group holds all that is linked. keeps
+    is true for the first row of each group, by doc_id (null last) and text_hash. Null texts and texts without a word are
+    equal to each other. Rows of one doc_id with different texts are rows of their own; rows given twice come back once;
+    an empty table gives no rows; further columns are not read.
+
+    Texts of that similarity share one of their rarest shingles (a prefix of each set in one order of all shingles), so
+    such shingles are the blocks in which 128-bit fingerprints are compared bit-sliced, within a radius that similar
+    sets exceed less than once in 100,000. What a block connects is compared by the sets themselves. Equal sets are one
+    vertex, blocks and connected groups of any size are split into pairs of parts, and both steps yield spanning forests.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    told = written(shingles.sets(rows, width), "sets")
+    found = told.filter("set_hi is not null").drop("bucket", "held")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    classes = found.groupBy("set_hi", "set_lo").agg(F.min(order).alias("first"), F.max("size").alias("size"), *[F.max(c).alias(c) for c in shingles.PRINT])
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    some = classes.filter("size > 0")
+    # one text of each set; rows given twice fall together in the partitions of the join
+    place = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), "text_hash"]
+    firsts = some.select("rep", "first.*").select("rep", *place)
+    texts = rows.select("text", *place).join(firsts, ["_id", "_null", "text_hash"]).dropDuplicates(["_id", "_null", "text_hash"]).select("rep", "text")
+    blocks = written(shingles.prefixes(texts, shingles.rarity(told), width, similarity), "prefixes")
+    sizes = blocks.groupBy("shingle").count().filter("count > 1")
+    pairs = paired_parts(blocks, sizes, "shingle", F.ceil(F.col("count") / PART), "rep").join(some.select("rep", *shingles.PRINT), "rep").select("key", "rep", *shingles.PRINT)
+    n = partitions(docs.sparkSession)
+    near = pairs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_rows(shingles.radius(similarity)), "a long, b long")
+    joined = written(components(near), "connected")
+    members = joined.select(F.col("vertex").alias("rep"), F.col("component").alias("group")).join(some.select("rep", "size"), "rep")
+    weights = members.groupBy("group").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    parts = F.greatest(F.ceil(F.col("words") / shingles.PART_WORDS), F.ceil(F.col("n") / shingles.PART_SETS))
+    alike = paired_parts(members.select("group", "rep").join(texts, "rep").select("group", "rep", "text"), weights, "group", parts, "rep")
+    sure = alike.repartition(n, "key").sortWithinPartitions("key").mapInArrow(shingles.similar(width, similarity), "a long, b long")
+    groups = written(components(sure), "groups")
+    named = classes.join(groups, classes.rep == groups.vertex, "left").select("set_hi", "set_lo", "first", F.coalesce("component", "rep").alias("group_id"))
+    best = named.groupBy("group_id").agg(F.min("first").alias("_best"))
+    named = named.join(best, "group_id").select("set_hi", "set_lo", "group_id", F.col("_best.doc_id").alias("_id"), F.col("_best.text_hash").alias("_hash"))
+    out = found.select("doc_id", "text_hash", "set_hi", "set_lo").distinct().join(named, ["set_hi", "set_lo"])
+    return out.select("doc_id", "text_hash", "group_id", (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).alias("keeps"))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """docs with one row of each group of `near_duplicates`; all columns are kept (`__dup_id`, `__dup_hash` are its own names)."""
+    kept = near_duplicates(docs, doc_id, text, width, similarity).filter("keeps").select(F.col("doc_id").alias("__dup_id"), F.col("text_hash").alias("__dup_hash"))
+    rows = docs.withColumn("__dup_hash", F.xxhash64(F.col(text).cast("string"))).withColumn("__dup_id", F.col(doc_id).cast("long"))
+    same = rows["__dup_id"].eqNullSafe(kept["__dup_id"]) & (rows["__dup_hash"] == kept["__dup_hash"])
+    # equal partitioning, so that rows given twice fall together without another shuffle
+    return rows.join(kept, same, "left_semi").dropDuplicates(["__dup_id", "__dup_hash"]).select(*docs.columns)

@@ -37,12 +37,10 @@ def slow_lines(text, n, stretch):
     words = text.encode().split()
     out = {(p, n) for p in slow_line_starts(text) if p + n <= len(words)}
     if stretch:
-        gram, half = linededup.ANCHOR, (stretch - linededup.ANCHOR) // 2
         h = np.array([HASH(w) for w in words], np.uint64)
-        g = [int(x) >> 20 for x in linededup.window_hashes(h, gram)]
+        g = [int(x) >> 20 for x in linededup.window_hashes(h, n)]
         for i in range(len(words) - stretch + 1):
-            p = min(range(i, i + stretch - gram + 1), key=lambda k: (g[k], k))
-            out |= {(q, gram + half) for q in (p, p - half) if q >= 0 and q + gram + half <= len(words)}
+            out.add((min(range(i, i + stretch - n + 1), key=lambda k: (g[k], k)), n))
     return sorted(out)
 
 
@@ -157,8 +155,8 @@ def test_many_repeated_lines_are_fast():
 
 def test_equal_hashes_alone_delete_nothing():
     words = b"a b c d e f".split()
-    assert linededup.common_block(words, 1, 3, [b"a"], b"b c x e f".split()) == (1, 1)
-    assert linededup.common_block(words, 1, 3, [b"z", b"a"], b"b c d e y".split()) == (0, 5)
+    assert linededup.common_block(words, 1, b"a b c x e f".split(), 1, 3) == (1, 1)
+    assert linededup.common_block(words, 1, b"z a b c d e y".split(), 2, 3) == (0, 5)
 
 
 def test_edges(spark):

@@ -39,7 +39,7 @@ def check(spark, rows, but=()):
         assert got[d].text.split() == [w for k, w in enumerate(t.split()) if k not in gone]
         assert gone <= {i + k for i in most[d] for k in range(linededup.MIN_WORDS)}
         if d not in but:
-            assert all(len(gone & set(range(i, i + linededup.STRETCH))) >= linededup.ANCHOR + 21 for i in least[d])
+            assert all(len(gone & set(range(i, i + linededup.STRETCH))) >= linededup.MIN_WORDS for i in least[d])
             n += len(least[d])
     return got, n
 
