@@ -15,12 +15,18 @@ from quillgrid.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those whose text is null or has no letter go."""
+    """Documents in a known language stay: null texts, texts without a letter and texts in no learned language go.
+
+    Repeated rows stay as often; rows without doc_id or lang are judged by their text like others.
+    """
     return langid.keep_known(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are deleted; documents of which nothing is left go. n_chars follows."""
+    """Passages that an earlier document holds are deleted; documents of which nothing is left go. n_chars follows.
+
+    Rows with a null doc_id or text stay as they are; repeated rows are cut alike.
+    """
     done = linededup.dedup(docs, stretch=linededup.STRETCH)
     changed = F.col("blocks").isNotNull()
     rows = done.filter(~changed | (F.trim("text") != ""))
@@ -28,20 +34,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the least doc_id, once."""
-    found = simhash.simhash_components(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    # equal partitioning, so that rows given twice fall together without another shuffle
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: the one with the least doc_id.
+
+    Rows given twice stay once; different texts under one doc_id, and rows without one, are documents of their own.
+    """
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item, exact or edited, go."""
+    """Documents that hold a copy of a benchmark item, exact or edited, go. Rows with a null text stay.
+
+    Several texts under one doc_id are judged apart; rows without doc_id stay.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that stayed, with their sequences."""
+    """Pieces of the documents that stayed, with their sequences. Null text is empty; repeated rows are packed as often."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
