@@ -1,23 +1,26 @@
 """Main text of HTML pages by tree scoring.
 
 Each page is parsed into a tree of elements with their text blocks. Paragraph-like blocks pass points for length and
-commas to their ancestors, discounted by link density; the best container (widened to the article or main element
-around it) and its text-bearing siblings are kept, without boilerplate below them.
+commas to their ancestors, discounted by link density; the best container and its text-bearing siblings are kept, without
+boilerplate below them. An article element around the best container bounds the text; within a main element, siblings are
+judged on each level up to it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: Quoted values have a bound, so that unbalanced quotes don't scan the page once for each tag.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[^a-z0-9]+")
@@ -48,11 +51,11 @@ PARAGRAPH = 25
 
 
 class Node:
-    __slots__ = ("children", "drop", "hint", "link", "links", "parent", "score", "size", "tag")
+    __slots__ = ("children", "drop", "hint", "inside", "link", "links", "parent", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
-        self.drop, self.hint = False, False
+        self.drop, self.hint, self.inside = False, False, False
         self.size = self.link = self.links = 0
         self.score = 0.0
 
@@ -77,23 +80,67 @@ def _mark(node: Node, attrs: str) -> None:
             node.drop = True
 
 
+class _Open:
+    """The open elements, found by tag without walking up the tree."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.by_tag, self.scopes = [root], {}, [0]
+
+    @property
+    def last(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.by_tag.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close the elements from a depth on; the root stays."""
+        while len(self.stack) > max(1, depth):
+            node = self.stack.pop()
+            self.by_tag[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+
+    def outermost(self, tags: set[str]) -> int | None:
+        """Depth of the outermost of tags within the innermost scope."""
+        found = []
+        for t in tags:
+            at = self.by_tag.get(t, ())
+            k = bisect_right(at, self.scopes[-1])
+            if k < len(at):
+                found.append(at[k])
+        return min(found, default=None)
+
+    def innermost(self, tag: str) -> int | None:
+        at = self.by_tag.get(tag)
+        return at[-1] if at else None
+
+
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
+#: Elements that a block which begins inside them closes.
+_PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 option".split())
+
+
 def parse(page: str) -> Node:
-    """The element tree; children are elements and (text, link characters) blocks in page order."""
+    """The element tree; children are elements and (text, link characters) blocks in page order. Linear in the page's length."""
     root = Node("html", None)
-    at = root
+    opened = _Open(root)
     parts: list[str] = []
     state = [0]  # raw characters of the open block that lie in links
-    anchors = 0
+    anchors, body = 0, False
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                at_block.children.append((text, min(len(text), state[0])))
+                opened.last.children.append((text, min(len(text), state[0])))
             parts.clear()
         state[0] = 0
 
-    at_block, pos, n = root, 0, len(page)
+    pos, n = 0, len(page)
     while pos < n:
         lt = page.find("<", pos)
         if lt < 0:
@@ -106,12 +153,8 @@ def parse(page: str) -> Node:
             break
         nxt = page[lt + 1 : lt + 2]
         if nxt == "!" or nxt == "?":
-            if page.startswith("<!--", lt):
-                end = page.find("-->", lt + 4)
-                pos = end + 3 if end >= 0 else n
-            else:
-                end = page.find(">", lt)
-                pos = end + 1 if end >= 0 else n
+            end, size = (page.find("-->", lt + 4), 3) if page.startswith("<!--", lt) else (page.find(">", lt), 1)
+            pos = end + size if end >= 0 else n
             continue
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
         if not m:
@@ -122,56 +165,41 @@ def parse(page: str) -> Node:
             continue
         pos = m.end()
         tag = m[2].lower()
-        if not m[1]:
-            if tag in RAW:
-                if not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, pos)
-                    pos = end.end() if end else n
-                continue
-            if tag == "br":
-                parts.append(" ")
-                continue
-            if tag in VOID:
-                if tag in BLOCK:
-                    flush()
-                continue
+        if m[1]:
             if tag == "a":
-                anchors += 1
-                at_block.links += 1
-                continue
-            if tag not in BLOCK:
-                continue
+                anchors = max(0, anchors - 1)
+            elif tag in BLOCK and (depth := opened.innermost(tag)) is not None:
+                flush()
+                opened.cut(depth)
+                anchors = 0
+        elif tag in RAW:
+            if not m[3].endswith("/"):
+                end = _RAW_END[tag].search(page, pos)
+                pos = end.end() if end else n
+        elif tag == "br":
+            parts.append(" ")
+        elif tag in VOID:
+            if tag in BLOCK:
+                flush()
+        elif tag == "a":
+            anchors += 1
+            opened.last.links += 1
+        elif tag in BLOCK:
             flush()
-            up = at_block
             if tag in CLOSES:
-                shut, scan = CLOSES[tag], up
-                while scan is not None and scan.tag not in SCOPE:
-                    if scan.tag in shut:
-                        up = scan.parent
-                    scan = scan.parent
+                depth = opened.outermost(CLOSES[tag])
+                if depth is not None:
+                    opened.cut(depth)
             elif tag != "option":
-                scan = up
-                while scan is not None and scan.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "option"):
-                    up = scan = scan.parent
-            if tag in ("html", "body") and (tag == "html" or any(isinstance(c, Node) and c.tag == "body" for c in root.children)):
+                while opened.last.tag in _PLAIN:
+                    opened.cut(len(opened.stack) - 1)
+            if tag == "html" or (tag == "body" and body):
                 continue
-            node = Node(tag, up or root)
+            body = body or tag == "body"
+            node = Node(tag, opened.last)
             _mark(node, m[3])
-            (up or root).children.append(node)
-            at_block = node
-        else:
-            if tag == "a":
-                anchors = max(0, anchors - 1)
-                continue
-            if tag not in BLOCK:
-                continue
-            scan = at_block
-            while scan is not None and scan.tag != tag:
-                scan = scan.parent
-            if scan is not None and scan.parent is not None:
-                flush()
-                at_block = scan.parent
-                anchors = 0
+            opened.last.children.append(node)
+            opened.push(node)
     flush()
     return root
 
@@ -186,14 +214,6 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def _within(node: Node, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def main_text(page: str | None) -> str:
     """The page's main text: blocks in page order joined by one newline; empty if there is none."""
     if not page:
@@ -207,8 +227,9 @@ def main_text(page: str | None) -> str:
             while y is not None and id(y) not in key:
                 key.add(id(y))
                 y = y.parent
-    for x in nodes:
-        if x.tag in ("header", "form") and not _within(x, ("article", "main") if x.tag == "header" else ()):
+    for x in nodes:  # parents come first
+        x.inside = x.tag in ("article", "main") or (x.parent is not None and x.parent.inside)
+        if x.tag == "form" or (x.tag == "header" and not x.inside):
             x.hint = True
         if x.hint and id(x) not in key:
             x.drop = True
@@ -236,7 +257,7 @@ def main_text(page: str | None) -> str:
         if points:
             y, share = (x if x.tag not in ("p", "pre", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else x.parent or x), 1.0
             level = 0
-            while y is not None and share > 1e-3:
+            while y is not None and share > 0.02:
                 y.score += points * share
                 level += 1
                 share = 0.5 if level == 1 else 1 / (3 * level)
@@ -245,24 +266,35 @@ def main_text(page: str | None) -> str:
     best = max(live, key=lambda x: x.score * (1 - x.link / max(1, x.size)), default=None)
     if best is None:
         return _render([root])
-    wide, y = None, best
+    whole, y = None, best
     while y is not None:
-        if y.tag == "article" or (y.tag == "main" and wide is None):
-            wide = y
+        whole = y if y.tag == "article" else whole
         y = y.parent
-    if wide is not None:
-        return _render([wide])
-    above = best.parent
-    if above is None:
-        return _render([best])
-    chosen = []
-    for c in above.children:
-        if not isinstance(c, Node):
-            if len(c[0]) > 80 and c[1] < 0.25 * len(c[0]):
-                chosen.append(c)
-        elif c is best or (not c.drop and c.size and (c.score >= max(2.0, 0.2 * best.score) or c.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre") and c.link < 0.5 * c.size)):
-            chosen.append(c)
-    return _render(chosen)
+    if whole is not None:  # the page itself says what the article is
+        return _render([whole])
+    while best.parent is not None and best.parent.tag not in _TOP and best.parent.size == best.size:
+        best = best.parent
+    # from the best container up to the main element, or to the one container around it: what stands beside it and is no menu
+    kept_here, at = [best], best
+    while at.parent is not None and at.tag != "main" and (at is best or at.parent.inside):
+        kept_here = [c for c in at.parent.children if c is at or _stays(c, best, at.parent.tag in _TOP)]
+        kept_here = [x for c in kept_here for x in (inner if c is at else [c])] if at is not best else kept_here
+        inner, at = kept_here, at.parent
+    return _render(kept_here)
+
+
+#: Elements whose children need not belong together.
+_TOP = frozenset(("html", "body"))
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hgroup details".split())
+
+
+def _stays(c: Node | tuple, best: Node, top: bool) -> bool:
+    """Whether what stands beside the best container belongs to the text; directly below the body only what scores or is marked up as text."""
+    if not isinstance(c, Node):
+        return not top or (len(c[0]) > 80 and c[1] < 0.25 * len(c[0]))
+    if c.drop or not c.size:
+        return False
+    return c.score >= max(2.0, 0.2 * best.score) or (c.link < 0.5 * c.size and (not top or c.tag in _TEXT))
 
 
 def _render(tops: list) -> str:
@@ -290,4 +322,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from quillgrid.llm.html import extract, main_text
 
@@ -50,3 +52,77 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (2, "u", "", "t"), (2, "u", "", "t"), (None, "v", "<p>x</p>", None)], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in extract(df).collect()) == [(0, "v", "x", 1), (1, "", "", 0), (2, "u", "", 0), (2, "u", "", 0)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_siblings_and_short_blocks_of_a_container_stay():
+    page = f"<body><div class=c><div class=a><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><ul><li>short one</li><li>two</li></ul><div><p>Tiny end.</p></div></div><div>Imprint</div></body>"
+    assert main_text(page) == f"{LONG}\n{LONG}\n{LONG}\nshort one\ntwo\nTiny end."
+
+
+def test_scores_decide_inside_main():
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Other story number {k}</a></li>" for k in range(9)) + "</ul>"
+    cards = "<div>" + "".join(f"<div><a href=/{k}>One more story, number {k}</a> <i>{k} May</i></div>" for k in range(4)) + "</div>"
+    page = f"<body><main><div>{menu}</div><div><div><h2>Head</h2><p>{LONG}</p></div><p>Short.</p></div><div><p>{LONG}</p><table><tr><td>a<td>b</table></div>{cards}</main></body>"
+    assert main_text(page) == f"Head\n{LONG}\nShort.\n{LONG}\na\nb"
+
+
+def generated(r):
+    """A page in a random layout without article or main elements, and the blocks of its text."""
+    blocks: list[str] = []
+
+    def sentence(k):
+        return ", ".join(" ".join("".join(r.choices("abcdefgh", k=r.randrange(2, 9))) for _ in range(r.randrange(3, 9))) for _ in range(k)) + "."
+
+    def part():
+        kind = r.randrange(6)
+        if kind < 3:
+            t = sentence(r.randrange(4, 9))
+            blocks.append(t)
+            return f"<p>{t}</p>"
+        if kind == 3:
+            t = sentence(1)
+            blocks.append(t)
+            return f"<h{r.randrange(2, 5)}>{t}</h3>"
+        if kind == 4:
+            own = [sentence(1) for _ in range(r.randrange(1, 4))]
+            blocks.extend(own)
+            return "<ul>" + "".join(f"<li>{t}" for t in own) + "</ul>"
+        t = sentence(3)
+        blocks.append(t)
+        return f"<blockquote>{t}</blockquote>"
+
+    junk = [
+        lambda: f"<nav>{sentence(5)}</nav>",
+        lambda: f"<div class='site-footer footer'><p>{sentence(9)}</p></div>",
+        lambda: f"<aside><p>{sentence(9)}</p></aside>",
+        lambda: f"<div id=cookie-banner>{sentence(4)}</div>",
+        lambda: "<ul>" + "".join(f"<li><a href=/{k}>{sentence(1)}</a></li>" for k in range(5)) + "</ul>",
+        lambda: f"<form><p>{sentence(5)}</p></form>",
+        lambda: f"<section class=comments><p>{sentence(9)}</p></section>",
+        lambda: f"<script>{sentence(5)}</script>",
+    ]
+    inner = ""
+    for _ in range(r.randrange(1, 4)):
+        inner += "<div>" + "".join(part() + (r.choice(junk)() if r.random() < 0.15 else "") for _ in range(r.randrange(2, 6))) + f"<p>{(t := sentence(8))}</p></div>"
+        blocks.append(t)
+    for _ in range(r.randrange(4)):
+        inner = f"<div class=w{r.randrange(9)}>{inner}</div>"
+    before, after = ("".join(r.choice(junk)() for _ in range(r.randrange(3))) for _ in range(2))
+    return f"<html><head><title>{sentence(1)}</title></head><body>{before}<div id=page>{inner}</div>{after}</body></html>", blocks
+
+
+def test_generated_layouts():
+    r = random.Random(8)
+    for _ in range(300):
+        page, blocks = generated(r)
+        assert main_text(page).split("\n") == blocks
+
+
+def test_linear_in_depth_and_length():
+    n, began = 100_000, time.time()
+    assert main_text("<div>" * n + "<header>" * n + "</section>" * n + "</header>" * n + LONG) == LONG
+    assert main_text("<li><ul>" + "<div>" * n + "<li>x" * n).count("x") == n
+    assert main_text("<div>" * n + f"<p>{LONG}" * 3) == "\n".join([LONG] * 3)
+    main_text("<p title=it's>x" * n)
+    main_text("<body>" * n + "<a href='" * n)
+    assert time.time() - began < 30
