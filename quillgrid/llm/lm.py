@@ -3,10 +3,10 @@
 The tree's counts do not depend on the order of the training texts, so they are summed by key. Documents are dealt into
 chunks of bounded size. Each chunk asks for what it needs once: its distinct words, and its distinct grams (five context
 bytes and the byte that follows). The requests, sorted and packed by bucket, are summed per bucket over all chunks:
-those sums are the model. Contexts are ordered from the nearest byte back, so that all contexts that end alike make one
-subtree, which one task holds as distinct grams. From there up only the roots of depth 0 and 1 are shared; they have
-at most 65,536 entries. Answers go back packed in the order in which they were asked for, so chunks pair them with
-their own sorted words and grams.
+those sums are the model. Contexts are ordered from the nearest byte back, so that all contexts that end with the same
+three bytes make one subtree, which one task holds as distinct grams. Above, nodes of depth 2 are a table, each task
+holding whole contexts of it; only the roots of depth 0 and 1 reach the driver (at most 65,536 entries). Answers go back
+packed in the order in which they were asked for, so chunks pair them with their own sorted words and grams.
 
 A byte is eight binary decisions. At each node (context, bits so far) the estimates of all depths are mixed with the
 weights that context-tree weighting gives them after the training texts; where a document leaves the tree, the mixture
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lowered, partitions, slices, span_hashes, utf8, word_spans, written
+from .common import crc_mod, lean, lowered, partitions, slices, span_hashes, utf8, word_spans, written
 
 DEPTH = 5
 END = 0xFF
@@ -33,6 +33,10 @@ CHUNK_BYTES = 8_000_000
 #: Distinct words or grams that a chunk holds unsorted before it merges them.
 PENDING = 1_000_000
 WORD_BUCKET, GRAM_BUCKET = 0, 1
+#: Chunks for each bucket of keys; fewer buckets are fewer and larger packed rows.
+CHUNKS_A_BUCKET = 3
+#: Depth up to which contexts are shared by several tasks' subtrees, and distinct grams in a task of them, about.
+SHARED, PART_GRAMS = 2, 250_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -227,38 +231,133 @@ def subtree(gram: np.ndarray, n: np.ndarray, root: int = 2) -> dict[int, Level]:
     return levels
 
 
-def gram_logs(gram: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
-    """log10 probability of each gram's byte after its context, mixed over all depths of levels."""
+def deep_chances(gram: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
+    """For each gram the probabilities of its byte's 8 bits, mixed over the depths of levels; nan where they hold no context."""
     context, byte = gram >> np.uint64(8), gram & np.uint64(255)
-    out = np.zeros(len(gram))
+    out = np.empty((len(gram), 8))
     for k in range(8):
         bits = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
         one = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-        p = np.full(len(gram), 0.5)
-        known = np.zeros(len(gram), bool)
-        for d in range(DEPTH, -1, -1):
+        p = np.full(len(gram), np.nan)
+        for d in range(DEPTH, SHARED, -1):
             level = levels[d]
             i = level.place((context >> np.uint64(8 * (DEPTH - d)) << np.uint64(8)) | bits)
             zeros, ones = level.zeros[i], level.ones[i]
             own = (np.where(one, ones, zeros) + 0.5) / (zeros + ones + 1.0)
             # a context that the training texts do not hold leaves the mixture to the shorter ones
-            p = np.where(known, level.stop[i] * own + (1 - level.stop[i]) * p, own)
-            known |= zeros + ones > 0
-        out += np.log10(p)
+            p = np.where(np.isnan(p), np.where(zeros + ones > 0, own, np.nan), level.stop[i] * own + (1 - level.stop[i]) * p)
+        out[:, k] = p
     return out
 
 
-def _root_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the nodes of depth 1: sums of the log weighted probabilities of depth 2; and counts of (c1, byte)."""
+def top_chances(key: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
+    """For keys (context of SHARED bytes, byte) and each bit: a, b and c, where a + b * p is the mixture with the deeper
+    depths' probability p, and c the one without."""
+    context, byte = key >> np.uint64(8), key & np.uint64(255)
+    out = np.empty((len(key), 3, 8))
+    for k in range(8):
+        bits = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
+        one = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
+        a, b, c = np.zeros(len(key)), np.ones(len(key)), np.full(len(key), np.nan)
+        for d in range(SHARED, -1, -1):
+            level = levels[d]
+            i = level.place((context >> np.uint64(8 * (SHARED - d)) << np.uint64(8)) | bits)
+            zeros, ones, stop = level.zeros[i], level.ones[i], level.stop[i]
+            own = (np.where(one, ones, zeros) + 0.5) / (zeros + ones + 1.0)
+            a, b = stop * own + (1 - stop) * a, (1 - stop) * b
+            c = np.where(np.isnan(c), np.where((zeros + ones > 0) | (d == 0), own, np.nan), stop * own + (1 - stop) * c)
+        out[:, 0, k], out[:, 1, k], out[:, 2, k] = a, b, c
+    return out
+
+
+def _rows(matrix: np.ndarray) -> pa.Array:
+    """One binary value a row."""
+    flat = np.ascontiguousarray(matrix.reshape(len(matrix), -1), np.float64)
+    size = flat.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(np.arange(len(flat) + 1, dtype=np.int32) * size), pa.py_buffer(flat)])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, np.float64).reshape(-1, width)
+
+
+_DEEP = "what int, key long, value double, chances binary"
+#: Kinds of rows: sums of the log weighted probabilities of the children of a node; counts of (context, byte); a gram's chances.
+_BELOW, _COUNT, _CHANCES = 0, 1, 2
+
+
+def _told(what: int, key: np.ndarray, value: np.ndarray | None = None, chances: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(key), 100_000):
+        k = key[at : at + 100_000]
+        v = pa.nulls(len(k), pa.float64()) if value is None else pa.array(value[at : at + 100_000].astype(float))
+        c = pa.nulls(len(k), pa.binary()) if chances is None else _rows(chances[at : at + 100_000])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), what, np.int32)), pa.array(k.view(np.int64)), v, c], ["what", "key", "value", "chances"])
+
+
+def _sums_above(level: Level, context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What the next shorter contexts need of level: sums over their children, and their own counts of (context, byte)."""
+    key, at = np.unique(level.above(), return_inverse=True)
+    yield from _told(_BELOW, key, np.bincount(at, weights=level.weighted, minlength=len(key)))
+    key, count = _summed([(context >> np.uint64(8) << np.uint64(8)) | byte], [n])
+    yield from _told(_COUNT, key, count)
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chances of all grams of the depths below SHARED, and what depth SHARED needs of them."""
     gram, n = _partition(batches)
     if len(gram):
-        low = subtree(gram, n)[2]
-        key, at = np.unique(low.above(), return_inverse=True)
-        rows = [(0, key.view(np.int64), np.bincount(at, weights=low.weighted))]
-        key, count = _summed([(gram >> np.uint64(8 * DEPTH) << np.uint64(8)) | (gram & np.uint64(255))], [n])
-        rows.append((1, key.view(np.int64), count.astype(float)))
-        for what, key, value in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), what, np.int32)), pa.array(key), pa.array(value)], ["what", "key", "value"])
+        levels = subtree(gram, n, SHARED + 1)
+        yield from _sums_above(levels[SHARED + 1], gram >> np.uint64(8 * (DEPTH - SHARED)), gram & np.uint64(255), n)
+        for at in range(0, len(gram), 100_000):
+            yield from _told(_CHANCES, gram[at : at + 100_000], chances=deep_chances(gram[at : at + 100_000], levels))
+
+
+def _shared_level(batches: Iterator[pa.RecordBatch]) -> tuple[Level, np.ndarray, np.ndarray] | None:
+    """The nodes of whole contexts of depth SHARED from their sums (what, key, value), with the keys (context, byte) and counts."""
+    got = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
+    if not got:
+        return None
+    what, key, value = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(key.view(np.uint64))
+    what, key, value = what[order], key.view(np.uint64)[order], value[order]
+    own, n = key[what == _COUNT], value[what == _COUNT].astype(np.int64)
+    level = Level(own >> np.uint64(8), own & np.uint64(255), n)
+    below = np.zeros(len(level.key))
+    below[level.place(key[what == _BELOW])] = value[what == _BELOW]
+    level.weigh(below)
+    return level, own, n
+
+
+def _shared_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = _shared_level(batches)
+    if got:
+        level, own, n = got
+        yield from _sums_above(level, own >> np.uint64(8), own & np.uint64(255), n)
+
+
+def _shared_chances(top: dict[int, Level]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _shared_level(batches)
+        if got:
+            level, own, _ = got
+            for at in range(0, len(own), 50_000):
+                yield from _told(_CHANCES, own[at : at + 50_000], chances=top_chances(own[at : at + 50_000], top | {SHARED: level}))
+
+    return run
+
+
+def _gram_logs(number: int):
+    """log10 probability of each gram's byte, from its chances below and at the shared depths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gram = b.column("gram").to_numpy().view(np.uint64)
+            p, top = _matrix(b.column("deep"), 8), _matrix(b.column("shared"), 24).reshape(-1, 3, 8)
+            log = np.log10(np.where(np.isnan(p), top[:, 2], top[:, 0] + top[:, 1] * p)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets_of(GRAM_BUCKET, gram, number)), pa.array(gram.view(np.int64)), pa.array(log)], ["bucket", "gram", "log"])
+
+    return run
 
 
 def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
@@ -269,11 +368,11 @@ def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarra
 
 
 def roots(sums: DataFrame) -> dict[int, Level]:
-    """Levels 0 and 1 from the parts of all subtrees: at most 65,536 rows of each kind reach the driver."""
+    """Levels 0 and 1 from what depth 1 needs: at most 65,536 rows of each kind reach the driver."""
     got = sums.groupBy("what", "key").agg(F.sum("value").alias("value")).toPandas()
-    below = got[got.what == 0]
+    below = got[got.what == _BELOW]
     below = dict(zip(below["key"].astype("uint64"), below["value"], strict=True))
-    counts = got[got.what == 1].sort_values("key")
+    counts = got[got.what == _COUNT].sort_values("key")
     key, n = counts["key"].to_numpy(np.uint64), counts["value"].to_numpy().astype(np.int64)
     one = Level(key >> np.uint64(8), key & np.uint64(255), n)
     one.weigh(np.array([below[int(k)] for k in one.key], float))
@@ -283,18 +382,6 @@ def roots(sums: DataFrame) -> dict[int, Level]:
     return {0: zero, 1: one}
 
 
-def _model(top: dict[int, Level], number: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, n = _partition(batches)
-        if len(gram):
-            levels = subtree(gram, n) | top
-            for at in range(0, len(gram), 200_000):
-                part = gram[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(buckets_of(GRAM_BUCKET, part, number)), pa.array(part.view(np.int64)), pa.array(gram_logs(part, levels))], ["bucket", "gram", "log"])
-
-    return run
-
-
 def _gram_answers(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     """Log probabilities back to each chunk, as 32-bit floats."""
     model = model.sort_values("gram")
@@ -376,22 +463,31 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_byt
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (~held_out(doc_id)).alias("train"))
     stats = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("train").cast("int")).alias("ends")).first()
-    number = max(1, -(-(stats.bytes or 0) // chunk_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(number)))
-    asked = written(rows.select("text", "train", "chunk").repartitionById(number, F.col("chunk").cast("int")).mapInArrow(_requests(number), _REQUEST), "asked")
+    chunks = max(1, -(-(stats.bytes or 0) // chunk_bytes))
+    number = -(-chunks // CHUNKS_A_BUCKET)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    asked = written(rows.select("text", "train", "chunk").repartitionById(chunks, F.col("chunk").cast("int")).mapInArrow(lean(_requests(number)), _REQUEST), "asked")
     words, grams = asked.filter(f"kind = {WORD_BUCKET}"), asked.filter(f"kind = {GRAM_BUCKET}")
     counted = written(words.groupBy("bucket").applyInPandas(_word_answers, _ANSWER), "words")
     sums = counted.filter("chunk < 0").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     ends = stats.ends or 0
     total, distinct = (sums.n or 0) + ends, (sums.v or 0) + int(ends > 0)
-    tree = grams.groupBy("bucket").applyInPandas(_gram_sums, "gram long, n long")
-    # all grams whose contexts end with the same two bytes are one subtree
-    tree = tree.repartition(partitions(spark), F.shiftright("gram", 8 * (DEPTH - 1)))
-    tree = written(tree, "tree").repartition(partitions(spark), F.shiftright("gram", 8 * (DEPTH - 1)))
-    top = roots(tree.mapInArrow(_root_parts, "what int, key long, value double"))
-    model = tree.mapInArrow(_model(top, number), "bucket long, gram long, log double")
+    tree = written(grams.groupBy("bucket").applyInPandas(_gram_sums, "gram long, n long"), "tree")
+    parts = max(partitions(spark), -(-tree.count() // PART_GRAMS))
+    # all grams whose contexts end with the same three bytes are one subtree
+    deep = written(tree.repartition(parts, F.shiftright("gram", 8 * (DEPTH - SHARED))).mapInArrow(lean(_subtrees), _DEEP), "deep")
+    # sums by node, and whole contexts together; there are at most 2 ** 24 rows of each kind
+    shared = deep.filter(f"what < {_CHANCES}").groupBy("what", "key").agg(F.sum("value").alias("value"))
+    shared = written(shared, "shared").repartition(partitions(spark), F.shiftright("key", 8))
+    top = roots(shared.mapInArrow(_shared_sums, _DEEP))
+    above = shared.mapInArrow(_shared_chances(top), _DEEP).select(F.col("key").alias("node"), F.col("chances").alias("shared"))
+    nodes = deep.filter(f"what = {_CHANCES}").select(F.col("key").alias("gram"), F.col("chances").alias("deep"))
+    nodes = nodes.withColumn("node", F.shiftleft(F.shiftright("gram", 8 * (DEPTH + 1 - SHARED)), 8).bitwiseOR(F.col("gram").bitwiseAND(F.lit(255))))
+    model = nodes.join(above, "node").select("gram", "deep", "shared").mapInArrow(_gram_logs(number), "bucket long, gram long, log double")
     told = grams.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(_gram_answers, _ANSWER)
     answers = counted.filter("chunk >= 0").unionAll(told)
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    out = rows.select("doc_id", "text", "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scored(number, ends, total, distinct), schema)
+    # more partitions than chunks, so that few chunks meet in one task
+    texts, answers = (x.repartition(2 * chunks, "chunk") for x in (rows.select("doc_id", "text", "chunk"), answers))
+    out = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scored(number, ends, total, distinct), schema)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
