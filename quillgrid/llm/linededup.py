@@ -39,12 +39,12 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def line_starts(data: np.ndarray, s: np.ndarray, e: np.ndarray, text: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """First words of the lines of texts with words from s to e and hashes h.
+def line_starts(data: np.ndarray, s: np.ndarray, e: np.ndarray, text: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
+    """First words of the lines of texts with words from s to e.
 
     A line ends at a newline, at a text's end, and after a word whose last letter or digit is followed by one of . ! ?
-    (a sentence of under SHORT words goes with the next); lines of over LONG words also end after words whose hash is a
-    multiple of CUT. All of this depends on the words nearby alone, so equal passages are cut alike.
+    (a sentence of under SHORT words goes with the next). Where the words' hashes h are given, lines of over LONG words
+    also end after words whose hash is a multiple of CUT. All of this depends on the words nearby alone, so equal passages are cut alike.
     """
     if not len(s):
         return np.zeros(0, np.int64)
@@ -61,8 +61,9 @@ def line_starts(data: np.ndarray, s: np.ndarray, e: np.ndarray, text: np.ndarray
     ends = np.flatnonzero(last)
     size = np.diff(np.r_[-1, ends])
     last[ends[(size < SHORT) & ~hard[ends]]] = False
-    size = np.diff(np.r_[-1, np.flatnonzero(last)])
-    last |= np.repeat(size > LONG, size) & (h % np.uint64(CUT) == 0)
+    if h is not None:
+        size = np.diff(np.r_[-1, np.flatnonzero(last)])
+        last |= np.repeat(size > LONG, size) & (h % np.uint64(CUT) == 0)
     return np.r_[0, np.flatnonzero(last)[:-1] + 1]
 
 
@@ -109,7 +110,7 @@ def run_table(docs: DataFrame, min_words: int = MIN_WORDS, stretch: int = 0) ->
             s, e, text = word_spans(data, offsets)
             h = span_hashes(data, s, e)
             key = window_hashes(h, min_words)
-            w0 = line_starts(data, s, e, text, h)
+            w0 = line_starts(data, s, e, text, None if stretch else h)
             if stretch:
                 w0 = np.union1d(w0, anchors(key, text, min_words, stretch))
             w0 = w0[w0 < len(key)]
@@ -283,8 +284,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     spark = docs.sparkSession
     docs = docs.drop("blocks")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.hash(F.col(text).cast("string")).alias("text_hash")).filter("doc_id is not null and text is not null")
-    found = written(run_table(slim, min_words, stretch), "runs")
+    # computed twice rather than stored: the rows are as large as the texts, and one pass over those is cheap
+    found = run_table(slim, min_words, stretch)
     held = found.groupBy("run").agg(F.min("doc_id").alias("earlier_id"), F.max("doc_id").alias("_last")).filter("_last > earlier_id").select("run", "earlier_id")
+    held = written(held, "held")  # a table of its own as well, for the same reason as first below
     repeated = written(found.join(held.hint("shuffle_hash"), "run"), "repeated")
     # a table of its own, so that a run which very many documents hold is split in the join
     first = written(repeated.filter("doc_id = earlier_id").groupBy("run").agg(F.min("place").alias("first"), (F.count("*") > 1).alias("again")), "first")

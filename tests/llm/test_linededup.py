@@ -14,8 +14,8 @@ def HASH(w):
     return span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
 
 
-def slow_line_starts(text):
-    """First words of the lines."""
+def slow_line_starts(text, cuts):
+    """First words of the lines; cuts: long lines are cut as well."""
     raw = text.encode()
     words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
     out, since = [0], 0
@@ -25,7 +25,7 @@ def slow_line_starts(text):
         since += 1
         if stops or hard:
             if hard or since >= linededup.SHORT:
-                if k + 1 - out[-1] > linededup.LONG:
+                if cuts and k + 1 - out[-1] > linededup.LONG:
                     out += [i + 1 for i in range(out[-1], k) if HASH(raw[words[i][0] : words[i][1]]) % np.uint64(linededup.CUT) == 0]
                 out.append(k + 1)
             since = 0
@@ -35,7 +35,7 @@ def slow_line_starts(text):
 def slow_lines(text, n, stretch):
     """(first word, size) of all hashed lines."""
     words = text.encode().split()
-    out = {(p, n) for p in slow_line_starts(text) if p + n <= len(words)}
+    out = {(p, n) for p in slow_line_starts(text, not stretch) if p + n <= len(words)}
     if stretch:
         h = np.array([HASH(w) for w in words], np.uint64)
         g = [int(x) >> 20 for x in linededup.window_hashes(h, n)]
