@@ -533,22 +533,27 @@ def tree_node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", ids.node_id(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id"))).alias("node"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 400 WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4),
+_ENTITIES = """WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4),
 l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(id, entity) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, w.entity FROM w JOIN l ON l.a = w.id)
-SELECT id, min(entity) AS entity FROM w GROUP BY id""")
+SELECT id, min(entity) AS entity FROM w GROUP BY id"""
+
+
+@query(_ENTITIES)
 def canonical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R12 in its order-free form: entities are components of accepted pairs within a window of one label."""
+    """R12 in its order-free form: entities are components of the accepted pairs of whole labels."""
     e = _t(spark, sf_dir, "embeddings")
-    # pairs at most 400 ids apart: rows of neighbouring blocks of 400 meet by an equi-join
-    a = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("_a"), F.explode(F.array(F.floor(F.col("vec_id") / 400), F.floor(F.col("vec_id") / 400) + 1)).alias("_block"))
-    b = e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("_b"), F.floor(F.col("vec_id") / 400).alias("_block"))
-    pairs = a.join(b, ["label", "_block"]).filter("b > a and b <= a + 400").select("a", "b", vectors.dot(F.col("_a"), F.col("_b")).alias("similarity"))
+    pairs = graph.similar_links(e, "vec_id", "embedding", "label", 0.4).select("a", "b", F.lit(0.9).alias("similarity"))
     return graph.entities(graph.canonical_merge(pairs, 0.95, lambda s: s > 0.4, 0.4))
 
 
-@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4),
-l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(id, entity) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, w.entity FROM w JOIN l ON l.a = w.id)
-SELECT id, min(entity) AS entity FROM w GROUP BY id""")
+@query(_ENTITIES)
 def canonical_entities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R12 in its order-free form over whole labels: no pair is left out for the distance of its ids."""
     return graph.entities(graph.similar_links(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.4))
+
+
+@query()
+def canonical_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R12 as the reference runs it, row by row: each joins the most similar earlier entity of its label, else founds one."""
+    e = _t(spark, sf_dir, "embeddings").withColumn("position", F.col("vec_id"))
+    return graph.resolved_in_order(e, "vec_id", "position", "embedding", "label", 0.3).withColumnRenamed("vec_id", "id")

@@ -69,7 +69,8 @@ def merged_models(df: DataFrame, key: str, models: str = "models") -> DataFrame:
     """Sorted union of comma lists by key, and how many rows were merged (A16, U03). Lists are exploded and deduplicated before the shuffle."""
     parts = df.select(key, F.explode_outer(F.transform(F.split(models, ","), lambda x: F.trim(x))).alias("_m")).filter("_m is null or _m <> ''")
     names = parts.groupBy(key, "_m").agg(F.count("*").alias("_n")).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("_m")), ",").alias("models"))
-    return names.join(df.groupBy(key).agg(F.count("*").alias("merge_count")), key)
+    counts = df.groupBy(key).agg(F.count("*").alias("merge_count"))
+    return counts.join(names, key, "left").select(key, F.coalesce("models", F.lit("")).alias("models"), "merge_count")
 
 
 def deleted_count(*counts: Column) -> Column:

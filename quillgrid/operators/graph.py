@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .components import components
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -77,6 +78,14 @@ def canonical_merge(pairs: DataFrame, least: float = 0.95, judge: Callable[[Colu
     return pairs.filter((s > least) | ((s >= doubt) & accept)).select("a", "b")
 
 
+def block_pairs(rows: DataFrame, part: str, key: str, block: int, *more: str) -> DataFrame:
+    """(part, cell, own, key, *more): rows of each part dealt to blocks by hash, and each pair of blocks is one cell."""
+    n = F.ceil(F.col("_n") / block).cast("long")
+    dealt = rows.join(rows.groupBy(part).agg(F.count("*").alias("_n")), part).withColumn("own", F.pmod(F.xxhash64(key), n))
+    mates = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
+    return dealt.withColumn("cell", F.explode(mates)).select(part, "cell", "own", key, *more)
+
+
 def similar_links(rows: DataFrame, key: str, vector: str, part: str, over: float, block: int = 1024) -> DataFrame:
     """(a, b) of keys that connect the rows of each part as all its pairs with a dot product of over `over` do.
 
@@ -109,53 +118,60 @@ def similar_links(rows: DataFrame, key: str, vector: str, part: str, over: float
         return pa.table({"a": cell["key"].take(pa.array(a, pa.int64())), "b": cell["key"].take(pa.array(b, pa.int64()))})
 
     kind = dict(rows.dtypes)[key]
-    good = rows.filter(F.col(key).isNotNull() & F.col(part).isNotNull() & F.col(vector).isNotNull())
-    slim = good.select(F.col(part).alias("part"), F.col(key).alias("key"), F.col(vector).alias("vector"))
-    n = F.ceil(F.col("_n") / block).cast("long")
-    dealt = slim.join(slim.groupBy("part").agg(F.count("*").alias("_n")), "part").withColumn("own", F.pmod(F.xxhash64("key"), n))
-    mates = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
-    cells = dealt.withColumn("cell", F.explode(mates)).select("part", "cell", "own", "key", "vector")
+    slim = rows.select(F.col(part).alias("part"), F.col(key).alias("key"), F.col(vector).alias("vector")).dropna()
+    cells = block_pairs(slim, "part", "key", block, "vector")
     return cells.groupBy("part", "cell").applyInArrow(score, f"a {kind}, b {kind}")
 
 
-def entities(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, entity) of all ids in links (a, b): entity is the least id reachable, by propagating minima over joins."""
-    links = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = links.select(F.col("a").alias("id")).distinct().withColumn("entity", F.col("id"))
-    links = written(links, "links")
-    for _ in range(rounds):
-        near = links.join(label, links["b"] == label["id"]).groupBy("a").agg(F.min("entity").alias("_near"))
-        new = label.join(near, label["id"] == near["a"], "left").select("id", F.least("entity", "_near").alias("entity"), (F.col("_near") < F.col("entity")).alias("_moved"))
-        new = written(new, "entities")
-        moved = new.filter("_moved").limit(1).count()
-        label = new.select("id", "entity")
-        if not moved:
-            return label
-    raise RuntimeError(f"entities did not settle in {rounds} rounds")
+def entities(pairs: DataFrame) -> DataFrame:
+    """(id, entity) of all ids in links (a, b): entity is the least id reachable. Rounds grow with the logarithm of the longest chain."""
+    linked = components(pairs)
+    alone = pairs.filter("a = b").select("a").distinct().join(linked.select(F.col("vertex").alias("a")), "a", "left_anti")
+    return linked.select(F.col("vertex").alias("id"), F.col("component").alias("entity")).unionByName(alone.select(F.col("a").alias("id"), F.col("a").alias("entity")))
 
 
-def resolved_in_order(rows: DataFrame, key: str, order: str, vector: str, part: str, least: float = 0.95) -> DataFrame:
+def resolved_in_order(rows: DataFrame, key: str, order: str, vector: str, part: str, least: float = 0.95, block: int = 1024) -> DataFrame:
     """(part, key, entity): each row joins the most similar earlier entity of over least, else founds one.
 
-    The reference's sequential meaning: rows of one part are folded in order in one task, so a part must be small (a
-    batch of one knowledge type); use entities() for large ones.
+    The reference's sequential meaning, for parts of any size. The similar earlier rows of each row are found first, by
+    matrix products over pairs of blocks of a part. The order is then settled on those links in rounds: a row founds an
+    entity once none of its earlier neighbours is open or has founded one, and joins one once all are settled. Ties go to
+    the earlier row; order and key must tell rows apart; nulls found entities of their own.
     """
     import numpy as np
-    import pandas as pd
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        made, ids, out = [], [], []
-        for k, v in zip(group[key], group[vector], strict=True):
-            v = np.asarray(v, float)
-            best = max(((float(m @ v), -i) for i, m in enumerate(made)), default=(0.0, 0))
-            if best[0] > least:
-                out.append(ids[-best[1]])
-            else:
-                made.append(v)
-                ids.append(k)
-                out.append(k)
-        return pd.DataFrame({part: group[part], key: group[key], "entity": out})
-
-    t = dict(rows.dtypes)
-    return rows.select(part, key, order, vector).groupBy(part).applyInPandas(fold, f"{part} {t[part]}, {key} {t[key]}, entity {t[key]}")
+    import pyarrow as pa
+
+    kind, at, group = (dict(rows.dtypes)[c] for c in (key, order, part))
+    slim = rows.select(F.col(part).alias("part"), F.col(key).alias("key"), F.col(order).alias("at"), F.col(vector).alias("vector"))
+
+    def score(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by([("at", "ascending"), ("key", "ascending")])
+        own = cell["own"].to_numpy()
+        m = np.array(cell["vector"].to_pylist(), float)
+        near = np.tril(m @ m.T, -1)
+        hit = near > least
+        if own.min() != own.max():
+            hit &= own[:, None] != own[None, :]
+        late, early = np.nonzero(hit)
+        take = lambda c, i: cell[c].take(pa.array(i))
+        return pa.table({"part": take("part", late), "key": take("key", late), "to": take("key", early), "to_at": take("at", early), "similarity": near[late, early]})
+
+    cells = block_pairs(slim.dropna(), "part", "key", block, "at", "vector")
+    links = written(cells.groupBy("part", "cell").applyInArrow(score, f"part {group}, key {kind}, to {kind}, to_at {at}, similarity double"), "links")
+    state = slim.select("part", "key").withColumn("entity", F.lit(None).cast(kind))
+    free = links.select("part", "key").distinct().withColumn("_held", F.lit(True))
+    state = written(state.join(free, ["part", "key"], "left").select("part", "key", F.when(F.col("_held").isNull(), F.col("key")).alias("entity")), "order")  # without a similar row
+    while not state.filter("entity is null and key is not null").isEmpty():
+        to = state.select("part", F.col("key").alias("to"), F.col("entity").alias("to_entity"))
+        seen = links.join(state.filter("entity is null").select("part", "key"), ["part", "key"]).join(to, ["part", "to"])
+        founder = F.col("to_entity") == F.col("to")
+        told = seen.groupBy("part", "key").agg(
+            F.count_if(F.col("to_entity").isNull()).alias("open"),
+            F.count_if(founder).alias("founders"),
+            F.max(F.when(founder, F.struct("similarity"))).alias("best"),
+        )
+        best = seen.filter(founder).join(told.select("part", "key", F.col("best.similarity").alias("top")), ["part", "key"]).filter("similarity = top")
+        best = best.groupBy("part", "key").agg(F.min(F.struct("to_at", "to")).alias("first")).select("part", "key", F.col("first.to").alias("joins"))
+        done = told.filter("open = 0").join(best, ["part", "key"], "left").select("part", "key", F.coalesce("joins", "key").alias("new"))
+        state = written(state.join(done, ["part", "key"], "left").select("part", "key", F.coalesce("entity", "new").alias("entity")), "order")
+    return state.select(F.col("part").alias(part), F.col("key").alias(key), "entity")

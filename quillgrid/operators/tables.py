@@ -12,9 +12,21 @@ from ..functions import metadata as M
 from ..functions import text as T
 
 
-def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """old without the keys of new, and new; of equal keys in new one row stays."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new.dropDuplicates(list(keys)), allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
+    """old without the keys of new, and new.
+
+    Of equal keys in new the last one by order stays, ties and no order by the greatest other columns, so that reruns
+    agree. Rows with a null key are neither replaced nor merged.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    if rest:
+        sortable = [c for c in rest if not dict(new.dtypes)[c].startswith(("map", "variant")) and "map<" not in dict(new.dtypes)[c]]
+        by = F.struct(*([F.col(order)] if order else []), *[F.col(c) for c in sortable], F.lit(0).alias("_"))
+        keyed = new.dropna(subset=list(keys)).groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    else:
+        keyed = new.dropna(subset=list(keys)).distinct()
+    unkeyed = new.filter(" or ".join(f"`{k}` is null" for k in keys)).select(*keyed.columns)
+    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(keyed.unionByName(unkeyed), allowMissingColumns=True)
 
 
 def upsert_counts(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -59,9 +71,12 @@ def drop_collection(rows: DataFrame, name: str) -> DataFrame:
 
 
 def latest_batch_wins(rows: DataFrame, owner: str, batch_time: str) -> DataFrame:
-    """rows with is_deleted set for all but each owner's newest batch (K18). The newest is an aggregate, so a large owner is no hot group."""
+    """rows with is_deleted set for all but each owner's newest batch (K18). The newest is an aggregate, so a large owner is no hot group.
+
+    Rows without an owner stay live; a null time is older than any other.
+    """
     newest = rows.groupBy(owner).agg(F.max(batch_time).alias("_newest"))
-    return rows.join(newest, owner).withColumn("is_deleted", F.col(batch_time) < F.col("_newest")).drop("_newest")
+    return rows.join(newest, owner, "left").withColumn("is_deleted", F.coalesce(F.col(batch_time) < F.col("_newest"), F.col("_newest").isNotNull())).drop("_newest")
 
 
 def records(chunks: DataFrame, collection: Column, source: Column, content: Column, model: Column, kind: str = "") -> DataFrame:

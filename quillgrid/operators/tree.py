@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATHS = """
-WITH RECURSIVE walk(id, name, parent_id, path, depth) AS (
-  SELECT id, name, parent_id, name, 1 FROM {tree} WHERE parent_id IS NULL
-  UNION ALL
-  SELECT t.id, t.name, t.parent_id, concat(w.path, '/', t.name), w.depth + 1
-  FROM {tree} t JOIN walk w ON t.parent_id = w.id
-)
-SELECT id, name, parent_id, path, depth FROM walk
-"""
+from ..storage import written
+
+def _levels(rows: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows and all that step finds from them, level by level; each level is a table, so depth has no limit but the tree's own."""
+    seen = rows
+    while True:
+        rows = written(step(rows), "level")
+        if rows.isEmpty():
+            return seen
+        seen = seen.unionByName(rows)
 
 
 def paths(tree: DataFrame) -> DataFrame:
-    """(id, name, parent_id, path, depth) of an adjacency list, by recursion from its roots."""
-    name = f"tree_{id(tree)}"
-    tree.select("id", "name", "parent_id").createOrReplaceTempView(name)
-    return tree.sparkSession.sql(PATHS.format(tree=name))
+    """(id, name, parent_id, path, depth) of an adjacency list from its roots on (R17); nodes on a cycle have no root and no path."""
+    nodes = tree.select("id", "name", "parent_id")
+    roots = nodes.filter("parent_id is null").select("*", F.col("name").alias("path"), F.lit(1).alias("depth"))
+    below = lambda rows: (
+        nodes.join(rows.select(F.col("id").alias("parent_id"), F.col("path").alias("_path"), F.col("depth").alias("_depth")), "parent_id")
+        .select("id", "name", "parent_id", F.concat("_path", F.lit("/"), "name").alias("path"), (F.col("_depth") + 1).alias("depth"))
+    )
+    return _levels(roots, below)
 
 
 def with_descendants(tree: DataFrame, ids: list) -> DataFrame:
     """Ids of the given nodes and all below them: what a recursive delete takes."""
-    name = f"tree_{id(tree)}"
-    tree.select("id", "parent_id").createOrReplaceTempView(name)
-    roots = ", ".join(str(int(i)) for i in ids) or "NULL"
-    return tree.sparkSession.sql(f"WITH RECURSIVE below(id) AS (SELECT id FROM {name} WHERE id IN ({roots}) UNION ALL SELECT t.id FROM {name} t JOIN below b ON t.parent_id = b.id) SELECT DISTINCT id FROM below")
+    nodes = tree.select("id", "parent_id")
+    below = lambda rows: nodes.join(rows.select(F.col("id").alias("parent_id")), "parent_id").select("id")
+    return _levels(nodes.filter(F.col("id").isin(ids)).select("id"), below).distinct()
 
 
 def children_lists(tree: DataFrame) -> DataFrame:

@@ -40,4 +40,21 @@ def test_far_ids_meet(spark):
     want = slow_entities([x for x in rows if x[0] in some], 0.4)
     got = {x.id: x.entity for x in catalog.canonical_entities_whole(spark, sf).collect()}
     assert got == want
-    assert len(catalog.canonical_entities(spark, sf).collect()) < len(want)  # its window leaves some out
+    assert {x.id: x.entity for x in catalog.canonical_entities(spark, sf).collect()} == want
+
+
+def test_order_against_a_plain_fold(spark):
+    sf = "/root/testdata/sf0.01"
+    made, want = {}, {}
+    for x in sorted(spark.read.parquet(f"{sf}/embeddings.parquet").collect(), key=lambda x: x.vec_id):
+        v = np.array(x.embedding, float)
+        best = max(((float(m @ v), -k) for k, m in made.get(x.label, [])), default=(0.0, 0))
+        if best[0] > 0.3:
+            want[x.vec_id] = -best[1]
+        else:
+            made.setdefault(x.label, []).append((x.vec_id, v))
+            want[x.vec_id] = x.vec_id
+    got = {x.id: x.entity for x in catalog.canonical_in_order(spark, sf).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+    df = spark.createDataFrame([(1, 0, [1.0, 0.0], "p"), (2, 1, None, "p"), (3, 2, [1.0, 0.0], None)], "id long, pos int, v array<double>, part string")
+    assert sorted((x.id, x.entity) for x in graph.resolved_in_order(df, "id", "pos", "v", "part").collect()) == [(1, 1), (2, 2), (3, 3)]
