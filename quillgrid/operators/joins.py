@@ -52,8 +52,8 @@ def chapter_of_page(pages: DataFrame, toc: DataFrame, doc: str = "doc_id", page:
 
 def calibrate(toc: DataFrame, footers: DataFrame, least_count: int = 3, least_share: float = 0.3) -> DataFrame:
     """Contents whose page codes are looked up among footers (doc_id, code, page), if enough of them match."""
-    first = footers.groupBy("doc_id", "code").agg(F.min("page").alias("_page"))
-    met = toc.join(first, (toc["doc_id"] == first["doc_id"]) & (F.upper(F.trim(toc["toc_page_code"])) == first["code"]), "left").drop(first["doc_id"]).drop("code")
+    first = footers.groupBy("doc_id", F.col("code").alias("_code")).agg(F.min("page").alias("_page"))
+    met = toc.withColumn("_code", F.upper(F.trim("toc_page_code"))).join(first, ["doc_id", "_code"], "left").drop("_code")
     gate = met.groupBy("doc_id").agg((F.count("_page") >= least_count).alias("_many"), (F.count("_page") / F.count("*") >= least_share).alias("_share"))
     ok = F.col("_many") & F.col("_share") & F.col("_page").isNotNull()
     return met.join(gate, "doc_id").withColumn("target_page", F.when(ok, F.col("_page")).otherwise(F.col("target_page"))).drop("_page", "_many", "_share")
