@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,7 +27,7 @@ RATE = 16000
 UNKNOWN = "application/octet-stream"
 
 
-def _riff(data: bytes, at: int) -> tuple[str, int] | None:
+def _riff(data: bytes, at: int, memo: dict) -> tuple[str, int] | None:
     """RIFF: chunk sizes must fill the stated length; WAVE needs fmt and data, WEBP an image chunk, AVI a LIST."""
     if len(data) < at + 12:
         return None
@@ -49,7 +50,7 @@ def _riff(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _png(data: bytes, at: int) -> tuple[str, int] | None:
+def _png(data: bytes, at: int, memo: dict) -> tuple[str, int] | None:
     """PNG: IHDR first, every chunk's CRC right, up to IEND."""
     pos, first = at + 8, True
     while pos + 12 <= len(data):
@@ -65,7 +66,7 @@ def _png(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> tuple[str, int] | None:
+def _gif(data: bytes, at: int, memo: dict) -> tuple[str, int] | None:
     """GIF: screen descriptor, then blocks up to the trailer, with at least one image."""
     n, image = len(data), False
     if n < at + 13:
@@ -90,7 +91,7 @@ def _gif(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(data: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(data: bytes, at: int, memo: dict) -> tuple[str, int] | None:
     """JPEG: segments with lengths up to the scan, then entropy-coded bytes up to EOI; a frame header is needed."""
     pos, n, frame = at + 2, len(data), False
     while pos + 4 <= n:
@@ -122,7 +123,7 @@ def _jpeg(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gzip(data: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(data: bytes, at: int, memo: dict) -> tuple[str, int] | None:
     """gzip: a whole member that inflates with the right check sum."""
     if len(data) < at + 18 or data[at + 3] & 0xE0:
         return None
@@ -138,27 +139,50 @@ def _gzip(data: bytes, at: int) -> tuple[str, int] | None:
     return ("application/gzip", pos - len(inflate.unused_data) - at) if inflate.eof else None
 
 
-def _zip(data: bytes, at: int) -> tuple[str, int] | None:
-    """ZIP: the end record whose directory place agrees with this first local header."""
-    end = data.find(b"PK\x05\x06", at + 4)
-    while end >= 0 and end + 22 <= len(data):
-        size, start, note = struct.unpack_from("<IIH", data, end + 12)
-        if at + start + size == end and data[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(data):
-            return "application/zip", end + 22 + note - at
-        end = data.find(b"PK\x05\x06", end + 4)
-    return None
+def _places(data: bytes, mark: bytes) -> list[int]:
+    out, at = [], data.find(mark)
+    while at >= 0:
+        out.append(at)
+        at = data.find(mark, at + len(mark))
+    return out
+
 
+def _zip_ends(data: bytes) -> dict[int, int]:
+    """Where archives start and end, by their end records: each states how far back its directory and first header lie."""
+    out: dict[int, int] = {}
+    for end in _places(data, b"PK\x05\x06"):
+        if end + 22 <= len(data):
+            size, start, note = struct.unpack_from("<IIH", data, end + 12)
+            at = end - size - start
+            if at >= 0 and data[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(data):
+                out.setdefault(at, end + 22 + note)
+    return out
 
-def _pdf(data: bytes, at: int) -> tuple[str, int] | None:
-    """PDF: a version, a startxref, and the last end mark."""
-    if not data[at + 5 : at + 8].replace(b".", b"").isdigit() or data.find(b"startxref", at) < 0:
+
+def _zip(data: bytes, at: int, memo: dict) -> tuple[str, int] | None:
+    """ZIP: the end record whose directory place agrees with this first local header."""
+    if "zip" not in memo:
+        memo["zip"] = _zip_ends(data)
+    end = memo["zip"].get(at)
+    return ("application/zip", end - at) if end else None
+
+
+def _pdf(data: bytes, at: int, memo: dict) -> tuple[str, int] | None:
+    """PDF: a version, a startxref, and the last end mark before another PDF starts."""
+    if "pdf" not in memo:
+        memo["pdf"] = {mark: _places(data, mark) for mark in (b"%PDF-", b"startxref", b"%%EOF")}
+    starts, refs, ends = memo["pdf"].values()
+    k = bisect_right(starts, at)
+    stop = starts[k] if k < len(starts) else len(data)
+    last = bisect_right(ends, stop) - 1
+    if not data[at + 5 : at + 8].replace(b".", b"").isdigit() or last < 0 or ends[last] < at:
         return None
-    end = data.rfind(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 else None
+    ref = bisect_right(refs, ends[last]) - 1
+    return ("application/pdf", ends[last] + 5 - at) if ref >= 0 and refs[ref] > at else None
 
 
-def _flac(data: bytes, at: int) -> tuple[str, int] | None:
-    """FLAC: a stream-info block of 34 bytes and further blocks up to the last; the length reaches to the end."""
+def _flac(data: bytes, at: int, memo: dict) -> tuple[str, int] | None:
+    """FLAC: a stream-info block of 34 bytes and further blocks up to the last; its frames state no length, so it reaches to the value's end."""
     pos, first = at + 4, True
     while pos + 4 <= len(data):
         head = data[pos]
@@ -171,7 +195,7 @@ def _flac(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _ogg(data: bytes, at: int) -> tuple[str, int] | None:
+def _ogg(data: bytes, at: int, memo: dict) -> tuple[str, int] | None:
     """Ogg: pages of version 0 with their lacing, up to the last of the stream."""
     pos = at
     while data[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(data):
@@ -215,9 +239,9 @@ def sniff(data: bytes | None) -> list[tuple[str, int, int]]:
     """(type, offset, length) of all media in data whose structure is confirmed, by offset."""
     if not data:
         return []
-    found = []
+    found, memo = [], {}  # what validators find out about the whole value is kept, so that many magic bytes cost one scan
     for last, (n, check) in _automaton().iter(data.decode("latin-1")):
-        hit = check(data, last + 1 - n)
+        hit = check(data, last + 1 - n, memo)
         if hit:
             found.append((hit[0], last + 1 - n, hit[1]))
     return found
@@ -236,7 +260,7 @@ def sniffed(df: DataFrame, content: str = "content", declared: str = "declared_t
     part = pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, content):
             types, fixed, carved = [], [], []
             for raw, said in zip(b.column(content).to_pylist(), b.column(declared).to_pylist(), strict=True):
                 found = sniff(raw)
@@ -272,7 +296,8 @@ def stored_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, n_bytes, declared_type, content): texts as stored WAVE files, in a table in the shared folder.
 
     The payload is the UTF-8 text (null: empty) and bytes 0 up to a positive multiple of 64. The declared type is the
-    unknown one, which sniffing corrects.
+    unknown one, which sniffing corrects. Repeated rows are stored as often, null doc_ids are kept, an empty table is an
+    empty one, and further columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,11 +315,12 @@ def media_features(stored: DataFrame) -> DataFrame:
 
     All of it comes from the stored bytes: each value is sniffed, and its samples are read where a WAVE file is
     confirmed from end to end. feature: true type, what it was declared as, rate, samples, sum of the samples' distances
-    from silence, zero crossings, and the types and lengths carved from within.
+    from silence, zero crossings, and the types and lengths carved from within. Repeated rows come back as often; an empty
+    table gives no rows; further columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "content", 8 << 20):
             rows = []
             for media, said in zip(b.column("content").to_pylist(), b.column("declared_type").to_pylist(), strict=True):
                 found = sniff(media)

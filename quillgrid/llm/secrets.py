@@ -8,6 +8,7 @@ from labelled findings; the candidates table is small beside the texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lowered, slices, span_hashes, utf8, written
+from .common import crc_mod, lean, lowered, slices, span_hashes, utf8, written
 
-#: Shortest candidate, in bytes.
-LEAST = 12
+#: Shortest candidate, in bytes, and shortest value assigned to a keyword.
+LEAST, LEAST_ASSIGNED = 12, 8
 #: Share of all words above which a word bucket counts as dictionary.
 FREQUENT = 1e-4
 #: Labelled findings that the forest learns from at most, by hash of place.
@@ -29,6 +30,8 @@ TREES, TREE_DEPTH, SEED = 24, 6, 7
 CONTEXT = 48
 #: Words that announce a secret.
 KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "credential", "bearer", "private", "access")
+#: A value assigned to a keyword: whatever follows = or : up to white space or a quote.
+ASSIGNED = re.compile(rb"(?i)(?:" + "|".join(KEYWORDS).encode() + rb")[\w-]{0,20}[\"'`]?[ \t]{0,3}[=:][ \t]{0,3}[\"'`]?([^\s\"'`]{%d,})" % LEAST_ASSIGNED)
 FEATURES = ("length", "digit_share", "upper_share", "other_share", "entropy", "class_changes", "pair_log", "dictionary_cover", "slashes", "dots", "at_sign", "hex_only", "digits_only", "keyword_before", "assigned", "quoted", "frequent_before", "frequent_after")
 
 _CHAR, _DIGIT, _UPPER, _LETTER = (np.zeros(256, bool) for _ in range(4))
@@ -72,7 +75,7 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), what, np.int32)), pa.array(some), pa.array(n[some])], ["what", "place", "n"])
 
-    got = docs.select("text").mapInArrow(run, "what int, place long, n long").groupBy("what", "place").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(lean(run), "what int, place long, n long").groupBy("what", "place").agg(F.sum("n").alias("n")).toPandas()
     pairs, words = np.zeros(65536), np.zeros(65536)
     for what, table in ((0, pairs), (1, words)):
         own = got[got.what == what]
@@ -119,11 +122,36 @@ def describe(candidate: bytes, before: bytes, after: bytes, pair_log: np.ndarray
     ]
 
 
+def _places(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, lo, hi) of the candidates in concatenated texts, by place; a run that overlaps an assigned value is part of that."""
+    out, raw, taken = [], data.tobytes(), np.zeros(len(data), bool)
+    cuts = offsets.tolist()
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        for m in ASSIGNED.finditer(raw, lo, hi):
+            i, found = m.start(1), m[1].rstrip(b",;.)]}>")
+            if len(found) >= LEAST_ASSIGNED:
+                out.append((k, i, i + len(found)))
+                taken[i : i + len(found)] = True
+    s, e = _spans(_CHAR[data], offsets)
+    digits, used = (np.r_[0, np.cumsum(x)] for x in (_DIGIT[data], taken))
+    some = (e - s >= LEAST) & (digits[e] > digits[s]) & (used[e] == used[s])
+    own = np.searchsorted(offsets, s[some], "right") - 1
+    for i, j, k in zip(s[some].tolist(), e[some].tolist(), own.tolist(), strict=True):
+        found = raw[i:j]
+        i += len(found) - len(found.lstrip(b"=.:-"))
+        found = found.strip(b"=.:-")
+        if len(found) >= LEAST and any(48 <= c < 58 for c in found):
+            out.append((k, i, i + len(found)))
+    return sorted(out)
+
+
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lo, hi, candidate, before, features) of all candidates: bytes lo up to hi of the text.
 
-    A candidate is a run of at least LEAST ASCII letters, digits and + / = _ - . @ : ~ with a digit, without = . : - at
-    its ends. before: up to CONTEXT bytes that lead to it. Null and empty texts have none.
+    A candidate is a value of at least LEAST_ASSIGNED bytes that is assigned to one of KEYWORDS, whatever its signs; or
+    elsewhere a run of at least LEAST ASCII letters, digits and + / = _ - . @ : ~ with a digit, without = . : - at its ends.
+    before: up to CONTEXT bytes that lead to it. Null and empty texts have none; repeated rows repeat theirs; null doc_ids
+    are kept; an empty table gives no rows; further columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     pair_log, frequent = statistics(rows)
@@ -131,27 +159,17 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             data, offsets = utf8(b.column("text"))
-            s, e = _spans(_CHAR[data], offsets)
-            digits = np.r_[0, np.cumsum(_DIGIT[data])]
-            some = (e - s >= LEAST) & (digits[e] > digits[s])
-            own = np.searchsorted(offsets, s[some], "right") - 1
-            out: list[tuple] = []
             ids = b.column("doc_id")
-            for i, j, k in zip(s[some].tolist(), e[some].tolist(), own.tolist(), strict=True):
-                found = data[i:j].tobytes()
-                i += len(found) - len(found.lstrip(b"=.:-"))
-                found = found.strip(b"=.:-")
-                j = i + len(found)
-                if len(found) < LEAST or not any(48 <= c < 58 for c in found):
-                    continue
+            out: list[tuple] = []
+            for k, i, j in _places(data, offsets):
                 lo, hi = int(offsets[k]), int(offsets[k + 1])
-                before, after = data[max(lo, i - CONTEXT) : i].tobytes(), data[j : min(hi, j + CONTEXT)].tobytes()
-                out.append((ids[k].as_py(), i - lo, j - lo, found.decode(), before.decode("utf-8", "ignore"), describe(found, before, after, pair_log, frequent)))
+                found, before, after = data[i:j].tobytes(), data[max(lo, i - CONTEXT) : i].tobytes(), data[j : min(hi, j + CONTEXT)].tobytes()
+                out.append((ids[k].as_py(), i - lo, j - lo, found.decode("utf-8", "replace"), before.decode("utf-8", "ignore"), describe(found, before, after, pair_log, frequent)))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "lo", "hi", "candidate", "before", "features"])
 
-    return rows.mapInArrow(run, "doc_id long, lo long, hi long, candidate string, before string, features array<double>")
+    return rows.mapInArrow(lean(run), "doc_id long, lo long, hi long, candidate string, before string, features array<double>")
 
 
 def sure_label(candidate: Column, before: Column) -> Column:
@@ -171,8 +189,9 @@ def judge(found: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> Data
     At most MOST_LABELS rows are learned from. If labelled has one class only, every score is that class; if it is
     empty, 0.5.
     """
-    labelled = labelled.filter("label is not null").select("features", F.col("label").cast("double").alias("label"))
-    labelled = labelled.orderBy(F.xxhash64("features", "label")).limit(MOST_LABELS)
+    place = [F.col(c) for c in ("doc_id", "lo", "hi") if c in labelled.columns] or [F.col("features")]
+    labelled = labelled.filter("label is not null and features is not null").orderBy(F.xxhash64(*place), "features").limit(MOST_LABELS)
+    labelled = labelled.select("features", F.col("label").cast("double").alias("label"))
     labelled = written(labelled.select(array_to_vector("features").alias("_vector"), "label"), "labels")
     range_ = labelled.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).first()
     if range_.lo is None or range_.lo == range_.hi:
@@ -180,8 +199,11 @@ def judge(found: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> Data
     else:
         forest = RandomForestClassifier(featuresCol="_vector", labelCol="label", numTrees=TREES, maxDepth=TREE_DEPTH, seed=SEED)
         model = forest.fit(labelled)
-        scored = model.transform(found.withColumn("_vector", array_to_vector("features")))
+        # a labelled finding that is no candidate has no features; its label is its score
+        filled = F.coalesce("features", F.array_repeat(F.lit(0.0), len(FEATURES)))
+        scored = model.transform(found.withColumn("_vector", array_to_vector(filled)))
         scored = scored.withColumn("score", vector_to_array("probability")[1]).drop("_vector", "probability", "rawPrediction", "prediction")
+    scored = scored.withColumn("score", F.when(F.col("features").isNull(), F.col("label").cast("double")).otherwise(F.col("score")))
     return scored.withColumn("is_secret", F.col("score") > threshold)
 
 
@@ -189,7 +211,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", findings:
     """(doc_id, lo, hi, candidate_sha256, held_out, label, score, is_secret) of all candidates of docs.
 
     findings: labelled findings (doc_id, lo, hi, label); by default those whose nature is plain (`sure_label`). Rows with
-    crc32(doc_id) mod 4 = 2 are held out of training. Repeated rows repeat their candidates; null doc_ids are kept;
+    crc32(doc_id) mod 4 = 2 are held out of training. Labelled findings that are no candidates come back as rows of their
+    own, with their label as score. Repeated rows repeat their candidates; null doc_ids are kept;
     further columns are not read; an empty table gives no rows. The secrets themselves are not returned.
     """
     found = written(candidates(docs, doc_id, text), "candidates").withColumn("held_out", crc_mod("doc_id", 4) == 2)
@@ -197,6 +220,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", findings:
         found = found.withColumn("label", sure_label(F.col("candidate"), F.col("before")))
     else:
         given = findings.select("doc_id", "lo", "hi", F.col("label").cast("int").alias("label")).dropDuplicates(["doc_id", "lo", "hi"])
-        found = found.join(given, ["doc_id", "lo", "hi"], "left")
+        found = found.join(given, ["doc_id", "lo", "hi"], "full_outer").withColumn("held_out", crc_mod("doc_id", 4) == 2)
     out = judge(found, found.filter("not held_out"))
     return out.select("doc_id", "lo", "hi", F.sha2("candidate", 256).alias("candidate_sha256"), "held_out", "label", "score", "is_secret")
