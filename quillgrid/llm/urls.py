@@ -51,22 +51,40 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     tokens = F.concat(
         F.array(F.concat(F.lit("s:"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][-+.A-Za-z0-9]*)://", 1)))),
         F.transform(parts, lambda x: F.concat(F.lit("h:"), x)),
-        F.array(F.concat(F.lit("d:"), F.array_join(F.slice(parts, -2, 2), "."))),
+        F.when(F.size(parts) >= 2, F.array(F.concat(F.lit("d:"), F.array_join(F.slice(parts, -2, 2), ".")))).otherwise(F.array().cast("array<string>")),
         F.transform(steps, lambda x: F.concat(F.lit("p:"), F.regexp_replace(F.lower(x), r"\d+", "#"))),
         F.array(F.concat(F.lit("x:"), F.regexp_extract(path, r"\.(\w{1,6})$", 1))),
         F.transform(query, lambda x: F.concat(F.lit("q:"), F.substring_index(x, "=", 1))),
     )
-    # slice(-2) of a shorter array is null, which would make the whole null
-    tokens = F.when(F.size(parts) >= 2, tokens).otherwise(
-        F.concat(F.transform(parts, lambda x: F.concat(F.lit("h:"), x)), F.transform(steps, lambda x: F.concat(F.lit("p:"), F.regexp_replace(F.lower(x), r"\d+", "#"))))
-    )
     return F.array_sort(F.array_distinct(F.filter(tokens, lambda x: F.length(x) > 2)))
 
 
+def twins(labelled: DataFrame) -> DataFrame:
+    """(token, item) of all tokens of rows (tokens, verdict): item is the least of the tokens that lie in the same rows.
+
+    Such tokens mean the same to every rule, so one of them is mined for all: a template with many names of its own is one
+    item, not as many itemsets as the names have subsets. Rows are told apart by two hashes of their tokens.
+    """
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("_n"))
+    held = sets.select("_n", F.xxhash64("tokens").alias("_a"), F.xxhash64("tokens", F.lit(1)).alias("_b"), F.explode("tokens").alias("token"))
+    small = lambda c: F.pmod(c, F.lit(1 << 40))
+    signs = held.groupBy("token").agg(F.sum("_n").alias("_n"), F.bit_xor("_a").alias("_a"), F.bit_xor("_b").alias("_b"), F.sum(small(F.col("_a")).cast("decimal(38,0)")).alias("_s"))
+    same = signs.groupBy("_n", "_a", "_b", "_s").agg(F.min("token").alias("item"))
+    return signs.join(same, ["_n", "_a", "_b", "_s"]).select("token", "item")
+
+
+def itemised(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """(tokens, items) of the distinct token arrays of sets; tokens that items does not list are left out."""
+    some = sets.select("tokens").distinct()
+    got = some.select("tokens", F.explode("tokens").alias("token")).join(items, "token").groupBy("tokens").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return some.join(got, "tokens", "left").select("tokens", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (antecedent, verdict, confidence, support, lift) from rows (tokens, verdict) over all of them.
 
     A rule is dropped if one with fewer of its tokens and the same verdict is as confident. An empty input gives none.
+    The number of itemsets grows with the combinations of frequent tokens that differ in their rows (see `twins`).
     """
     spark = labelled.sparkSession
     items = labelled.select(F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit(_VERDICT), "verdict")))).alias("items"))
@@ -111,9 +129,13 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
     labelled = rows.filter("_fixed is not null").select("tokens", F.col("_fixed").alias("verdict"))
     if labelled.isEmpty():
         return rows.select("page_id", "host", "path", "rule", F.coalesce("_fixed", F.lit(default)).alias("verdict"), F.lit(None).cast("string").alias("mined_rule"))
-    open_sets = rows.filter("_fixed is null").select("tokens").distinct()
-    # a table of its own, so that token sets which very many URLs share are split in the join
-    found = written(match(open_sets, mine(labelled, min_support, min_confidence)).select("tokens", F.col("verdict").alias("_mined"), "mined_rule"), "matched")
+    items = written(twins(labelled), "items")
+    # tables of their own, so that token sets which very many URLs share are split in the joins
+    known = written(itemised(labelled, items), "known")
+    rules = mine(labelled.join(known, "tokens").select(F.col("items").alias("tokens"), "verdict"), min_support, min_confidence)
+    open_sets = written(itemised(rows.filter("_fixed is null"), items), "open")
+    fits = match(open_sets.select(F.col("items").alias("tokens")).distinct(), rules).select(F.col("tokens").alias("items"), F.col("verdict").alias("_mined"), "mined_rule")
+    found = written(open_sets.join(fits, "items").select("tokens", "_mined", "mined_rule"), "matched")
     out = rows.join(found, "tokens", "left")
     decided = F.col("_fixed").isNotNull()
     return out.select("page_id", "host", "path", "rule", F.coalesce("_fixed", "_mined", F.lit(default)).alias("verdict"), F.when(~decided, F.col("mined_rule")).alias("mined_rule"))
