@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _Q, _RECORDS, _TOC, _VECTORS, _doc_pages, _query_vector, _records, _t, _toc, query
 from .functions import metadata, models, permissions, text, vectors
-from .operators import aggregates, chats, filters, graph, joins, lookups, ranking, search, tables, tree
+from .operators import aggregates, chats, chunking, filters, graph, ivf, joins, lookups, ranking, search, tables, tree
 from .plans import handlers, ingest
+from .sources import readers
+from .storage import shared_dir
 
 
 def _gone(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,3 +520,101 @@ def deleted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compared_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values as they are compared."""
     return _t(spark, sf_dir, "events").select("event_id", lookups.comparable(F.concat(F.lit(" "), "event_type", F.lit("  "))).alias("compared"))
+
+
+#: Title words of one principle document of each category, and of none.
+_TITLES = ("五代机JU介绍", "继电器检测", "热流道温度", "液压换向阀", "地基吊装图", "进线接口", "故障调整", "画面设定", "规格用量", "其它", "电热安装")
+_CATEGORIES = ("机器系列", "电气系统", "加热系统", "液压系统", "机械结构", "接口连接", "故障诊断", "操作说明", "技术参数", "其他原理", "电气系统")
+_KEYWORDS = ("五代机JU介绍,JU,五代机,注塑机", "继电器检测,电气,控制,系统,故障,诊断,维修", "热流道温度,加热,温控,系统", "液压换向阀,液压,系统", "地基吊装图", "进线接口", "故障调整,故障,诊断,维修", "画面设定", "规格用量", "其它", "电热安装,电气,控制,系统,加热,温控,安装,连接,配置")
+
+
+@query(f"""WITH t AS (SELECT event_id, event_id % 11 + 1 AS k FROM events), n AS (SELECT event_id, {list(_TITLES)}[k] AS title, {list(_CATEGORIES)}[k] AS category, {list(_KEYWORDS)}[k] AS keywords FROM t)
+SELECT event_id, title, category, keywords, '这是关于' || title || '的原理说明文档，属于' || category || '类别。该文档提供了相关的技术原理、操作方法、故障分析等信息，可用于设备维护、故障诊断和技术支持。' AS text FROM n""")
+def principle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, category, search words and sentence of principle documents, by their file names."""
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("event_id") % len(_TITLES) + 1).cast("int"))
+    files = _t(spark, sf_dir, "events").select("event_id", F.concat(F.lit("docs/"), F.col("event_id").cast("string"), F.lit("Ab-"), title, F.lit(".docx")).alias("path"))
+    c = readers.principle_chunks(files)
+    c = c.withColumn("event_id", F.regexp_extract("path", r"/(\d+)Ab-", 1).cast("long"))
+    return c.select("event_id", "title", F.element_at("metadata", F.lit("category")).alias("category"), F.array_join("keywords", ",").alias("keywords"), "text")
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') AS import_time, event_type FROM events")
+def imported_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the time of their import."""
+    c = _t(spark, sf_dir, "events").select("event_id", "ts", F.create_map(F.lit("type"), F.col("event_type")).alias("metadata"))
+    return readers.imported(c, F.col("ts")).select("event_id", F.element_at("metadata", F.lit("import_time")).alias("import_time"), F.element_at("metadata", F.lit("type")).alias("event_type"))
+
+
+def _files(df: DataFrame, name: str) -> str:
+    """Text files in the shared folder, one for each value of key."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.partitionBy("key").text(path)
+    return path
+
+
+@query("SELECT n_nationkey, n_name || ' ' || n_regionkey AS text FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, NULL FROM nation WHERE n_nationkey % 5 = 0")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole text files by their suffix, blank ones without text."""
+    value = F.when(F.col("n_nationkey") % 5 == 0, "  ").otherwise(F.concat("n_name", F.lit(" "), F.col("n_regionkey").cast("string")))
+    path = _files(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), value.alias("value")), "texts")
+    got = readers.read_file(spark, f"{path}/key=*/*.txt")
+    return got.select(F.regexp_extract("path", r"key=(\d+)", 1).cast("int").alias("n_nationkey"), F.rtrim("text", F.lit("\n")).alias("text"))
+
+
+@query("SELECT n_nationkey, unnest(generate_series(1, 2))::INTEGER AS page, unnest([n_name, n_regionkey::VARCHAR]) AS text FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, 1, '' FROM nation WHERE n_nationkey % 5 = 0")
+def binary_file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of binary files by a splitter; a file that it cannot read gives one empty page."""
+    value = F.when(F.col("n_nationkey") % 5 == 0, "broken").otherwise(F.concat("n_name", F.lit("|"), F.col("n_regionkey").cast("string")))
+    path = _files(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), value.alias("value")), "binaries")
+
+    def pages_of(raw: bytes) -> list[str]:
+        if b"|" not in raw:
+            raise ValueError("not a file of this kind")
+        return raw.decode().strip().split("|")
+
+    got = readers.binary_pages(spark, f"{path}/key=*/*.txt", pages_of)
+    return got.select(F.regexp_extract("path", r"key=(\d+)", 1).cast("int").alias("n_nationkey"), "page", "text")
+
+
+@query("SELECT c_custkey || ' | ' || c_name || ' | ' || c_mktsegment AS text FROM customer")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV rows with their header, as text."""
+    path = f"{shared_dir(spark)}/customers-{uuid.uuid4().hex}"
+    _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).option("sep", ";").csv(path)
+    return readers.read_csv(spark, path, sep=";").select("text")
+
+
+@query("""WITH s AS (SELECT label % 8 AS part, vec_id, list_cosine_similarity(lag(embedding::DOUBLE[]) OVER w, embedding::DOUBLE[]) AS c, label FROM embeddings WINDOW w AS (PARTITION BY label, vec_id // 50 ORDER BY vec_id))
+SELECT label, vec_id // 50 AS document, (sum(CASE WHEN c >= 0.1 THEN 0 ELSE 1 END) OVER (PARTITION BY label, vec_id // 50 ORDER BY vec_id))::BIGINT AS island, vec_id FROM s""")
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed cuts of a document merged where neighbours are alike; windows stay within one document."""
+    e = _t(spark, sf_dir, "embeddings").withColumn("document", F.floor(F.col("vec_id") / 50)).withColumn("key", F.struct("label", "document"))
+    return chunking.similar_islands(e, "key", "vec_id", "embedding", 0.1).select("label", "document", "island", "vec_id")
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 100 = 0 WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2""")
+def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs in doubt that the judge's fallback rule accepts; contradicting selections are refused beforehand."""
+    filters.check_selection(["a"], None, None)
+    e = _t(spark, sf_dir, "embeddings")
+    a = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("_a"))
+    b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("_b"))
+    pairs = a.join(b, "label").filter("a < b").select("a", "b", vectors.dot(F.col("_a"), F.col("_b")).alias("similarity"))
+    return graph.canonical_merge(pairs, 0.95, lambda s: models.same_entity(s + 0.65), 0.2)
+
+
+@query()
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's index of inverted cells; all rows are indexed, queries are the ids divisible by 100.
+
+    The centroids are fitted on at most ivf.SAMPLE rows. The tests measure the recall of the exact five best: at least 0.9.
+    """
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    centres = ivf.centroids(e, NLIST)
+    q = e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return ivf.search(ivf.assign(e, centres, probes=FILED), q, centres, 5, NPROBE).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+#: Cells, cells that a record is filed in, and cells that a query looks up.
+NLIST, FILED, NPROBE = 16, 2, 10

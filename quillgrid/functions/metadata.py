@@ -107,28 +107,32 @@ def filled(x: Column) -> Column:
     return F.when(F.trim(x) != "", x)
 
 
-def pick(values: Column, names: tuple[str, ...], key: str) -> tuple[Column, Column]:
-    """(value, conflict) of a canonical field: the only value, or by precedence of key, then aliases."""
-    order = (key, *(n for n in names if n != key))
-    hits = [filled(F.element_at(values, F.lit(n))) for n in order]
-    distinct = F.array_distinct(F.array_compact(F.array(*[F.trim(h) for h in hits])))
-    first_found = F.coalesce(*[filled(F.element_at(values, F.lit(n))) for n in names])
-    return F.when(F.size(distinct) <= 1, first_found).otherwise(F.coalesce(*hits)), F.size(distinct) > 1
+def _fields(values: Column, kind: str) -> Column:
+    """Array of (key, value, conflict) of the type's fields: the only value, or by precedence of key, then aliases.
 
+    One expression over a literal table of the aliases, so that plans stay small however many there are.
+    """
+    names = lambda own: F.array(*map(F.lit, own))
+    table = F.array(*[F.struct(F.lit(k).alias("key"), names((k, *(n for n in own if n != k))).alias("order"), names(own).alias("names")) for k, own in schema_of(kind).items()])
+    held = lambda own: F.filter(F.transform(own, lambda n: F.element_at(values, n)), lambda x: F.trim(x) != "")
+
+    def field(f: Column) -> Column:
+        hits = held(f["order"])
+        conflict = F.size(F.array_distinct(F.transform(hits, lambda x: F.trim(x)))) > 1
+        return F.struct(f["key"].alias("key"), F.when(conflict, F.get(hits, F.lit(0))).otherwise(F.get(held(f["names"]), F.lit(0))).alias("value"), conflict.alias("conflict"))
 
-def _map(pairs: list[tuple[str, Column]]) -> Column:
-    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]), lambda e: e["value"].isNotNull())
-    return F.map_from_entries(entries)
+    return F.transform(table, field)
 
 
 def canonical_values(values: Column, kind: str) -> Column:
     """Map of the canonical fields that have a value under any alias."""
-    return _map([(k, pick(values, names, k)[0]) for k, names in schema_of(kind).items()])
+    entries = F.filter(_fields(values, kind), lambda f: f["value"].isNotNull())
+    return F.map_from_entries(F.transform(entries, lambda f: F.struct(f["key"], f["value"])))
 
 
 def conflicts(values: Column, kind: str) -> Column:
     """Canonical fields whose aliases disagree."""
-    return F.array_compact(F.array(*[F.when(pick(values, names, k)[1], F.lit(k)) for k, names in schema_of(kind).items()]))
+    return F.transform(F.filter(_fields(values, kind), lambda f: f["conflict"]), lambda f: f["key"])
 
 
 def merged(first: Column, second: Column) -> Column:
