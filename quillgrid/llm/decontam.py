@@ -2,8 +2,7 @@
 
 The test items are the query set: their seeds and words go to the tasks in blocks of bounded size, one pass over the
 documents a block. A seed is a run of `SEED` words; it is rare if the product of its words' frequencies among all words
-of the corpus is under `RARE`, or so small that chance would put it there less than half a time (so the seeds of a leak
-that is copied very often stay rare, at any size of corpus).
+of the corpus is under `RARE`, whatever the corpus' size; an item without a rare seed is sought by all its seeds.
 Around its seeds, a document's words are aligned with the item's words.
 """
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, lean, lowered, slices, span_hashes, utf8
 
 SEED = 3
-RARE = 1e-9
+RARE = 1e-8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the item's best possible score.
 MIN_SCORE = 0.5
@@ -67,7 +66,7 @@ class Seeds:
             keep = np.ones(len(h), bool)
             if common is not None:
                 log = np.array([common.get(int(x), -np.inf) for x in w])
-                keep = np.array([log[i : i + n].sum() for i in range(len(h))]) < max(np.log(RARE), np.log(0.5) - common[-1])
+                keep = np.array([log[i : i + n].sum() for i in range(len(h))]) < np.log(RARE)
                 if not keep.any():  # an item of common words alone is sought by all its seeds
                     keep[:] = True
             rows += [(int(x), n, k, i) for i, x in enumerate(h) if keep[i]]
