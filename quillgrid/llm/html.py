@@ -277,9 +277,13 @@ def main_text(page: str | None) -> str:
     # from the best container up to the main element, or to the one container around it: what stands beside it and is no menu
     kept_here, at = [best], best
     while at.parent is not None and at.tag != "main" and (at is best or at.parent.inside):
-        kept_here = [c for c in at.parent.children if c is at or _stays(c, best, at.parent.tag in _TOP)]
-        kept_here = [x for c in kept_here for x in (inner if c is at else [c])] if at is not best else kept_here
-        inner, at = kept_here, at.parent
+        beside, top = [], at.parent.tag in _TOP
+        for c in at.parent.children:
+            if c is at:
+                beside += kept_here
+            elif _stays(c, best, top):
+                beside.append(c)
+        kept_here, at = beside, at.parent
     return _render(kept_here)
 
 
