@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillgrid import catalog, catalog_more, catalog_stores  # noqa: F401
+from quillgrid import catalog, catalog_files, catalog_more, catalog_stores  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
