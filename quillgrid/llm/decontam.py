@@ -8,6 +8,7 @@ Around its seeds, a document's words are aligned with the item's words.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -231,10 +232,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """docs without the rows whose text holds a copy of a test item; all columns are kept.
 
-    Several texts under one doc_id are judged apart. Rows with a null doc_id and null texts stay; rows given twice stay
-    or go together; empty tables lose nothing; names that begin with __leak are the operator's own.
+    Each text is judged by itself, so several texts under one doc_id, repeated rows and rows without doc_id go or stay by
+    what they hold. Null texts stay; empty tables lose nothing. doc_id is not read.
     """
-    marks = docs.filter(F.col(doc_id).isNotNull()).select(F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = leaks(marks, benchmark, min_score=min_score).select(F.col("doc_id").alias("__leak_of")).distinct()
-    rows = docs.withColumn("__leak", F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id), F.col(text).cast("string"))))
-    return rows.join(found, rows["__leak"] == found["__leak_of"], "left_anti").drop("__leak")
+    own = f"__leak_{uuid.uuid4().hex[:8]}"
+    marks = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(text).cast("string")).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = leaks(marks, benchmark, min_score=min_score).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text).cast("string"))) == found[own], "left_anti")

@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 
 from .common import lean, slices
 
-#: Quoted values have a bound, so that unbalanced quotes don't scan the page once for each tag.
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: Up to what ends a tag or begins a value, and an unquoted value.
+_STEP, _BARE = re.compile(r"[^>=]*+(=\s*+|>)"), re.compile(r"[^\s>]*+")
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
-RAW = frozenset("script style noscript template iframe textarea title svg math xmp noembed noframes object".split())
+RAW = frozenset("script style noscript template iframe textarea title svg xmp noembed noframes annotation annotation-xml".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table caption tbody thead tfoot tr td th ul option".split()
@@ -39,25 +40,35 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("ul ol dl table article section main body select".split())
 DROPPED = frozenset("head nav footer aside button select dialog menu datalist".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id that mark boilerplate.
+#: Words of class and id that boilerplate often has. A name of these words alone (`cookie-banner`) says more than one among others (`related-work`).
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored promo promotion banner sidebar sidenav side widget "
     "menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices disclaimer newsletter subscribe "
     "subscription signup popup modal overlay lightbox share sharing social related recommended recommendations pagination pager login alert skip".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus respond replies reply discussion discussions".split())
+#: Words of names that say nothing about an element's purpose.
+_BESIDE = frozenset("site page box block slot bar top bottom left right main content container wrapper wrap inner outer section area list item the js id".split())
+NO, WEAK, STRONG = 0, 1, 2
+#: Share of the page's points with which an element of such a name alone stays.
+STRONG_SHARE = 0.6
+#: Characters below which text under a name with a boilerplate word goes, and the share of links above which it goes.
+SHORT, LINKED = 200, 0.3
+#: What points of elements with such names count.
+DISCOUNT = 0.5
 _LIST = frozenset("ul ol dl table div section".split())
 PARAGRAPH = 25
 
 
 class Node:
-    __slots__ = ("children", "drop", "hint", "inside", "link", "links", "parent", "score", "size", "tag")
+    __slots__ = ("children", "drop", "hint", "inside", "link", "links", "parent", "points", "role", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
-        self.drop, self.hint, self.inside = False, False, False
+        self.drop, self.hint, self.inside = False, NO, False
         self.size = self.link = self.links = 0
-        self.score = 0.0
+        self.score = self.points = 0.0
+        self.role = False  # its role, or its tag and place, mark it as boilerplate
 
 
 def _mark(node: Node, attrs: str) -> None:
@@ -69,13 +80,14 @@ def _mark(node: Node, attrs: str) -> None:
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words = set(_WORDS.split(_CAMEL.sub("-", value).lower()))
-            if words & COMMENTS:
-                node.drop = node.drop or node.tag != "main"
-            elif words & HINTS:
-                node.hint = True
+            for token in value.split():
+                words = {w for w in _WORDS.split(_CAMEL.sub("-", token).lower()) if w}
+                if words & COMMENTS and words <= COMMENTS | HINTS | _BESIDE:
+                    node.drop = node.drop or node.tag != "main"
+                elif words & (HINTS | COMMENTS):
+                    node.hint = max(node.hint, STRONG if words <= HINTS | _BESIDE and not words & COMMENTS else WEAK)
         elif name == "role" and value.lower() in ROLES:
-            node.hint = True
+            node.role = True
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             node.drop = True
 
@@ -124,6 +136,35 @@ _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 option".split())
 
 
+class _Tags:
+    """Tags of a page. A closing quote that was once sought in vain is not sought again, so the work is linear in the page."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.none = page, set()
+
+    def at(self, lt: int) -> tuple[int, str, str, str] | None:
+        """(end, slash, name, attributes) of the tag at lt; > inside a quoted value ends no tag. Where a quote is not closed, the next > does."""
+        m = _NAME.match(self.page, lt)
+        if not m:
+            return None
+        pos = m.end()
+        while step := _STEP.match(self.page, pos):
+            pos = step.end()
+            if step[1] == ">":
+                return pos, m[1], m[2], self.page[m.end() : pos - 1]
+            quote = self.page[pos : pos + 1]
+            if quote in ('"', "'") and quote:
+                end = -1 if quote in self.none else self.page.find(quote, pos + 1)
+                if end < 0:
+                    self.none.add(quote)
+                    break
+                pos = end + 1
+            else:
+                pos = _BARE.match(self.page, pos).end()
+        m = _LOOSE.match(self.page, lt)
+        return m and (m.end(), m[1], m[2], m[3])
+
+
 def parse(page: str) -> Node:
     """The element tree; children are elements and (text, link characters) blocks in page order. Linear in the page's length."""
     root = Node("html", None)
@@ -131,6 +172,7 @@ def parse(page: str) -> Node:
     parts: list[str] = []
     state = [0]  # raw characters of the open block that lie in links
     anchors, body = 0, False
+    tags = _Tags(page)
 
     def flush() -> None:
         if parts:
@@ -156,16 +198,16 @@ def parse(page: str) -> Node:
             end, size = (page.find("-->", lt + 4), 3) if page.startswith("<!--", lt) else (page.find(">", lt), 1)
             pos = end + size if end >= 0 else n
             continue
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
-        if not m:
+        found = tags.at(lt)
+        if not found:
             if nxt.isalpha() or nxt == "/":  # a tag that the end of the page cuts off
                 break
             parts.append("<")
             pos = lt + 1
             continue
-        pos = m.end()
-        tag = m[2].lower()
-        if m[1]:
+        pos, slash, tag, attrs = found
+        tag = tag.lower()
+        if slash:
             if tag == "a":
                 anchors = max(0, anchors - 1)
             elif tag in BLOCK and (depth := opened.innermost(tag)) is not None:
@@ -173,7 +215,7 @@ def parse(page: str) -> Node:
                 opened.cut(depth)
                 anchors = 0
         elif tag in RAW:
-            if not m[3].endswith("/"):
+            if not attrs.endswith("/"):
                 end = _RAW_END[tag].search(page, pos)
                 pos = end.end() if end else n
         elif tag == "br":
@@ -197,7 +239,7 @@ def parse(page: str) -> Node:
                 continue
             body = body or tag == "body"
             node = Node(tag, opened.last)
-            _mark(node, m[3])
+            _mark(node, attrs)
             opened.last.children.append(node)
             opened.push(node)
     flush()
@@ -214,6 +256,31 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _points(block: tuple[str, int]) -> float:
+    """Points of a paragraph-like block: for length and commas, less its links."""
+    text, link = block
+    return (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - link / len(text)) if len(text) >= PARAGRAPH else 0.0
+
+
+def _name_drops(root: Node, nodes: list[Node], key: set[int]) -> None:
+    """Drops elements with boilerplate names: those whose text is short or mostly links, or holds too little of the page's points for their name."""
+    for x in reversed(nodes):
+        own = [c for c in x.children if not isinstance(c, Node)]
+        below = [c for c in x.children if isinstance(c, Node) and not c.drop]
+        x.points = sum(map(_points, own)) + sum(c.points for c in below)
+        x.size = sum(len(c[0]) for c in own) + sum(c.size for c in below)
+        x.link = sum(c[1] for c in own) + sum(c.link for c in below)
+    whole = root.points
+    for x in nodes:
+        if x.hint and id(x) not in key:
+            share = x.points / whole if whole else 0.0
+            little = (x.size < SHORT and share < 0.5) or x.link > LINKED * x.size
+            # where the page has an article or main element, what has such a name outside it is none of its text
+            x.drop = x.drop or little or (x.hint == STRONG and share < STRONG_SHARE) or (bool(key) and not x.inside)
+    for x in nodes:
+        x.size = x.link = 0
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: blocks in page order joined by one newline; empty if there is none."""
     if not page:
@@ -229,10 +296,9 @@ def main_text(page: str | None) -> str:
                 y = y.parent
     for x in nodes:  # parents come first
         x.inside = x.tag in ("article", "main") or (x.parent is not None and x.parent.inside)
-        if x.tag == "form" or (x.tag == "header" and not x.inside):
-            x.hint = True
-        if x.hint and id(x) not in key:
+        if (x.role or x.tag == "form" or (x.tag == "header" and not x.inside)) and id(x) not in key:
             x.drop = True
+    _name_drops(root, nodes, key)
     kept, stack = [], [root]
     while stack:
         x = stack.pop()
@@ -250,14 +316,12 @@ def main_text(page: str | None) -> str:
             x.drop = True
             x.size = x.link = x.links = 0
     for x in kept:
-        points = 0.0
-        for c in x.children:
-            if not isinstance(c, Node) and len(c[0]) >= PARAGRAPH:
-                points += (1 + c[0].count(",") + min(len(c[0]) // 100, 3)) * (1 - c[1] / len(c[0]))
+        points = sum(_points(c) for c in x.children if not isinstance(c, Node))
         if points:
             y, share = (x if x.tag not in ("p", "pre", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else x.parent or x), 1.0
             level = 0
             while y is not None and share > 0.02:
+                points *= DISCOUNT if y.hint else 1
                 y.score += points * share
                 level += 1
                 share = 0.5 if level == 1 else 1 / (3 * level)

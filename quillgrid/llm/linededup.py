@@ -12,9 +12,9 @@ with the text of the earlier document, so that equal hashes alone delete nothing
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ MIN_WORDS = 20
 STRETCH = 50
 #: A sentence of fewer words is no line of its own; a line of over LONG words also ends after words whose hash is a multiple of CUT.
 SHORT, LONG, CUT = 4, 32, 16
-#: Bytes beyond an aligned block that are compared; equal words go on no further than the next common line.
-MARGIN = 2048
+#: Blocks of one earlier document that a task compares; more are dealt to further tasks, each with the document's text.
+HELD = 1000
+#: Words of more bytes are cut into pieces of PIECE bytes.
+LONG_WORD, PIECE = 64, 32
 #: Aligned lines at one distance and so many bytes apart at most are looked up as one block.
 GAP = 512
 _NEWLINE, _END = ord("\n"), np.zeros(256, bool)
@@ -39,6 +41,48 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def _wide() -> np.ndarray:
+    """First two bytes (as numbers) of the three-byte characters that are words of their own: Chinese, Japanese, Korean, Thai, Lao."""
+    out = np.zeros(1 << 16, bool)
+    for lead in range(0xE3, 0xEE):
+        out[lead << 8 : (lead << 8) + 256] = True
+    out[0xE0B8:0xE0BC] = True
+    return out
+
+
+_WIDE = _wide()
+
+
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as by word_spans, with characters of scripts that use no spaces as words of their own and very long words in pieces.
+
+    Equal words are cut alike wherever they stand.
+    """
+    s, e, text = word_spans(data, offsets)
+    if len(s) and (data >= 0xE0).any():
+        at = np.flatnonzero((data[:-2] >= 0xE0) & (data[1:-1] >= 0x80))
+        at = at[_WIDE[data[at].astype(np.int64) << 8 | data[at + 1]]]
+        s, e, text = _cut_at(s, e, text, np.union1d(at, at + 3))
+    long = np.flatnonzero(e - s > LONG_WORD)
+    if len(long):
+        each = (e[long] - s[long] - 1) // PIECE
+        at = np.repeat(s[long], each) + PIECE * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + 1)
+        for _ in range(3):
+            at = at + ((data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
+        s, e, text = _cut_at(s, e, text, np.unique(at))
+    return s, e, text
+
+
+def _cut_at(s: np.ndarray, e: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, cut at those of the sorted places that lie inside them."""
+    own = np.searchsorted(s, at, "right") - 1
+    inside = (own >= 0) & (at > s[own]) & (at < e[own])
+    at, own = at[inside], own[inside]
+    starts = np.r_[s, at]
+    order = np.argsort(starts, kind="stable")
+    return starts[order], np.sort(np.r_[e, at]), np.r_[text, text[own]][order]
+
+
 def line_starts(data: np.ndarray, s: np.ndarray, e: np.ndarray, text: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
     """First words of the lines of texts with words from s to e.
 
@@ -107,7 +151,7 @@ def run_table(docs: DataFrame, min_words: int = MIN_WORDS, stretch: int = 0) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             data, offsets = utf8(b.column("text"))
-            s, e, text = word_spans(data, offsets)
+            s, e, text = spans(data, offsets)
             h = span_hashes(data, s, e)
             key = window_hashes(h, min_words)
             w0 = line_starts(data, s, e, text, None if stretch else h)
@@ -220,7 +264,70 @@ def _pair_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _words(raw: bytes) -> tuple[list[bytes], list[int]]:
     """Words and where they start."""
-    return raw.split(), word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
+    s, e, _ = spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    s, e = s.tolist(), e.tolist()
+    return [raw[i:j] for i, j in zip(s, e, strict=True)], s
+
+
+def _windows(n: int, beyond: int) -> Callable:
+    """Rows of texts, each followed by the blocks (of lines of n words) that it holds, to what each pair's blocks may be equal to.
+
+    A block may go on for fewer than `beyond` words on either side before the next common line; where the text repeats
+    itself, and with beyond 0, it may go on for all of it. Overlapping windows are one, so no word goes twice to a pair.
+    """
+    names = ["doc_id", "text_hash", "earlier_id", "places", "there", "starts", "parts"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, s, e = b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pair, blocks, out, size = None, [], [], 0
+
+        def close() -> None:
+            nonlocal size
+            if pair is None:
+                return
+            wanted = []
+            for places, there, again in blocks:
+                i, j = np.searchsorted(s, (there, there + places[-1] - places[0]))
+                lo, hi = (0, len(s)) if again or not beyond else (max(0, i - beyond), min(len(s), j + n + beyond))
+                wanted.append((int(s[lo]), int(e[hi - 1])))
+            merged: list[list[int]] = []
+            for lo, hi in sorted(wanted):
+                if merged and lo <= merged[-1][1]:
+                    merged[-1][1] = max(hi, merged[-1][1])
+                else:
+                    merged.append([lo, hi])
+            parts = [raw[lo:hi] for lo, hi in merged]
+            size += sum(map(len, parts))
+            out.append((*pair, [b[0] for b in blocks], [b[1] for b in blocks], [m[0] for m in merged], parts))
+            blocks.clear()
+
+        def told() -> pa.RecordBatch:
+            nonlocal size
+            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out.clear()
+            size = 0
+            return done
+
+        for b in batches:
+            texts = b.column("text")
+            for k, (kind, earlier, doc, own, places, there, again) in enumerate(zip(*(b.column(c).to_pylist() for c in ("kind", "earlier_id", "doc_id", "text_hash", "places", "there", "again")), strict=True)):
+                if kind == 0:
+                    close()
+                    pair, raw = None, texts[k].as_py().encode()
+                    s, e, _ = spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    continue
+                if pair != (doc, own, earlier):
+                    close()
+                    pair = (doc, own, earlier)
+                blocks.append((places, there, again))
+                if size > 8 << 20 or len(out) > 5000:
+                    yield told()
+        close()
+        if out:
+            yield told()
+
+    return run
 
 
 def common_block(words: list[bytes], i: int, other: list[bytes], j: int, n: int) -> tuple[int, int]:
@@ -235,27 +342,30 @@ def common_block(words: list[bytes], i: int, other: list[bytes], j: int, n: int)
     return lo, hi
 
 
-def _cut(raw: bytes, blocks: list[dict], n: int) -> tuple[str, list[dict]]:
-    """The text without the blocks that it really shares, and those (earlier_id, lo, hi, earlier_lo) in bytes."""
+def _cut(raw: bytes, pairs: list[dict], n: int) -> tuple[str, list[dict]]:
+    """The text without the blocks that it really shares, and those (earlier_id, lo, hi, earlier_lo) in bytes.
+
+    pairs: of each earlier document its blocks (places, there), and parts of its text with where they start.
+    """
     words, starts = _words(raw)
-    starts.append(len(raw))
     found = []
-    for b in blocks:
-        part, base = b["part"], b["start"]
-        other, at = _words(part)
-        if base and other and not part[:1].isspace():
-            other, at = other[1:], at[1:]  # may be the end of a word
-        if base + len(part) < b["whole"] and not part[-1:].isspace():
-            other = other[:-1]
+    for pair in pairs:
+        held: dict[int, tuple[list[bytes], list[int]]] = {}
         done = -1
-        for here in b["places"]:
-            if here < done:
-                continue
-            i, j = bisect_left(starts, here), bisect_left(at, here - b["places"][0] + b["there"] - base)
-            lo, hi = common_block(words, i, other, j, n)
-            if hi > lo:
-                found.append({"earlier_id": b["earlier_id"], "lo": starts[lo], "hi": starts[hi], "earlier_lo": base + at[lo + j - i]})
-                done = starts[hi]
+        for places, there in sorted(zip(pair["places"], pair["there"], strict=True)):
+            k = bisect_right(pair["starts"], there) - 1
+            if k not in held:
+                held[k] = _words(pair["parts"][k])
+            other, at = held[k]
+            base = pair["starts"][k]
+            for here in places:
+                if here < done:
+                    continue
+                i, j = bisect_left(starts, here), bisect_left(at, here - places[0] + there - base)
+                lo, hi = common_block(words, i, other, j, n)
+                if hi > lo:
+                    done = starts[hi] if hi < len(words) else len(raw)
+                    found.append({"earlier_id": pair["earlier_id"], "lo": starts[lo], "hi": done, "earlier_lo": base + at[lo + j - i]})
     keep, at = [], 0
     for b in sorted(found, key=lambda b: (b["lo"], b["hi"])):
         keep.append(raw[at : b["lo"]] if b["lo"] > at else b"")
@@ -274,7 +384,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     lines. So of any whole lines with at least min_words words that an earlier document holds, and with stretch of any
     stretch words wherever they start, at least a line's words go (20 of 50), unless the alignment leaves them out
     as moved or repeated; those stay, and what an even earlier holder of the line lacks may stay too. White space between
-    words does not matter.
+    words does not matter. Characters of scripts without spaces are words of their own, and words of over LONG_WORD bytes
+    count as pieces of PIECE bytes.
 
     blocks: array of (earlier_id, lo, hi, earlier_lo), bytes lo up to hi of the old text; null where nothing was deleted.
     Rows stay as they are if text or doc_id is null, if text is empty or short, and rows of one doc_id are not compared
@@ -296,17 +407,18 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     shared = shared.select("doc_id", high("place").alias("text_hash"), "earlier_id", high("first").alias("earlier_hash"), low("place").alias("here"), low("first").alias("there"), "again")
     shared = shared.sortWithinPartitions("doc_id", "text_hash", "earlier_id", "earlier_hash", "here", "there")
     blocks = written(shared.mapInArrow(lean(_pair_blocks), "doc_id long, text_hash int, earlier_id long, earlier_hash int, places array<int>, there int, again boolean"), "blocks")
-    # the earlier document's bytes around each block
-    texts = slim.join(blocks.select(F.col("earlier_id").alias("doc_id"), F.col("earlier_hash").alias("text_hash")).distinct(), ["doc_id", "text_hash"], "left_semi")
-    texts = texts.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("earlier_id"), F.col("text_hash").alias("earlier_hash"), "text")
-    # without anchors, or where the earlier document repeats itself, equal words may go on without another line that is aligned
-    whole = F.col("again") | F.lit(not stretch)
-    start = F.when(whole, 0).otherwise(F.greatest(F.lit(0), F.col("there") - MARGIN))
-    size = F.when(whole, F.octet_length("text")).otherwise(F.col("there") + F.element_at("places", -1) - F.element_at("places", 1) + MARGIN - start)
-    part = F.substring(F.col("text").cast("binary"), start + 1, size).alias("part")
-    parts = blocks.join(texts, ["earlier_id", "earlier_hash"]).select("doc_id", "text_hash", F.struct("earlier_id", "places", "there", start.alias("start"), F.octet_length("text").alias("whole"), part).alias("_block"))
-    # at most as many blocks as the document has lines
-    cut = parts.groupBy("doc_id", "text_hash").agg(F.collect_list("_block").alias("__cut_blocks")).select(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias("__cut_hash"), "__cut_blocks")
+    # each earlier text goes to its blocks once for every HELD of them
+    key, n = ["earlier_id", "earlier_hash"], partitions(spark)
+    sizes = blocks.groupBy(key).agg(F.ceil(F.count("*") / HELD).cast("int").alias("tasks"))
+    texts = slim.select(F.col("doc_id").alias("earlier_id"), F.col("text_hash").alias("earlier_hash"), "text").join(sizes, key).dropDuplicates(key)
+    texts = texts.select(*key, F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), "text")
+    wanted = blocks.join(sizes, key).withColumn("task", F.pmod(F.xxhash64("doc_id", "text_hash"), "tasks").cast("int")).drop("tasks").withColumn("kind", F.lit(1))
+    dealt = wanted.unionByName(texts, allowMissingColumns=True).repartition(n, *key, "task").sortWithinPartitions(*key, "task", "kind", "doc_id", "text_hash")
+    schema = "doc_id long, text_hash int, earlier_id long, places array<array<int>>, there array<int>, starts array<int>, parts array<binary>"
+    parts = dealt.mapInArrow(lean(_windows(min_words, stretch)), schema)
+    # at most as many blocks as the document has lines, and no word of an earlier document twice
+    pair = F.struct("earlier_id", "places", "there", "starts", "parts")
+    cut = parts.groupBy("doc_id", "text_hash").agg(F.collect_list(pair).alias("__cut_blocks")).select(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias("__cut_hash"), "__cut_blocks")
     rows = docs.withColumn(text, F.col(text).cast("string"))
     rows = rows.join(cut, (rows[doc_id].cast("long") == cut["__cut_id"]) & (F.hash(rows[text]) == cut["__cut_hash"]), "left").select(*docs.columns, "__cut_blocks")
     at, kept = docs.columns.index(text), docs.columns
@@ -321,7 +433,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
                 if len(some):
                     texts = column.to_pylist()
                     for k, own in zip(some.tolist(), lists.take(pa.array(some)).to_pylist(), strict=True):
-                        new, found = _cut(texts[k].encode(), sorted(own, key=lambda x: (x["places"], x["earlier_id"])), min_words)
+                        new, found = _cut(texts[k].encode(), sorted(own, key=lambda x: x["earlier_id"]), min_words)
                         texts[k], told[k] = new, found or None
                     column = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([column if k == at else b.column(k) for k in range(len(kept))] + [pa.array(told, pa.list_(_BLOCK))], [*kept, "blocks"])
@@ -331,7 +443,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, stretch: int = 0) -> DataFrame:
-    """(doc_id, text, n_blocks, earlier_ids, removed_bytes) of every row: the text left and where the rest is held."""
+    """(doc_id, text, n_blocks, earlier_ids, removed_bytes) of every row: the text left and where the rest is held.
+
+    Null texts stay null with no blocks and no bytes removed, rows without doc_id stay whole; repeated rows come back as
+    often and are cut alike; an empty table gives no rows; further columns are not read.
+    """
     done = dedup(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.octet_length(text).alias("_n")), min_words=min_words, stretch=stretch)
     size = F.coalesce(F.size("blocks"), F.lit(0))
     return done.select(

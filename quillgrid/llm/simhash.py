@@ -8,6 +8,7 @@ the radius. A bucket yields a spanning forest of its links rather than all pairs
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -259,13 +260,17 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     fingerprint: 16 lowercase hex digits. component_id: the least doc_id reachable over links of at most radius
     differing bits. Null, empty and wordless texts have fingerprint zero and are linked like any other; repeated rows
-    come back as often as they are given; a null doc_id keeps its fingerprint and the component of its fingerprint.
+    come back as often as they are given; rows without doc_id link others like any row, and have the component that their
+    links reach, null if that holds no doc_id.
     An empty table gives no rows; further columns are not read.
     """
     fps = written(fingerprints(docs, doc_id, text, width), "fingerprints")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "classes")
-    found = written(components(links(reps, radius)), "components")
-    to = reps.join(found, reps.rep == found.vertex, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # fingerprints are the vertices, so that those which only rows without doc_id hold link others as well
+    held = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    found = written(components(links(held.select("fp", F.col("fp").alias("rep")), radius)), "components")
+    held = held.join(found, held.fp == found.vertex, "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    named = held.groupBy("group").agg(F.min("least").alias("component_id"))
+    to = held.join(named, "group").select("fp", "component_id")
     return fps.join(to, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -314,9 +319,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY) -> DataFrame:
-    """docs with one row of each group of `near_duplicates`; all columns are kept (`__dup_id`, `__dup_hash` are its own names)."""
-    kept = near_duplicates(docs, doc_id, text, width, similarity).filter("keeps").select(F.col("doc_id").alias("__dup_id"), F.col("text_hash").alias("__dup_hash"))
-    rows = docs.withColumn("__dup_hash", F.xxhash64(F.col(text).cast("string"))).withColumn("__dup_id", F.col(doc_id).cast("long"))
-    same = rows["__dup_id"].eqNullSafe(kept["__dup_id"]) & (rows["__dup_hash"] == kept["__dup_hash"])
+    """docs with one row of each group of `near_duplicates`; all columns are kept.
+
+    Null texts and texts without a word are one group; of rows given twice one stays; an empty table stays empty.
+    """
+    own = uuid.uuid4().hex[:8]
+    by_id, by_hash = f"__id_{own}", f"__hash_{own}"
+    kept = near_duplicates(docs, doc_id, text, width, similarity).filter("keeps").select(F.col("doc_id").alias(by_id), F.col("text_hash").alias(by_hash))
+    rows = docs.withColumn(by_hash, F.xxhash64(F.col(text).cast("string"))).withColumn(by_id, F.col(doc_id).cast("long"))
+    same = rows[by_id].eqNullSafe(kept[by_id]) & (rows[by_hash] == kept[by_hash])
     # equal partitioning, so that rows given twice fall together without another shuffle
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__dup_id", "__dup_hash"]).select(*docs.columns)
+    return rows.join(kept, same, "left_semi").dropDuplicates([by_id, by_hash]).select(*docs.columns)

@@ -3,7 +3,7 @@ import random
 import re
 import time
 
-from quillgrid.llm.html import extract, main_text
+from quillgrid.llm.html import HINTS, extract, main_text
 
 LONG = "Some words, with commas, that make up a paragraph of the article which goes on for a while, as such paragraphs do."
 
@@ -126,3 +126,37 @@ def test_linear_in_depth_and_length():
     main_text("<p title=it's>x" * n)
     main_text("<body>" * n + "<a href='" * n)
     assert time.time() - began < 30
+
+
+def test_names_with_boilerplate_words_do_not_lose_articles():
+    two, more = f"<p>{LONG}</p><p>{LONG} b</p>", f"{LONG}\n{LONG} b"
+    assert main_text(f'<body><div class="elementor-widget elementor-widget-text-editor">{two}</div><div>Imprint</div></body>') == more
+    assert main_text(f"<body id=page-with-sidebar-menu><div id=page-with-sidebar-menu>{two}</div></body>") == more
+    assert main_text(f"<body><div><div class=social-sciences>{two}</div><p>{LONG} c</p></div></body>") == f"{more}\n{LONG} c"
+    assert main_text(f"<body><main><div class=promotion-theory>{two}</div><div class=related-work><p>{LONG} c</p><p>{LONG} d</p></div></main></body>") == f"{more}\n{LONG} c\n{LONG} d"
+    # short, link-dense or far from the text, such names still say what they say
+    links = " ".join(f"<a href=/{k}>{LONG} {k}</a>" for k in range(4))
+    page = f"<body><div class=post>{two}<div class=related-posts><p>{links}</p></div><div class=share-bar>{LONG}</div></div><div class=site-footer>{LONG} {LONG}</div></body>"
+    assert main_text(page) == more
+
+
+def test_generated_layouts_with_any_names():
+    r = random.Random(9)
+    names = sorted(HINTS)
+    for _ in range(200):
+        page, blocks = generated(r)
+        page = re.sub(r"class=w\d", lambda _: f"class='{r.choice(names)}-{r.choice('abcdefgh')}x'", page)
+        assert main_text(page).split("\n") == blocks
+
+
+def test_quoted_values_of_any_length():
+    assert main_text(f'<article><p data-x="{"y" * 90_000} > SECRET tail">{LONG}</p></article>') == LONG
+    assert main_text(f"<article><p title=it's>{LONG}</p><p title='a > b' data-y=\"c > d\">x</p></article>") == f"{LONG}\nx"
+    n, began = 100_000, time.time()
+    main_text("<p a=\">x" * n + "'")
+    main_text("<p a='>x\"" * n)
+    assert time.time() - began < 20
+
+
+def test_formulas_stay():
+    assert main_text(f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> end<object>plain</object></p></article>") == f"{LONG} x=1 endplain"

@@ -75,3 +75,34 @@ def test_sample(spark):
     repeats = {d for d, t in rows if len(set(zip(*(t.split()[k:] for k in range(10)), strict=False))) < len(t.split()) - 9}
     _, n = check(spark, rows, but=repeats)
     assert n > 1000 and len(repeats) < 0.2 * len(rows)
+
+
+def test_shared_passages_of_any_words(spark):
+    """Words of any length, and texts without spaces, lose what they share."""
+    r = random.Random(11)
+    for size in (2, 8, 60, 150, 400, 4000):
+        word = lambda: "".join(r.choices("abcdefghij", k=size))  # noqa: B023, E731
+        shared = [word() for _ in range(120)]
+        rows = [(1, " ".join([word() for _ in range(60)] + shared)), (2, " ".join([word() for _ in range(9)] + shared + [word()])), (3, " ".join(shared + shared[:60] + [word()]))]
+        got = {x.doc_id: x.text.split() for x in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), stretch=linededup.STRETCH).collect()}
+        assert len(got[1]) == 180 and got[2] == rows[1][1].split()[:9] + rows[1][1].split()[-1:], size
+        assert not set(got[3]) & set(shared[:-1]) or size < 3 or len(got[3]) <= 61, size
+
+
+def test_texts_without_spaces(spark):
+    r = random.Random(12)
+    text = lambda n, lo=0x4E00: "".join(chr(lo + r.randrange(3000)) for _ in range(n))
+    shared, blob = text(200), "".join(r.choices("ABCDEFGHIJ0123456789+/", k=5000))
+    rows = [(1, text(80) + shared + text(40)), (2, text(33) + shared), (3, "x " + blob), (4, "y z " + blob + " end"), (5, text(300))]
+    got = {x.doc_id: x.text for x in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), stretch=linededup.STRETCH).collect()}
+    assert got[1] == rows[0][1] and got[2] == rows[1][1][:33] and got[3] == rows[2][1] and got[4].split() == ["y", "z", "end"] and got[5] == rows[4][1]
+
+
+def test_repeating_documents_are_sent_once(spark):
+    r = random.Random(13)
+    words = [f"w{k}" for k in range(60)]
+    log = " ".join(f"{k} " + " ".join(words) for k in range(200))
+    own = lambda d, n: " ".join(f"d{d}x{r.randrange(1000)}" for _ in range(n))
+    rows = [(1, log)] + [(d, f"{own(d, 30)} {' '.join(words)} {own(d, 30)} {' '.join(words)}") for d in range(2, 30)]
+    got = {x.doc_id: x.text.split() for x in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), stretch=linededup.STRETCH).collect()}
+    assert " ".join(got[1]) == log and all(len(got[d]) <= 120 and not set(got[d][:60]) & set(words) for d in range(2, 30))

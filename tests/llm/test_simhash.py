@@ -95,3 +95,16 @@ def test_large_bucket_is_dealt_out(spark, monkeypatch):
     got = {r.vertex: r.component for r in components(simhash.links(reps)).collect()}
     full = slow_components_np(fps, 3)
     assert [got.get(i, i) for i in range(len(fps))] == full
+
+
+def test_rows_without_id_link_others(spark):
+    base = " ".join(f"w{k}" for k in range(400))
+    near = lambda *cut: " ".join(w for k, w in enumerate(base.split()) if k not in cut)
+    texts = [base] + [near(*range(0, k)) for k in range(1, 60)]
+    fps = {r.text: r.fp for r in simhash.fingerprints(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).join(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), "doc_id").collect()}
+    apart = lambda a, b: bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1")
+    chain = next((a, m, b) for a in texts for m in texts for b in texts if apart(a, m) <= 3 and apart(m, b) <= 3 and apart(a, b) > 3)
+    got = {r.doc_id: r.component_id for r in simhash.simhash_components(spark.createDataFrame([(1, chain[0]), (None, chain[1]), (2, chain[2])], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, None: 1}
+    alone = simhash.simhash_components(spark.createDataFrame([(None, "only this")], "doc_id long, text string")).first()
+    assert alone.component_id is None and len(alone.fingerprint) == 16
