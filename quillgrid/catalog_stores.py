@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _Q, _RECORDS, _TOC, _VECTORS, _doc_pages, _query_vector, _records, _t, _toc, query
 from .functions import metadata, models, permissions, text, vectors
-from .operators import aggregates, chats, chunking, filters, graph, ivf, joins, lookups, ranking, search, tables, tree
+from .operators import aggregates, chats, chunking, filters, graph, ivf, joins, lookups, parameters, ranking, search, tables, tree
 from .plans import handlers, ingest
 from .sources import readers
 from .storage import shared_dir
@@ -254,11 +254,52 @@ def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.rows_equal(e, "detail", "click", "name").select("event_id")
 
 
-@query("SELECT event_id, event_id % 3 = 0 AS fits FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN false ELSE event_type <> 'error' END AND json_extract(props, '$.k')::INTEGER >= 10 AS fits FROM events""")
 def json_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON that has all required paths; broken and incomplete texts do not fit."""
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a":{"p":'), "props", F.lit("}}"))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.concat(F.lit('{"a":'), "props"))
-    return _t(spark, sf_dir, "events").select("event_id", filters.structure_fits(raw, ["$.a", "$.a.p.k"]).alias("fits"))
+    """JSON held against a template of keys and kinds; incomplete and broken texts, and members of other kinds, do not fit."""
+    number = F.get_json_object("props", "$.k")
+    k = F.when(number.cast("int") >= 10, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
+    kind = F.when(F.col("event_type") == "error", F.lit("5")).otherwise(F.concat(F.lit('[{"name":"'), "event_type", F.lit('"},{"other":{}}]')))
+    raw = F.concat(F.lit('{"a":{"p":{"k":'), k, F.lit('}},"l":'), kind, F.when(F.col("event_id") % 4 == 3, "").otherwise("}"))
+    return _t(spark, sf_dir, "events").select("event_id", parameters.fits(raw, {"a": {"p": {"k": "said"}}, "l": [{"name": "said"}, {"other": {}}]}).alias("fits"))
+
+
+def _parameter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as parameter sets: nested objects, and a list of two items; every ninth one has a number, which no tree may hold."""
+    said = lambda c: F.to_json(F.array(F.col(c).cast("string")))
+    text = lambda c: F.substr(said(c), F.lit(2), F.length(said(c)) - 2)
+    last = F.when(F.col("event_id") % 9 == 0, "7").otherwise(text("value"))
+    raw = F.concat(F.lit('{"type":'), text("event_type"), F.lit(',"who":{"user":{"id":'), text("user_id"), F.lit('},"note":'), text("props"), F.lit('},"marks":[{"value":'), last, F.lit('},{"at":{"type":'), text("event_type"), F.lit("}}]}"))
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("set_id"), raw.alias("json"))
+
+
+@query("""SELECT event_id AS set_id, '{"marks":[{"at":{"type":' || to_json(event_type) || '},"value":' || to_json(value::VARCHAR) || '}],"type":' || to_json(event_type) || ',"who":{"note":' || to_json(props) || ',"user":{"id":' || to_json(user_id::VARCHAR) || '}}}' AS json FROM events WHERE event_id % 9 <> 0""")
+def parameter_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON trees to rows and back; sets that hold other than texts, objects and lists are not accepted."""
+    nodes = parameters.accepted(parameters.parse(_parameter_sets(spark, sf_dir)))
+    return parameters.rebuilt(nodes)
+
+
+_SETS = """n AS (SELECT event_id AS s, unnest([
+  {'p': NULL, 'n': 'marks', 'd': 'LIST', 'i': '/000000'}, {'p': '/000000', 'n': 'value', 'd': value::VARCHAR, 'i': '/000000/000000.000000'}, {'p': '/000000', 'n': 'at', 'd': NULL, 'i': '/000000/000001.000000'},
+  {'p': '/000000/000001.000000', 'n': 'type', 'd': event_type, 'i': '/000000/000001.000000/000000'}, {'p': NULL, 'n': 'type', 'd': event_type, 'i': '/000001'}, {'p': NULL, 'n': 'who', 'd': NULL, 'i': '/000002'},
+  {'p': '/000002', 'n': 'note', 'd': props, 'i': '/000002/000000'}, {'p': '/000002', 'n': 'user', 'd': NULL, 'i': '/000002/000001'}, {'p': '/000002/000001', 'n': 'id', 'd': user_id::VARCHAR, 'i': '/000002/000001/000000'}]) AS r
+  FROM events WHERE event_id % 9 <> 0)"""
+
+
+@query(f"WITH {_SETS} SELECT s AS set_id, r.i AS id, r.p AS parent_id, r.n AS name, r.d AS description FROM n")
+def parameter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjacency rows of JSON trees."""
+    return parameters.accepted(parameters.parse(_parameter_sets(spark, sf_dir)))
+
+
+@query("""SELECT event_id AS set_id, md5('该JSON包含以下字段' || chr(10) || '- "marks"字段是一个列表，每个元素包含以下属性:' || chr(10) || '    - "value"字段是一个字符串，表示"' || value || '"' || chr(10) || '    - "at"字段是一个字典，包含以下字段：' || chr(10)
+|| '        - "type"字段是一个字符串，表示"' || event_type || '"' || chr(10) || '- "type"字段是一个字符串，表示"' || event_type || '"' || chr(10) || '- "who"字段是一个字典，包含以下字段：' || chr(10) || '    - "note"字段是一个字符串，表示"' || props || '"' || chr(10)
+|| '    - "user"字段是一个字典，包含以下字段：' || chr(10) || '        - "id"字段是一个字符串，表示"' || user_id || '"') AS digest FROM events WHERE event_id % 9 <> 0""")
+def parameter_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What trees say about themselves."""
+    nodes = parameters.accepted(parameters.parse(_parameter_sets(spark, sf_dir)))
+    return parameters.described(nodes).select("set_id", F.md5("text").alias("digest"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, 'P' || l_linenumber || '-1' AS code FROM lineitem), f AS (SELECT doc_id, code, min(page) AS p FROM c WHERE page <= 4 GROUP BY ALL),

@@ -136,9 +136,12 @@ def conflicts(values: Column, kind: str) -> Column:
 
 
 def merged(first: Column, second: Column) -> Column:
-    """Both maps, the second's values winning; keys stay unique whatever the session's policy."""
-    kept = F.map_filter(first, lambda k, v: ~F.array_contains(F.map_keys(second), k))
-    return F.map_concat(kept, second)
+    """Both maps, the second's values winning; keys stay unique whatever the session's policy.
+
+    The second map is an argument of one lambda rather than inside one, so it is computed once for a row.
+    """
+    both = F.transform(F.array(F.struct(first.alias("a"), second.alias("b"))), lambda x: F.map_concat(F.map_filter(x["a"], lambda k, v: ~F.map_contains_key(x["b"], k)), x["b"]))
+    return F.get(both, F.lit(0))
 
 
 def normalised(values: Column, kind: str) -> Column:

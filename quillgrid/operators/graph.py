@@ -18,14 +18,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def expand(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
     """(start, id, depth): nodes within depth undirected steps of each start, with their least distance.
 
-    One join and one anti-join a step; a node is expanded once for each start.
+    One join and one anti-join a step, each step a table, so the work is linear in depth; a node is expanded once for
+    each start, and a step that finds nothing ends it.
     """
     links = both_ways(edges)
-    seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct()
-    front = seen
+    front = seen = written(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct(), "front")
     for step in range(1, depth + 1):
         nxt = front.join(links, front["id"] == links["src"]).select("start", F.col("dst").alias("id")).distinct()
-        front = nxt.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(step))
+        front = written(nxt.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(step)), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

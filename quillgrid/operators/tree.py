@@ -31,10 +31,15 @@ def paths(tree: DataFrame) -> DataFrame:
 
 
 def with_descendants(tree: DataFrame, ids: list) -> DataFrame:
-    """Ids of the given nodes and all below them: what a recursive delete takes."""
+    """Ids of the given nodes and all below them: what a recursive delete takes (R17). Nodes met before are not followed again, so cycles end."""
     nodes = tree.select("id", "parent_id")
-    below = lambda rows: nodes.join(rows.select(F.col("id").alias("parent_id")), "parent_id").select("id")
-    return _levels(nodes.filter(F.col("id").isin(ids)).select("id"), below).distinct()
+    level = seen = written(nodes.filter(F.col("id").isin(ids)).select("id").distinct(), "level")
+    while True:
+        below = nodes.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id").distinct()
+        level = written(below.join(seen, "id", "left_anti"), "level")
+        if level.isEmpty():
+            return seen
+        seen = written(seen.unionByName(level), "seen")
 
 
 def children_lists(tree: DataFrame) -> DataFrame:
