@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _t, query
-from .sources import packages, sheets, slides, word
+from .operators import joins
+from .sources import packages, pdf, sheets, slides, word
 from .storage import written
 
 _W = '<w:%s xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">'
@@ -132,3 +137,98 @@ def deck_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(slides.parts(_decks(spark, sf_dir)), "slide-elements")
     name = F.split("path", "/").cast("array<long>")
     return slides.slide_texts(rows).select(name[0].alias("conv_id"), name[1].alias("deck"), "slide", F.md5("text").alias("digest"))
+
+
+def _pdf(turns: list[dict]) -> bytes:
+    """A file with a contents page, whose lines link to the pages, and a page for each turn, with its code in the footer.
+
+    Every other page's font maps two-byte codes to the characters that the file has; the others are of one byte.
+    """
+    chars = sorted({c for t in turns for c in t["text"] + t["role"]})
+    code = {c: k + 1 for k, c in enumerate(chars)}
+    objs: list[bytes] = []
+
+    def add(body: str | bytes) -> int:
+        objs.append(body if isinstance(body, bytes) else body.encode("latin-1"))
+        return len(objs)
+
+    def stream(data: bytes) -> int:
+        data = zlib.compress(data, 1)
+        return add(b"<< /Filter /FlateDecode /Length %d >>\nstream\n%b\nendstream" % (len(data), data))
+
+    def shown(text: str, wide: bool) -> bytes:
+        if wide:
+            return b"<" + "".join(f"{code[c]:04X}" for c in text).encode() + b"> Tj"
+        raw = text.encode("cp1252")
+        for mark in (b"\\", b"(", b")"):
+            raw = raw.replace(mark, b"\\" + mark)
+        return b"(" + raw + b") Tj"
+
+    def fits(text: str) -> bool:
+        try:
+            text.encode("cp1252")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    pairs = "".join(f"<{k:04X}> <{c.encode('utf-16-be').hex()}>" for c, k in code.items())
+    cmap = stream(f"1 begincodespacerange <0000> <FFFF> endcodespacerange {len(code)} beginbfchar {pairs} endbfchar".encode())
+    narrow = add("<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >>")
+    wide = add(f"<< /Type /Font /Subtype /Type0 /ToUnicode {cmap} 0 R >>")
+    first = len(objs) + 1  # contents page, then two objects a turn
+    tree = first + 2 + 2 * len(turns)
+    page = lambda k: first + 2 * k
+    lines = [f"{k} Turn {t['role']} ...... {k + 1}-1" for k, t in enumerate(turns, 1)]
+    held = b" ".join(b"BT /F1 8 Tf 1 0 0 1 50 %d Tm (%b) Tj ET" % (980 - 12 * k, line.encode("cp1252")) for k, line in enumerate(lines))
+    notes = " ".join(f"<< /Type /Annot /Subtype /Link /Rect [40 {977 - 12 * k} 400 {988 - 12 * k}] /Dest [{page(k + 1)} 0 R /Fit] >>" for k in range(len(lines)))
+    add(f"<< /Type /Page /Parent {tree} 0 R /Contents {first + 1} 0 R /Annots [{notes}] >>")
+    stream(held)
+    for k, t in enumerate(turns, 1):
+        own = [x for x in t["text"].split("\n") if x.strip()]
+        step = min(12.0, 740 / max(1, len(own)))
+        two = k % 2 == 0 or not fits(t["text"])
+        add(f"<< /Type /Page /Parent {tree} 0 R /Contents {page(k) + 1} 0 R >>")
+        stream(b" ".join([b"BT /F%d %.3f Tf 50 980 Td" % (1 + two, step / 2), *[b"%b 0 %.3f Td" % (shown(x, two), -step) for x in own], b"ET BT /F1 8 Tf 50 20 Td (%d-1) Tj ET" % (k + 1)]))
+    kids = " ".join(f"{page(k)} 0 R" for k in range(len(turns) + 1))
+    add(f"<< /Type /Pages /MediaBox [0 0 600 1000] /Kids [{kids}] /Resources << /Font << /F1 {narrow} 0 R /F2 {wide} 0 R >> >> >>")
+    add(f"<< /Type /Catalog /Pages {tree} 0 R >>")
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%b\nendobj\n" % (n, o) for n, o in enumerate(objs, 1)) + b"trailer << /Root %d 0 R >>\n%%%%EOF" % len(objs)
+
+
+def _pdf_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Objects, pages and lines of a file for each 64 turns of a conversation."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = c.groupBy("conv_id", F.floor(F.col("turn") / _DECK).alias("deck")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([_pdf(t) for t in b.column("turns").to_pylist()], pa.binary())], ["path", "content"])
+
+    files = own.select(F.concat_ws("/", "conv_id", "deck").alias("path"), "turns").mapInArrow(run, "path string, content binary")
+    objs = written(pdf.objects(files), "pdf-objects")
+    tree = written(pdf.pages(objs), "pdf-pages")
+    return objs, tree, written(pdf.lines(pdf.spans(objs, tree)), "pdf-lines")
+
+
+_TURNS = f"t AS (SELECT conv_id, turn // {_DECK} AS deck, role, text, row_number() OVER (PARTITION BY conv_id, turn // {_DECK} ORDER BY turn) AS k FROM conversations)"
+
+
+@query(f"""WITH {_TURNS}, l AS (SELECT conv_id, deck, k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+own AS (SELECT conv_id, deck, k, string_agg(line, chr(10) ORDER BY i) FILTER (trim(line) <> '') AS body FROM l GROUP BY conv_id, deck, k)
+SELECT conv_id, deck, (k + 1)::INTEGER AS page, md5(concat_ws(chr(10), body, (k + 1) || '-1')) AS digest FROM t LEFT JOIN own USING (conv_id, deck, k)
+UNION ALL SELECT conv_id, deck, 1, md5(string_agg(k || ' Turn ' || role || ' ...... ' || (k + 1) || '-1', chr(10) ORDER BY k)) FROM t GROUP BY conv_id, deck""")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of the pages of PDF files."""
+    name = F.split("path", "/").cast("array<long>")
+    return pdf.page_texts(*_pdf_tables(spark, sf_dir)).select(name[0].alias("conv_id"), name[1].alias("deck"), "page", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, deck, k::INTEGER AS item, k::VARCHAR AS section_number, 'Turn ' || role AS title, (k + 1) || '-1' AS page_code, (k + 1)::INTEGER AS target_page, (k + 1)::INTEGER AS footer_page FROM t""")
+def pdf_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents from links over text, and the pages on which their codes stand in footers."""
+    objs, tree, found = _pdf_tables(spark, sf_dir)
+    toc = pdf.contents(found, pdf.links(objs, tree)).withColumnRenamed("path", "doc_id")
+    met = joins.calibrate(toc.withColumnsRenamed({"page_code": "toc_page_code", "target_page": "linked"}).withColumn("target_page", F.lit(-1)), pdf.footers(found, tree).withColumnRenamed("path", "doc_id"), least_count=1)
+    name = F.split("doc_id", "/").cast("array<long>")
+    return met.select(name[0].alias("conv_id"), name[1].alias("deck"), "item", "section_number", "title", F.col("toc_page_code").alias("page_code"), F.col("linked").cast("int").alias("target_page"), F.col("target_page").cast("int").alias("footer_page"))
