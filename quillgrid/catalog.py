@@ -6,13 +6,15 @@ TPC-H keys are a property graph. Rules such as `doc_id % 4` give the columns tha
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, metadata, permissions, text, vectors
-from .operators import aggregates, chats, chunking, filters, graph, joins, pages, ranking, search, tables, tasks, tree
+from .operators import aggregates, chats, chunking, filters, graph, joins, pages, postings, ranking, search, tables, tasks, tree
 from .storage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +147,28 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_topk(_records(spark, sf_dir, False), "Thing of LEAU", 20).select("id", F.round("score", 5).alias("score"))
 
 
+_SEARCHES = ("Thing of LEAU", "der that", "est les, her nowhere", "zzz")
+
+
+@query(" UNION ALL ".join(f"""SELECT * FROM (WITH {_RECORDS}, {_bm25_sql(re.findall("[a-z]+", q.lower()), "records")}
+SELECT {i} AS search, id, round(score, 5) AS score FROM hits ORDER BY round(score, 9) DESC, id LIMIT 20)""" for i, q in enumerate(_SEARCHES)))
+def postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several searches over stored postings of all documents."""
+    index = postings.build(_records(spark, sf_dir, False).select("id", "text"))
+    found = [postings.topk(index, q, 20).select(F.lit(i).alias("search"), F.col("key").alias("id"), F.round("score", 5).alias("score")) for i, q in enumerate(_SEARCHES)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"""WITH {_RECORDS}, ok AS (SELECT * FROM records WHERE NOT is_deleted AND lang IN ('en', 'de') AND (permission_level IS NULL OR permission_level IN (2, 3))), {_bm25_sql(["der", "that"], "ok")}
+SELECT id, round(score, 5) AS score FROM hits ORDER BY round(score, 9) DESC, id LIMIT 10""")
+def postings_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored postings of all rows, searched among the permitted ones, whose statistics alone count."""
+    records = _records(spark, sf_dir, False)
+    allowed = records.filter(~F.col("is_deleted") & F.col("metadata")["语言"].isin("en", "de") & permissions.visible(F.col("permission_level"), permissions.allowed_levels(2))).select("id")
+    found = postings.topk(postings.build(records.select("id", "text")), "der that", 10, allowed)
+    return found.select(F.col("key").alias("id"), F.round("score", 5).alias("score"))
+
+
 @query(f"""WITH {_RECORDS}, ok AS (SELECT * FROM records WHERE NOT is_deleted AND lang IN ('en', 'de') AND (permission_level IS NULL OR permission_level IN (2, 3))), {_bm25_sql(["der", "that"], "ok")}
 SELECT h.id, round(h.score, 5) AS score, length(r.text) AS n FROM hits h JOIN records r USING (id) ORDER BY round(h.score, 9) DESC, h.id LIMIT 10""")
 def full_text_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
