@@ -12,6 +12,7 @@ with the text of the earlier document, so that equal hashes alone delete nothing
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -51,6 +52,7 @@ def _wide() -> np.ndarray:
 
 
 _WIDE = _wide()
+_THREE_BYTES, _SPLIT = re.compile(rb"[\xe0-\xef]"), re.compile(rb"[^\t-\r ]+")
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,9 +61,9 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     Equal words are cut alike wherever they stand.
     """
     s, e, text = word_spans(data, offsets)
-    if len(s) and (data >= 0xE0).any():
-        at = np.flatnonzero((data[:-2] >= 0xE0) & (data[1:-1] >= 0x80))
-        at = at[_WIDE[data[at].astype(np.int64) << 8 | data[at + 1]]]
+    at = np.flatnonzero(data[:-2] >= 0xE0)
+    at = at[_WIDE[data[at].astype(np.int64) << 8 | data[at + 1]]] if len(at) else at
+    if len(at):
         s, e, text = _cut_at(s, e, text, np.union1d(at, at + 3))
     long = np.flatnonzero(e - s > LONG_WORD)
     if len(long):
@@ -264,6 +266,10 @@ def _pair_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _words(raw: bytes) -> tuple[list[bytes], list[int]]:
     """Words and where they start."""
+    if not _THREE_BYTES.search(raw):
+        words = raw.split()
+        if max(map(len, words), default=0) <= LONG_WORD:
+            return words, [m.start() for m in _SPLIT.finditer(raw)]
     s, e, _ = spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     s, e = s.tolist(), e.tolist()
     return [raw[i:j] for i, j in zip(s, e, strict=True)], s
