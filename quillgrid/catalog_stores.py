@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _Q, _RECORDS, _TOC, _VECTORS, _doc_pages, _query_vector, _records, _t, _toc, query
-from .functions import metadata, models, permissions, text, vectors
+from .functions import ids, metadata, models, permissions, text, vectors
 from .operators import aggregates, chats, chunking, filters, graph, ivf, joins, lookups, parameters, ranking, search, tables, tree
-from .plans import handlers, ingest
+from .plans import handlers, ingest, manual
 from .sources import readers
 from .storage import shared_dir
 from .streaming import runs
@@ -545,6 +545,54 @@ def manual_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_pages(_doc_pages(spark, sf_dir), toc).select("doc_id", "page_start", "page_end", "chapter_title")
 
 
+def _told(texts: list[str]) -> list[str | None]:
+    """An extractor: the first words of a text as its summary, entity and relation; no answer where a text has none."""
+    import json
+
+    out: list[str | None] = []
+    for t in texts:
+        w = t.split()[:4]
+        said = {"summary": " ".join(w[:2]), "entities": [{"name": w[0], "description": w[-1]}, {"name": " "}], "relations": [{"src": "a", "rel": "b", "tgt": "c", "description": "of " + w[-1]}, {"src": "a"}]} if w else None
+        out.append(json.dumps(said) if said else None)
+    return out
+
+
+def _sizes(texts: list[str], is_query: bool) -> list[list[float] | None]:
+    """An encoder: a number for each text that is not blank."""
+    return [[float(len(t))] if t and t.strip() else None for t in texts]
+
+
+def _manuals(spark: SparkSession, sf_dir: str) -> manual.Layers:
+    """Documents as manuals: their lines are pages, every third one begins a chapter."""
+    toc = _toc(spark, sf_dir).select("doc_id", "title", (F.col("position") + 1).cast("string").alias("section_number"), "page_start")
+    prints = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("source_file"), ids.fingerprint(F.col("text")).alias("fingerprint"))
+    return manual.ingest_manual(_doc_pages(spark, sf_dir), toc, prints, _told, _sizes, "X1")
+
+
+_LAYERS = rf"""{_TOC}, pgs AS (SELECT doc_id, generate_subscripts(lines, 1) AS page, unnest(lines) AS line, len(lines) AS n FROM l),
+ch AS (SELECT t.doc_id, position + 1 AS k, page_start, least(page_start + 2, total_pages) AS page_end, array_to_string(lines[page_start:page_start + 2], chr(10)) AS text FROM toc t JOIN l USING (doc_id)),
+win AS (SELECT doc_id, page AS a, least(page + 1, n) AS z, list_filter(string_split_regex(CASE WHEN page < n THEN line || ' ' || lead(line) OVER (PARTITION BY doc_id ORDER BY page) ELSE line END, '\s+'), lambda w: w <> '') AS w FROM pgs),
+ok AS (SELECT *, w[least(len(w), 4)] AS last FROM win WHERE len(w) > 0)"""
+
+
+@query(rf"""WITH {_LAYERS}, c AS (SELECT doc_id, count(*) AS chapters, count(*) FILTER (regexp_matches(text, '\S')) AS chapters_stored FROM ch GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n FROM ok GROUP BY doc_id)
+SELECT doc_id, chapters, chapters_stored, coalesce(3 * n, 0)::BIGINT AS chunks, coalesce(3 * n, 0)::BIGINT AS chunks_stored, coalesce(n, 0) AS n_summary, coalesce(n, 0) AS n_entity, coalesce(n, 0) AS n_relation FROM c LEFT JOIN k USING (doc_id)""")
+def manual_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each manual's two layers hold."""
+    return _manuals(spark, sf_dir).report
+
+
+@query(rf"""WITH {_LAYERS} SELECT doc_id, slice_id, md5(text) AS digest, entity_type FROM (
+SELECT doc_id, k::VARCHAR AS slice_id, text, 'chapter' AS entity_type FROM ch WHERE regexp_matches(text, '\S')
+UNION ALL SELECT doc_id, ((a - 1) // 3 + 1) || '__p' || a || '_' || z, unnest([array_to_string(w[1:2], ' '), w[1] || ': ' || last, 'of ' || last]), unnest(['summary', 'entity', 'relation']) FROM ok)""")
+def manual_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapter and graph records of manuals."""
+    layers = _manuals(spark, sf_dir)
+    top = layers.chapters.select("doc_id", "slice_id", F.md5("text").alias("digest"), F.col("chunk_type").alias("entity_type"))
+    return top.unionByName(layers.chunks.select("doc_id", "slice_id", F.md5("text").alias("digest"), "entity_type"))
+
+
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click') ORDER BY ts DESC, event_id LIMIT 50")
 def newest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings by time."""
