@@ -654,7 +654,7 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey, unnest(generate_series(1, 2))::INTEGER AS page, unnest([n_name, n_regionkey::VARCHAR]) AS text FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, 1, '' FROM nation WHERE n_nationkey % 5 = 0")
 def binary_file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of binary files by a splitter; a file that it cannot read gives one empty page."""
+    """Pages of binary files by a plug-in splitter; a file that it cannot read gives one empty page."""
     value = F.when(F.col("n_nationkey") % 5 == 0, "broken").otherwise(F.concat("n_name", F.lit("|"), F.col("n_regionkey").cast("string")))
     path = _files(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), value.alias("value")), "binaries")
 
@@ -729,3 +729,23 @@ def task_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in _KINDS.items() for x in p]), F.col("event_type")), F.lit("step"))
     rows = lambda e: e.select(F.col("user_id").alias("task"), "ts", "event_id", kind.alias("kind"), F.col("event_type").alias("name"))
     return runs.replayed(spark, f"{sf_dir}/events.parquet*", "event_id long, ts timestamp, user_id long, event_type string", rows)
+
+
+_NAMES = ("workorder_", "MANUAL_", "my-parameter ", "principle.", "notes ", " ")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 < 5 THEN ['workorder', 'manual', 'parameter', 'principle', 'generic'][doc_id % 6 + 1] END AS handler FROM documents""")
+def handlers_of_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The handler of each record's collection, by its name."""
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % 6).cast("int"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 6 == 5, name).otherwise(F.concat(name, "source")).alias("collection"))
+    return rows.select("doc_id", handlers.handler_kind(F.col("collection")).alias("handler"))
+
+
+@query("""WITH o AS (SELECT user_id AS t, event_type AS n, max(value)::INTEGER // 400 AS k FROM events WHERE event_id % 2 = 0 GROUP BY ALL), w AS (SELECT user_id AS t, event_type AS n, max(value)::INTEGER // 400 AS k FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
+SELECT t AS user_id, n AS name, CASE WHEN o.k IS NULL THEN 'added' WHEN w.k IS NULL THEN 'dropped' ELSE 'modified' END AS change FROM o FULL JOIN w USING (t, n) WHERE o.k IS DISTINCT FROM w.k""")
+def column_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that a table's new version adds, drops and changes; users are tables, event types columns, the size of values types."""
+    e = _t(spark, sf_dir, "events")
+    rows = lambda k: e.filter(F.col("event_id") % k == 0).groupBy("user_id", F.col("event_type").alias("name")).agg(F.floor(F.bround(F.max("value")) / 400).cast("string").alias("type"))
+    return tables.column_changes(rows(2), rows(3), "user_id")

@@ -162,6 +162,14 @@ def schema_changes(old: DataFrame, new: DataFrame) -> dict[str, list[str]]:
     return {"added": sorted(b.keys() - a.keys()), "dropped": sorted(a.keys() - b.keys()), "modified": sorted(k for k in a.keys() & b.keys() if a[k] != b[k])}
 
 
+def column_changes(old: DataFrame, new: DataFrame, key: str = "table_name") -> DataFrame:
+    """(key, name, change) between two column registries (key, name, type): added, dropped or modified (U05). Rows given twice count once."""
+    a = old.select(key, "name", F.col("type").alias("_old")).distinct()
+    b = new.select(key, "name", F.col("type").alias("_new")).distinct()
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "dropped").when(F.col("_old") != F.col("_new"), "modified")
+    return a.join(b, [key, "name"], "full").select(key, "name", change.alias("change")).filter("change is not null")
+
+
 def page_images(records_: DataFrame, key: str = "id") -> DataFrame:
     """(key, page_num) of records with a page range; blank and non-positive ones are skipped, reversed ones are an error."""
     ok = records_.filter((F.col("page_start") > 0) & (F.col("page_end") > 0))

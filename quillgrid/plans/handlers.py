@@ -6,11 +6,13 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import models
+from ..functions.metadata import TYPE_NAMES
 from ..operators import search, tables
+from ..storage import written
 from . import ingest
 
 _NAME = re.compile(r"[A-Za-z0-9_]+")
@@ -47,11 +49,20 @@ def handler(collection: str) -> Handler:
     return HANDLERS[search.handler_for(collection)]
 
 
+def handler_kind(collection: Column) -> Column:
+    """The name of a collection's handler, for collections in a column (R08, E03, H19); blank and null names have none."""
+    low = F.lower(collection)
+    out = F.lit(search.handler_for(""))
+    for name in sorted({n for own in TYPE_NAMES.values() for n in own}, key=len):  # longer names decide first
+        out = F.when(F.contains(low, F.lit(name)), search.handler_for(name)).otherwise(out)
+    return F.when(F.trim(collection) != "", out)
+
+
 def checked_upsert(stored: DataFrame, new: DataFrame, collection: str, *keys: str) -> DataFrame:
     """An upsert whose result must hold every new key (K09, E02); the collection's name must be letters, digits and _."""
     if not _NAME.fullmatch(collection):
         raise ValueError(f"not a collection name: {collection!r}")
-    out = tables.upsert(stored, new, *keys)
+    out = written(tables.upsert(stored, new, *keys), "upserted")
     lost = new.select(*keys).distinct().join(out.select(*keys), list(keys), "left_anti")
     if not lost.isEmpty():
         raise RuntimeError("an upsert lost keys")

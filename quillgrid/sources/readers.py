@@ -1,4 +1,4 @@
-"""Readers by extension (S01-S17, S27, E14): text, JSON, CSV and Parquet natively; office formats through plug-ins."""
+"""Readers by extension (S01-S17, S27, E14): text, JSON, CSV, office packages and PDF; others through plug-ins."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import written
+from . import packages, pdf, sheets, slides, word
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +28,20 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
     return df.select(F.col("_metadata.file_path").alias("path"), F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns]).alias("text"))
 
 
-#: Readers by suffix; register() adds plug-ins for formats that need other libraries.
-READERS: dict[str, Reader] = {".txt": read_text, ".md": read_text, ".json": read_text, ".csv": read_csv}
+def _office(module) -> Reader:
+    """Reader of a package format by its elements, which are stored as they are read several times."""
+    return lambda spark, path: module.texts(written(module.parts(packages.files(spark, path)), "elements"))
+
+
+def read_pdf(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of PDF files."""
+    objs = written(pdf.objects(packages.files(spark, path)), "pdf-objects")
+    tree = written(pdf.pages(objs), "pdf-pages")
+    return pdf.texts(pdf.page_texts(objs, tree, written(pdf.lines(pdf.spans(objs, tree)), "pdf-lines")))
+
+
+#: Readers by suffix; register() adds plug-ins for others (the binary .doc and .xls need external programs).
+READERS: dict[str, Reader] = {".txt": read_text, ".md": read_text, ".json": read_text, ".csv": read_csv, ".docx": _office(word), ".xlsx": _office(sheets), ".pptx": _office(slides), ".pdf": read_pdf}
 
 
 def register(suffix: str, reader: Reader) -> None:
@@ -43,7 +57,7 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def binary_pages(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
-    """(path, page, text) of binary files by a page splitter (S02, S08, S11-S13, S15); a file that it cannot read gives one empty page."""
+    """(path, page, text) of binary files of other formats by a page splitter; a file that it cannot read gives one empty page."""
     import pandas as pd
 
     def run(batches):

@@ -46,8 +46,7 @@ def test_handlers(spark):
 def test_ivf_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     q = e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    centres = ivf.centroids(e, 8)
-    indexed = ivf.assign(e, centres, probes=2)
-    assert indexed.count() == 2 * e.count() and indexed.select("id").distinct().count() == e.count()
-    assert ivf.recall(ivf.search(indexed, q, centres, 5, 8), e, q, 5) == 1.0
-    assert ivf.recall(ivf.search(indexed, q, centres, 5, 6), e, q, 5) >= 0.9  # the vectors have no clusters, so most cells count
+    index = ivf.build(e, nlist=8)
+    assert index.table.count() == e.count() == index.table.select("id").distinct().count()
+    assert ivf.recall(ivf.search(index, q, 5, 8), e, q, 5) == 1.0
+    assert ivf.recall(ivf.search(index, q, 5, 7), e, q, 5) >= 0.9  # the vectors have no clusters, so most cells count

@@ -117,3 +117,16 @@ def test_deck(spark, tmp_path):
 def test_unreadable(spark, raw):
     rows = word.parts(spark.createDataFrame([("x", raw)], "path string, content binary"))
     assert [r.path for r in packages.broken(rows).collect()] == ["x"]
+
+
+def test_readers_by_suffix(spark, tmp_path):
+    from quillgrid.sources import readers
+
+    (tmp_path / "a.docx").write_bytes(doc(p("one")))
+    (tmp_path / "b.xlsx").write_bytes(book("<row><c t='str'><v>h</v></c></row>"))
+    (tmp_path / "c.txt").write_text("plain")
+    assert readers.read_file(spark, f"file://{tmp_path}/a.docx").first().text == "one"
+    assert readers.read_file(spark, f"file://{tmp_path}/b.xlsx").first().text.endswith("h")
+    assert readers.read_file(spark, f"file://{tmp_path}/c.txt").first().text == "plain"
+    with pytest.raises(ValueError):
+        readers.read_file(spark, f"file://{tmp_path}/d.doc")
