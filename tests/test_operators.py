@@ -175,6 +175,6 @@ def test_ingest(spark, tmp_path):
     assert readers.read_file(spark, f"{tmp_path}/a.txt").first().text == "hello\nthere"
     assert [r.text for r in readers.read_file(spark, f"{tmp_path}/b.csv").collect()] == ["1 | ", "2 | 3"]
     with pytest.raises(ValueError, match="no reader"):
-        readers.read_file(spark, "a.docx")
+        readers.read_file(spark, "a.doc")
     got = readers.binary_pages(spark, f"{tmp_path}/a.txt", lambda raw: raw.decode().split("\n")).collect()
     assert [(r.page, r.text) for r in got] == [(1, "hello"), (2, "there")]
