@@ -91,24 +91,24 @@ def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT a.vec_id AS id, b.vec_id AS stored_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
-  FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0 WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3)
+  FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3)
 SELECT e.vec_id AS id, arg_max(p.stored_id, p.s) AS stored_id, round(max(p.s), 6) AS similarity
 FROM embeddings e LEFT JOIN p ON p.id = e.vec_id WHERE e.vec_id % 100 = 0 GROUP BY e.vec_id""")
 def vector_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each incoming vector with its nearest stored one."""
+    """Each vector of an id divisible by 100 with its nearest among all others."""
     e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    best = joins.nearest(e.filter("id % 100 = 0"), e.filter("id % 100 <> 0").withColumnRenamed("id", "stored_id"), 0.3)
+    best = joins.nearest(e.filter("id % 100 = 0"), e.withColumnRenamed("id", "stored_id"), 0.3, but_self=True)
     return best.select("id", "stored_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""WITH p AS (SELECT a.vec_id AS id, b.vec_id AS stored_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
-  FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0 AND a.label = b.label WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.25)
+  FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND a.label = b.label WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.25)
 SELECT e.vec_id AS id, coalesce(arg_max(p.stored_id, p.s), e.vec_id) AS final_id, count(p.s) = 0 AS is_new
 FROM embeddings e LEFT JOIN p ON p.id = e.vec_id WHERE e.vec_id % 100 = 0 GROUP BY e.vec_id""")
 def add_texts_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-equal stored rows of the same label lend their id."""
+    """Near-equal rows among all others of the same label lend their id."""
     e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return search.add_texts(e.filter("id % 100 <> 0"), e.filter("id % 100 = 0"), 0.25, same="label").select("id", "final_id", "is_new")
+    return search.add_texts(e, e.filter("id % 100 = 0"), 0.25, same="label", but_self=True).select("id", "final_id", "is_new")
 
 
 @query("""WITH s AS (SELECT label, vec_id, list_cosine_similarity(lag(embedding::DOUBLE[]) OVER w, embedding::DOUBLE[]) AS c FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),

@@ -399,11 +399,11 @@ def chosen_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.slices(toc, quality, docs).select("doc_id", "slice_id", "page_start", "is_fallback")
 
 
-@query("""SELECT page_id, trim(regexp_replace(url, '[^0-9A-Za-z_.-]+', '_', 'g'), '_.')[1:80] AS safe, CASE WHEN length(url) > 20 THEN url[1:20] || '…' ELSE url END AS short,
-CASE WHEN page_id % 2 = 0 THEN 'image/jpeg' ELSE 'image/png' END AS mime FROM pages WHERE regexp_full_match(url, '[ -~]*')""")
+@query("""SELECT page_id, trim(regexp_replace(url, '[^\\p{L}\\p{N}_.-]+', '_', 'g'), '_.')[1:80] AS safe, CASE WHEN length(url) > 20 THEN url[1:20] || '…' ELSE url END AS short,
+CASE WHEN page_id % 2 = 0 THEN 'image/jpeg' ELSE 'image/png' END AS mime FROM pages""")
 def names_and_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path components, cut texts and image types."""
-    p = _t(spark, sf_dir, "pages").filter(F.col("url").rlike(r"^[ -~]*$"))
+    p = _t(spark, sf_dir, "pages")
     file = F.concat(F.lit("a."), F.when(F.col("page_id") % 2 == 0, "JPeG").otherwise("tiff"))
     return p.select("page_id", text.safe_name(F.col("url")).alias("safe"), text.truncated(F.col("url"), 20, "…").alias("short"), text.image_mime(file).alias("mime"))
 
@@ -683,14 +683,14 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.similar_islands(e, "key", "vec_id", "embedding", 0.1).select("label", "document", "island", "vec_id")
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 100 = 0 WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2""")
+@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0 WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2""")
 def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs in doubt that the judge's fallback rule accepts; contradicting selections are refused beforehand."""
     filters.check_selection(["a"], None, None)
     e = _t(spark, sf_dir, "embeddings")
     a = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("_a"))
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("_b"))
-    pairs = a.join(b, "label").filter("a < b").select("a", "b", vectors.dot(F.col("_a"), F.col("_b")).alias("similarity"))
+    pairs = a.join(b, "label").filter("a <> b").select("a", "b", vectors.dot(F.col("_a"), F.col("_b")).alias("similarity"))
     return graph.canonical_merge(pairs, 0.95, lambda s: models.same_entity(s + 0.65), 0.2)
 
 

@@ -32,11 +32,22 @@ WORKORDER = {
     "characteristic_char": ("characteristic_char", "特性字符"),
 }
 PARAMETER = {"controller_type": ("controller_type", "控制器型号"), "version": ("version", "版本")}
+#: Fields of work orders that graph collections and special work orders have.
+GRAPH_FIELDS = (
+    "work_order_number",
+    "component_category",
+    "component_subcategory",
+    "product_model",
+    "fault_type",
+    "handling_method",
+    "details",
+)
+SPECIAL_FIELDS = ("work_order_number",)
 #: Fields beyond the common ones by collection type.
 BY_TYPE = {
     "workorder": WORKORDER,
-    "workorder_graph": dict(list(WORKORDER.items())[:7]),
-    "special_workorder": dict(list(WORKORDER.items())[:1]),
+    "workorder_graph": {k: WORKORDER[k] for k in GRAPH_FIELDS},
+    "special_workorder": {k: WORKORDER[k] for k in SPECIAL_FIELDS},
     "parameter": PARAMETER,
     "parameter_updated": PARAMETER,
 }
@@ -51,8 +62,23 @@ TYPE_NAMES = {
     "parameter": ("parameter",),
     "parameter_updated": ("parameter_updated",),
 }
-#: Keys of the vector store beside the aliases above that are translated one to one.
-FIELD_NAMES = {names[-1]: names[0] for table in (WORKORDER, PARAMETER) for names in table.values()} | {
+#: Keys of the vector store that are translated one to one.
+FIELD_NAMES = {
+    "派工单号": "work_order_number",
+    "部件大类": "component_category",
+    "部件小类": "component_subcategory",
+    "产品型号": "product_model",
+    "故障类型": "fault_type",
+    "处理方式": "handling_method",
+    "明细": "details",
+    "序列号": "serial_number",
+    "服务机构": "service_provider",
+    "派工单创建日期": "work_order_create_date",
+    "出厂日期": "manufacture_date",
+    "代次名称": "generation_name",
+    "特性字符": "characteristic_char",
+    "控制器型号": "controller_type",
+    "版本": "version",
     "产品线": "product_line",
     "代次": "generation",
     "机型码": "machine_code",

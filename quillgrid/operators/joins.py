@@ -92,13 +92,14 @@ def located(batches: DataFrame, wanted: DataFrame, tasks: str = "task_history",
     return named.join(wanted.select(key).distinct(), key, "left_semi")
 
 
-def nearest(incoming: DataFrame, stored: DataFrame, least: float, key: str = "id", other: str = "stored_id", vector: str = "vector", same: str | None = None) -> DataFrame:
+def nearest(incoming: DataFrame, stored: DataFrame, least: float, key: str = "id", other: str = "stored_id", vector: str = "vector", same: str | None = None, but_self: bool = False) -> DataFrame:
     """Each incoming row with its most similar stored row of over least, null if none; ties go to the greater id.
 
     Vectors are unit vectors. incoming is the stated query set of one batch, scored in blocks. With same, only rows of
-    equal value there are compared.
+    equal value there are compared; with but_self, a stored row of the incoming one's own id is not.
     """
-    pairs = best_pairs(stored, incoming, 1, other, vector, key, vector, least, same)
+    pairs = best_pairs(stored, incoming, 2 if but_self else 1, other, vector, key, vector, least, same)
+    pairs = pairs.filter(F.col(key) != F.col(other)) if but_self else pairs
     best = pairs.groupBy(key).agg(F.max_by(F.struct(other, "score"), F.struct("score", other)).alias("_m"))
     return incoming.join(best.select(key, F.col(f"_m.{other}").alias(other), F.col("_m.score").alias("similarity")), key, "left")
 

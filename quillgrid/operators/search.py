@@ -132,9 +132,9 @@ def diagnose(records: DataFrame, query: str, vector: list[float], nodes: DataFra
     return hits.join(listed, "fault_id", "left").orderBy(F.col("score").desc(), "fault_id")
 
 
-def add_texts(stored: DataFrame, incoming: DataFrame, least: float = 0.99, same: str | None = None) -> DataFrame:
+def add_texts(stored: DataFrame, incoming: DataFrame, least: float = 0.99, same: str | None = None, but_self: bool = False) -> DataFrame:
     """incoming (id, text, vector) with the id each text gets: that of a stored near-equal, or its own."""
-    best = joins.nearest(incoming, stored.withColumnRenamed("id", "stored_id"), least, same=same)
+    best = joins.nearest(incoming, stored.withColumnRenamed("id", "stored_id"), least, same=same, but_self=but_self)
     return best.withColumn("final_id", F.coalesce("stored_id", "id")).withColumn("is_new", F.col("stored_id").isNull())
 
 
