@@ -55,6 +55,7 @@ def page_scores(pages: DataFrame, page: str = "page") -> DataFrame:
     no = F.coalesce(F.col(page), F.lit(0))
     some = lambda cond, points: F.when(cond, points).otherwise(0.0)
     dense = (f("hydraulic") >= 4) | (f("electric") >= 3)
+    # fixed values: the weights, caps and bounds of the page rules, here and in kind below
     raw: dict[str, Column] = {
         "drawing": f("drawing") * 1.8 + some(f("hydraulic") >= 4, F.least(F.lit(3.5), f("hydraulic") / 4.0)) + some(f("electric") >= 3, F.least(F.lit(4.0), f("electric") / 3.0)),
         "catalog_table": f("catalog_table") * 1.6 + some((f("units") >= 2) | (f("numbers") >= 25), F.least(F.lit(3.5), f("units") * 0.8 + f("numbers") / 18.0)) + some(f("head"), 2.5) + some(f("tight_head"), 3.0),
@@ -99,6 +100,7 @@ def classify_documents(pages: DataFrame, key: str = "doc_id", text: str = "text"
         F.array_join(F.transform(F.array_sort(F.collect_list(head)), lambda x: x["t"]), " ").alias("_head"),
     )
     n = F.col
+    # fixed values: the weights and bounds of the family rules, here and in family below
     score = {
         "drawing-heavy": n("drawing") * 2.2 + n("catalog_table") * 1.1 + n("legend_or_rule") * 1.5,
         "manual-like": n("description") * 2.0 + n("toc") * 1.2 + F.when(n("_length") > 450, 0.8).otherwise(0.0) + T.keyword_hits(n("_head"), KEYWORDS["manual"]) * 1.3,
