@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .packages import broken, elements, joined, relations
 
 _WANTED = {
@@ -97,10 +98,10 @@ def grid(rows: DataFrame) -> DataFrame:
     but in sheets of one column. Missing values read nan. In columns of numbers, whole numbers are shown as others are if
     the column has others or gaps; so are all numbers of a sheet that has only numbers, some of them not whole.
     """
-    all_cells = cells(rows)
+    all_cells = written(cells(rows), "cells")
     named = sheets(rows)
     size = all_cells.groupBy("path", "part").agg((F.max("col") + 1).alias("width"), F.max("row").alias("last"))
-    named = named.join(size, ["path", "part"], "left")
+    named = written(named.join(size, ["path", "part"], "left"), "sheets")
     heads = all_cells.filter("row = 1").select("path", "part", "col", F.col("value").alias("head"))
     columns = named.filter("width is not null").select("path", "part", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col")).join(heads, ["path", "part", "col"], "left")
     again = F.row_number().over(Window.partitionBy("path", "part", "head").orderBy("col")) - 1
