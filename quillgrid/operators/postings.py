@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, written
+from ..storage import frugal, shared_dir, written
 from .search import K1, TOKEN, B, query_terms
 
 #: Rows of a block, folders of terms, and blocks that a search scores before it knows what it can skip.
@@ -75,7 +75,7 @@ def build(records: DataFrame, key: str = "id", text: str = "text") -> Index:
     schema = f"key {kind}, block long, length int, term string, most int, shortest int, at array<int>, tf array<int>"
     path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
     # both kinds of rows come from one pass over the texts
-    dealt = rows.mapInArrow(_blocks, schema).withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(_bucket(F.col("term"))))
+    dealt = rows.mapInArrow(frugal(_blocks), schema).withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(_bucket(F.col("term"))))
     spread = F.when(F.col("term").isNull(), F.pmod("block", F.lit(BUCKETS)).cast("int")).otherwise(F.col("bucket"))
     dealt.repartition(BUCKETS, spread).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(f"{schema}, bucket int").parquet(path)

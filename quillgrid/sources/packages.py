@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import frugal
+
 #: Rows of an Arrow batch.
-_ROWS = 20_000
+_ROWS = 5_000
 #: Part whose row stands for a file that cannot be read.
 BROKEN = ""
 
@@ -109,7 +111,7 @@ def elements(packages: DataFrame, wanted: dict[str, tuple[str, ...]], within: tu
             yield batch(rows)
 
     schema = "path string, part string, id int, tag string, parent string, attrs map<string,string>, text string" + "".join(f", in_{t} int" for t in within)
-    return packages.select("path", "content").mapInArrow(run, schema)
+    return packages.select("path", "content").mapInArrow(frugal(run), schema)
 
 
 def relations(rows: DataFrame, folder: str, alias: str = "part") -> DataFrame:
@@ -143,7 +145,8 @@ def zipped(parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for row in b.column("parts").to_pylist():
+            for parts_ in b.column("parts"):
+                row = parts_.as_py()
                 held = io.BytesIO()
                 with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
                     for part in row:
@@ -151,4 +154,4 @@ def zipped(parts: DataFrame) -> DataFrame:
                 out.append(held.getvalue())
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.binary())], ["path", "content"])
 
-    return parts.select("path", "parts").mapInArrow(run, "path string, content binary")
+    return parts.select("path", "parts").mapInArrow(frugal(run), "path string, content binary")

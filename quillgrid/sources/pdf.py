@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import written
+from ..storage import frugal, written
 from .packages import joined
 
 _OBJ = re.compile(rb"(\d+)\s+\d+\s+obj\b")
@@ -156,7 +156,7 @@ def objects(files: DataFrame) -> DataFrame:
                     own = {-1: (None, None)}
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array([v for v, _ in own.values()], pa.string()), pa.array([s for _, s in own.values()], pa.binary())], ["path", "num", "value", "stream"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, num long, value string, stream binary")
+    return files.select("path", "content").mapInArrow(frugal(run), "path string, num long, value string, stream binary")
 
 
 def _get(json_text: str, path: str, kind: str = "string") -> Column:
@@ -350,7 +350,7 @@ def spans(objs: DataFrame, tree: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return rows.select("path", "page", "streams", "fonts").mapInArrow(run, "path string, page int, n int, x double, x_end double, y double, size double, text string")
+    return rows.select("path", "page", "streams", "fonts").mapInArrow(frugal(run), "path string, page int, n int, x double, x_end double, y double, size double, text string")
 
 
 def lines(shown: DataFrame) -> DataFrame:
