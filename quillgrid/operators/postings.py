@@ -77,7 +77,10 @@ def build(records: DataFrame, key: str = "id", text: str = "text") -> Index:
     # both kinds of rows come from one pass over the texts
     dealt = rows.mapInArrow(frugal(_blocks), schema).withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(_bucket(F.col("term"))))
     spread = F.when(F.col("term").isNull(), F.pmod("block", F.lit(BUCKETS)).cast("int")).otherwise(F.col("bucket"))
-    dealt.repartition(BUCKETS, spread).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # more tasks than folders share each folder by blocks, so that a task's share stays the same as the table grows
+    share = F.pmod("block", F.lit(max(1, -(-tasks // BUCKETS))))
+    dealt.repartition(max(tasks, BUCKETS), spread, share).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(f"{schema}, bucket int").parquet(path)
     docs = stored.filter("bucket = -1").select("key", "block", F.col("at")[0].alias("at"), "length")
     found = docs.agg(F.count("*"), F.avg("length")).first()
