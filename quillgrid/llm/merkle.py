@@ -156,15 +156,16 @@ def verified(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "do
 
     Returns doc_id, leaf, subroot, root, proof_sha256, folded_root, verified. The text of rows whose crc32 of the decimal
     key is even is tampered with; a null key counts as the empty text, a null text stays. Leaves of a group ascend by key
-    (null first), those of one key by digest; a null group is one of its own and comes first. Repeated rows give a row
+    (null first), those of one key by digest; a null group is one of its own and comes first. Every row's root is folded
+    from its leaf (the tampered one, else its own) and its proof, and compared with the root. Repeated rows give a row
     each; other columns than those named are not read; an empty table gives no rows.
     """
     tampered = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 2 == 0
     changed = [F.replace(F.col(text), F.lit("\n"), F.lit("")) if c == text else F.col(c) for c in columns]
-    other = F.when(tampered & F.col(text).contains("\n"), leaf(changed))
+    other = F.when(tampered, leaf(changed))
     grp = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
     rows = docs.select(grp.alias("grp"), F.col(key).alias("doc_id"), leaf([F.col(c) for c in columns]).alias("digest"), other.alias("tampered"))
     found = manifest(written(rows, "merkle-rows"))
-    back = F.when(F.col("tampered").isNull(), F.col("root")).otherwise(folded(F.col("tampered"), F.col("proof")))
+    back = folded(F.coalesce("tampered", "digest"), F.col("proof"))
     out = found.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), back.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -76,3 +76,17 @@ def test_more_rounds_give_the_same_proofs(spark, levels):
     assert sorted(map(tuple, deep), key=repr) == sorted(map(tuple, flat), key=repr)
     back = merkle.manifest(df, levels=levels).select("root", merkle.folded(merkle.F.col("digest"), merkle.F.col("proof")).alias("back"))
     assert back.filter("root <> back").count() == 0
+
+
+def test_untampered_rows_are_folded_from_their_proofs(spark, monkeypatch):
+    """A wrong proof is found in rows whose text did not change."""
+    real = merkle.manifest
+
+    def wrong(rows):
+        proof = merkle.F.transform("proof", lambda p: merkle.F.reverse(p))
+        return real(rows).withColumn("proof", merkle.F.when(merkle.F.col("doc_id") < 10, proof).otherwise(merkle.F.col("proof")))
+
+    monkeypatch.setattr(merkle, "manifest", wrong)
+    df = spark.createDataFrame([(k, "no line ends", "en", "s", 12) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    for row in merkle.verified(df).collect():
+        assert row.verified == (row.doc_id >= 10) == (row.folded_root == row.root)
