@@ -30,6 +30,8 @@ MIN_WORDS = 20
 STRETCH = 50
 #: A sentence of fewer words is no line of its own; a line of over LONG words also ends after words whose hash is a multiple of CUT.
 SHORT, LONG, CUT = 4, 32, 16
+#: Lines of one run in a slice of texts; of more, all but the least document's go apart from the run, as one row.
+MANY = 32
 #: Blocks of one earlier document that a task compares; more are dealt to further tasks, each with the document's text.
 HELD = 1000
 #: Words of more bytes are cut into pieces of PIECE bytes.
@@ -52,6 +54,7 @@ def _wide() -> np.ndarray:
 
 
 _WIDE = _wide()
+_BLANK = frozenset(b"\t\n\v\f\r ")
 _THREE_BYTES, _SPLIT = re.compile(rb"[\xe0-\xef]"), re.compile(rb"[^\t-\r ]+")
 
 
@@ -94,11 +97,13 @@ def line_starts(data: np.ndarray, s: np.ndarray, e: np.ndarray, text: np.ndarray
     """
     if not len(s):
         return np.zeros(0, np.int64)
-    newlines = np.cumsum(data == _NEWLINE)
     hard = np.ones(len(s), bool)
-    hard[:-1] = (text[1:] != text[:-1]) | (newlines[s[1:]] != newlines[e[:-1] - 1])
+    hard[:-1] = text[1:] != text[:-1]
+    before = np.searchsorted(e, np.flatnonzero(data == _NEWLINE), "right") - 1
+    hard[before[before >= 0]] = True
     last = hard.copy()
-    at, p = np.arange(len(s)), e - 1  # words whose bytes after p are no letters
+    at = np.flatnonzero(~_LETTER[data[e - 1]])
+    p = e[at] - 1  # words whose bytes after p are no letters
     while len(at):
         byte = data[p]
         last[at] |= _END[byte]
@@ -140,14 +145,46 @@ def anchors(lines: np.ndarray, text: np.ndarray, n: int, stretch: int) -> np.nda
     found = least(lines & ~low | (i.astype(np.uint64) & low), stretch - n + 1)
     i = np.flatnonzero(text[: len(text) - stretch + 1] == text[stretch - 1 :])
     place = (found[i] & low).astype(np.int64)
-    return np.unique(i + (place - i) % (1 << 20))
+    return _places(len(lines), i + (place - i) % (1 << 20))
+
+
+def _places(n: int, *found: np.ndarray) -> np.ndarray:
+    """The places below n in any of found, ascending."""
+    some = np.zeros(n, bool)
+    for at in found:
+        some[at] = True
+    return np.flatnonzero(some)
+
+
+def _dealt(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Lines of a slice of texts as rows (run, doc_id, place, salt, more), where salt 0 or 1 keeps lines of a run together.
+
+    Of a run of over MANY lines, those of the least document have salt 1, and all others are one row with a salt of its own:
+    more holds their doc_ids, then their places.
+    """
+    salt, order, packed = np.zeros(len(key), np.int32), np.sort(key), []
+    many = np.unique(order[MANY:][order[MANY:] == order[:-MANY]])
+    if len(many):
+        at = np.flatnonzero(np.isin(key, many))
+        at = at[np.argsort(key[at], kind="stable")]
+        for own in np.split(at, np.searchsorted(key[at], many)[1:]):
+            least = doc[own] == doc[own].min()
+            salt[own] = np.where(least, 1, 2)
+            if not least.all():
+                packed.append((key[own[0]], np.r_[doc[own[~least]], place[own[~least]]].tobytes()))
+    near = salt < 2
+    runs, none = np.array([x for x, _ in packed], np.int64), np.zeros(len(packed), np.int64)
+    salts = 2 + (mix((runs ^ doc[:1]).view(np.uint64)) >> np.uint64(34)).astype(np.int32)
+    columns = [np.r_[key[near], runs], np.r_[doc[near], none], np.r_[place[near], none], np.r_[salt[near], salts].astype(np.int32)]
+    more = pa.concat_arrays([pa.nulls(int(near.sum()), pa.binary()), pa.array([x for _, x in packed], pa.binary())])
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), more], ["run", "doc_id", "place", "salt", "more"])
 
 
 def run_table(docs: DataFrame, min_words: int = MIN_WORDS, stretch: int = 0) -> DataFrame:
-    """(run, doc_id, place) of the lines of docs (doc_id, text, text_hash).
+    """(run, doc_id, place, salt, more) of the lines of docs (doc_id, text, text_hash).
 
-    run: hash of the line's words. place: text_hash << 32 and the byte where the line starts. Winnowed lines only with
-    stretch.
+    run: hash of the line's words. place: text_hash << 32 and the byte where the line starts. salt, more: as by _dealt.
+    Winnowed lines only with stretch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,14 +195,73 @@ def run_table(docs: DataFrame, min_words: int = MIN_WORDS, stretch: int = 0) ->
             key = window_hashes(h, min_words)
             w0 = line_starts(data, s, e, text, None if stretch else h)
             if stretch:
-                w0 = np.union1d(w0, anchors(key, text, min_words, stretch))
+                w0 = _places(len(s), w0, anchors(key, text, min_words, stretch))
             w0 = w0[w0 < len(key)]
             w0 = w0[text[w0] == text[w0 + min_words - 1]]
             own = text[w0]
+            key, doc = key[w0].view(np.int64), b.column("doc_id").to_numpy()[own]
             place = b.column("text_hash").to_numpy().astype(np.int64)[own] << 32 | (s[w0] - offsets[own])
-            yield pa.RecordBatch.from_arrays([pa.array(key[w0].view(np.int64)), b.column("doc_id").take(pa.array(own)), pa.array(place)], ["run", "doc_id", "place"])
+            yield _dealt(key, doc, place)
+
+    return docs.mapInArrow(lean(run), "run long, doc_id long, place long, salt int, more binary")
+
+
+_EARLIER = {"run": pa.int64(), "doc_id": pa.int64(), "place": pa.int64(), "earlier_id": pa.int64(), "first": pa.int64(), "again": pa.bool_(), "more": pa.binary()}
+
+
+def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (run, doc_id, place, salt, more) sorted by run to the lines that an earlier document holds.
+
+    Three kinds of rows: lines with the run's earliest document (run is null); lines that went apart from their run (more
+    is not null); and the earliest documents of the runs of which such lines exist. first: the run's first place in the
+    earliest document; again: whether that holds the run again.
+    """
 
-    return docs.mapInArrow(lean(run), "run long, doc_id long, place long")
+    def told(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in _EARLIER.items()], list(_EARLIER))
+
+    def whole(run: np.ndarray, doc: np.ndarray, place: np.ndarray, salt: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        own = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(run)]))
+        earliest = np.minimum.reduceat(doc, begins)
+        held = doc == earliest[own]
+        first = np.minimum.reduceat(np.where(held, place, np.iinfo(np.int64).max), begins)
+        again = np.add.reduceat(held.astype(np.int64), begins) > 1
+        own = own[~held]
+        yield told(doc_id=doc[~held], place=place[~held], earlier_id=earliest[own], first=first[own], again=again[own])
+        wanted = np.maximum.reduceat(salt, begins) > 0
+        if wanted.any():
+            yield told(run=run[begins][wanted], earlier_id=earliest[wanted], first=first[wanted], again=again[wanted])
+
+    open_: list[list[np.ndarray]] = []  # lines of the run that the next batch may go on with
+    for b in batches:
+        rows = [c.to_numpy() for c in b.columns[:4]]
+        apart = rows[3] > 1
+        if apart.any():
+            yield told(run=rows[0][apart], more=b.column(4).filter(pa.array(apart)))
+            rows = [x[~apart] for x in rows]
+        if not len(rows[0]):
+            continue
+        if open_ and rows[0][-1] == open_[0][0][0]:
+            open_.append(rows)
+            continue
+        at = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from whole(*map(np.concatenate, zip(*open_, [x[:at] for x in rows], strict=True))) if open_ or at else ()
+        open_ = [[x[at:] for x in rows]]
+    if open_:
+        yield from whole(*map(np.concatenate, zip(*open_, strict=True)))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, place, earlier_id, first, again, more) with a row for each line in more; others stay."""
+    names = ["doc_id", "place", "earlier_id", "first", "again"]
+    for b in batches:
+        more = b.column("more")
+        yield b.filter(more.is_null()).select(names)
+        for k in more.is_valid().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+            doc, place = np.frombuffer(more[k].as_py(), np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), *(pa.repeat(b.column(c)[k], len(doc)) for c in names[2:])], names)
 
 
 def patience(there: list[int]) -> list[int]:
@@ -236,40 +332,61 @@ def align(shared: list[tuple[int, int, bool]]) -> list[tuple[list[int], int, boo
 def _pair_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text_hash, earlier_id, earlier_hash, here, there, again) sorted by pair and place to the pair's blocks."""
     names = ["doc_id", "text_hash", "earlier_id", "earlier_hash", "places", "there", "again"]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.bool_())
-    out: list[tuple] = []
-    pair, shared = None, []
 
-    def close() -> None:
-        if pair is not None:
-            out.extend((*pair, *x) for x in align(shared))
-        shared.clear()
+    def changes(columns: list[np.ndarray]) -> np.ndarray:
+        return np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns])]
+
+    def told(pair: list[np.ndarray], offsets: np.ndarray, places: np.ndarray, there: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32()))
+        return pa.RecordBatch.from_arrays([*map(pa.array, pair), lists, pa.array(there, pa.int32()), pa.array(again, pa.bool_())], names)
+
+    def whole(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = changes(rows)  # rows of documents that are given twice are equal
+        rows = [x[new] for x in rows]
+        begins = changes(rows[:4])
+        falls = ~begins
+        falls[1:] &= rows[5][1:] <= rows[5][:-1]
+        own = np.cumsum(begins) - 1
+        uneven = np.zeros(own[-1] + 1, bool)
+        uneven[own[falls]] = True
+        even = ~uneven[own]
+        if even.any():  # pairs whose lines have one order in both documents: all are aligned, and blocks end as in align
+            pair, (here, there, again), starts = [x[even] for x in rows[:4]], (x[even] for x in rows[4:]), begins[even]
+            starts[1:] |= (here[1:] - there[1:] != here[:-1] - there[:-1]) | (here[1:] - here[:-1] > GAP)
+            at = np.flatnonzero(starts)
+            yield told([x[at] for x in pair], np.r_[at, len(here)], here, there[at], np.logical_or.reduceat(again, at))
+        if uneven.any():
+            at = np.flatnonzero(begins)
+            found = [(lo, x) for lo, hi in zip(at[uneven].tolist(), np.r_[at, len(own)][1:][uneven].tolist(), strict=True) for x in align(list(zip(*(x[lo:hi].tolist() for x in rows[4:]), strict=True)))]
+            firsts, sizes = np.array([lo for lo, _ in found]), [len(x[0]) for _, x in found]
+            yield told([x[firsts] for x in rows[:4]], np.r_[0, np.cumsum(sizes)], [y for _, x in found for y in x[0]], [x[1] for _, x in found], [x[2] for _, x in found])
+
+    open_: list[list[np.ndarray]] = []  # rows of the pair that the next batch may go on with
+    for b in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not b.num_rows:
+            continue
+        at = np.flatnonzero(changes(rows[:4]))[1:]
+        if open_ and any(x[0] != y[0] for x, y in zip(rows[:4], open_[0][:4], strict=True)):
+            at = np.r_[0, at]
+        if len(at):
+            open_.append([x[: at[-1]] for x in rows])
+            yield from whole([np.concatenate(c) for c in zip(*open_, strict=True)])
+            open_ = []
+        open_.append([x[at[-1] if len(at) else 0 :] for x in rows])
+    if open_:
+        yield from whole([np.concatenate(c) for c in zip(*open_, strict=True)])
 
-    def told() -> pa.RecordBatch:
-        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-        out.clear()
-        return done
 
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[:4] != pair:
-                close()
-                pair = row[:4]
-            if not shared or shared[-1] != row[4:]:  # rows of documents that are given twice
-                shared.append(row[4:])
-        if len(out) > 5000:
-            yield told()
-    close()
-    if out:
-        yield told()
+def _plain(raw: bytes) -> bool:
+    """Whether the words are what lies between white space."""
+    return not _THREE_BYTES.search(raw) and max(map(len, raw.split()), default=0) <= LONG_WORD
 
 
 def _words(raw: bytes) -> tuple[list[bytes], list[int]]:
     """Words and where they start."""
-    if not _THREE_BYTES.search(raw):
-        words = raw.split()
-        if max(map(len, words), default=0) <= LONG_WORD:
-            return words, [m.start() for m in _SPLIT.finditer(raw)]
+    if _plain(raw):
+        return raw.split(), [m.start() for m in _SPLIT.finditer(raw)]
     s, e, _ = spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     s, e = s.tolist(), e.tolist()
     return [raw[i:j] for i, j in zip(s, e, strict=True)], s
@@ -348,30 +465,114 @@ def common_block(words: list[bytes], i: int, other: list[bytes], j: int, n: int)
     return lo, hi
 
 
+def _begins(raw: bytes, i: int) -> bool:
+    """Whether a word of a plain text starts at i."""
+    return i < len(raw) and raw[i] not in _BLANK and (not i or raw[i - 1] in _BLANK)
+
+
+def _equal(a: bytes, i: int, b: bytes, j: int, back: bool = False) -> int:
+    """How many bytes from i and j on (back: before i and j) are equal."""
+    most, k, step, grow = min(i, j) if back else min(len(a) - i, len(b) - j), 0, 64, True
+    while step and k < most:
+        m = min(step, most - k)
+        x, y = (i - k - m, j - k - m) if back else (i + k, j + k)
+        same = a[x : x + m] == b[y : y + m]
+        grow &= same
+        k += m if same else 0
+        step = 2 * step if grow else step // 2
+    return k
+
+
+def _ahead(a: bytes, i: int, b: bytes, j: int) -> int:
+    """Where in a the first word starts that differs, of the words from i and j on in two plain texts; a's length if none."""
+    while True:
+        k = _equal(a, i, b, j)
+        x, y = i + k, j + k
+        ends = (x == len(a) or a[x] in _BLANK) and (y == len(b) or b[y] in _BLANK)
+        if k and a[x - 1] not in _BLANK and not ends:
+            while x > i and a[x - 1] not in _BLANK:
+                x -= 1
+            return x
+        i, j = x, y
+        while i < len(a) and a[i] in _BLANK:
+            i += 1
+        while j < len(b) and b[j] in _BLANK:
+            j += 1
+        if i == len(a) or j == len(b) or (i == x and j == y):
+            return i
+
+
+def _behind(a: bytes, i: int, b: bytes, j: int) -> tuple[int, int]:
+    """Where in a and b the first of the equal words starts that lie right before i and j, where words of two plain texts start."""
+    while True:
+        x, y = i, j
+        while x and a[x - 1] in _BLANK:
+            x -= 1
+        while y and b[y - 1] in _BLANK:
+            y -= 1
+        k = _equal(a, x, b, y, back=True)
+        if not k:
+            return i, j
+        end, x, y = x, x - k, y - k
+        inside = a[x] not in _BLANK and not ((not x or a[x - 1] in _BLANK) and (not y or b[y - 1] in _BLANK))
+        at = x
+        while inside and at < end and a[at] not in _BLANK:
+            at += 1
+        if at == end:
+            return i, j
+        while a[at] in _BLANK:
+            at += 1
+        i, j = at, y + at - x
+        if inside:
+            return i, j
+
+
+def common_bytes(a: bytes, i: int, b: bytes, j: int, n: int) -> tuple[int, int, int]:
+    """common_block of two plain texts by bytes: from where in a, up to which word's start (or its end), and from where in b."""
+    hi = _ahead(a, i, b, j)
+    if len(a[i:hi].split(None, n)) < n:
+        return i, i, j
+    lo, there = _behind(a, i, b, j)
+    return lo, hi, there
+
+
 def _cut(raw: bytes, pairs: list[dict], n: int) -> tuple[str, list[dict]]:
     """The text without the blocks that it really shares, and those (earlier_id, lo, hi, earlier_lo) in bytes.
 
-    pairs: of each earlier document its blocks (places, there), and parts of its text with where they start.
+    pairs: of each earlier document its blocks (places, there), and parts of its text with where they start. Plain texts
+    are compared by bytes, others word by word.
     """
-    words, starts = _words(raw)
+    plain, words, starts = _plain(raw), [], []
     found = []
     for pair in pairs:
         held: dict[int, tuple[list[bytes], list[int]]] = {}
+        by_bytes: dict[int, bool] = {}
         done = -1
         for places, there in sorted(zip(pair["places"], pair["there"], strict=True)):
             k = bisect_right(pair["starts"], there) - 1
-            if k not in held:
-                held[k] = _words(pair["parts"][k])
-            other, at = held[k]
-            base = pair["starts"][k]
+            part, base = pair["parts"][k], pair["starts"][k]
+            if k not in by_bytes:
+                by_bytes[k] = plain and _plain(part)
             for here in places:
                 if here < done:
                     continue
-                i, j = bisect_left(starts, here), bisect_left(at, here - places[0] + there - base)
-                lo, hi = common_block(words, i, other, j, n)
+                goal = here - places[0] + there - base
+                if by_bytes[k] and _begins(raw, here) and _begins(part, goal):
+                    lo, hi, other_lo = common_bytes(raw, here, part, goal, n)
+                else:
+                    if not words:
+                        words, starts = _words(raw)
+                    if k not in held:
+                        held[k] = _words(part)
+                    other, at = held[k]
+                    i, j = bisect_left(starts, here), bisect_left(at, goal)
+                    first, end = common_block(words, i, other, j, n)
+                    if end == first:
+                        continue
+                    lo, hi, other_lo = starts[first], starts[end] if end < len(words) else len(raw), at[first + j - i]
                 if hi > lo:
-                    done = starts[hi] if hi < len(words) else len(raw)
-                    found.append({"earlier_id": pair["earlier_id"], "lo": starts[lo], "hi": done, "earlier_lo": base + at[lo + j - i]})
+                    done = hi
+                    found.append({"earlier_id": pair["earlier_id"], "lo": lo, "hi": hi, "earlier_lo": base + other_lo})
     keep, at = [], 0
     for b in sorted(found, key=lambda b: (b["lo"], b["hi"])):
         keep.append(raw[at : b["lo"]] if b["lo"] > at else b"")
@@ -401,20 +602,21 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     spark = docs.sparkSession
     docs = docs.drop("blocks")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.hash(F.col(text).cast("string")).alias("text_hash")).filter("doc_id is not null and text is not null")
-    # computed twice rather than stored: the rows are as large as the texts, and one pass over those is cheap
-    found = run_table(slim, min_words, stretch)
-    held = found.groupBy("run").agg(F.min("doc_id").alias("earlier_id"), F.max("doc_id").alias("_last")).filter("_last > earlier_id").select("run", "earlier_id")
-    held = written(held, "held")  # a table of its own as well, for the same reason as first below
-    repeated = written(found.join(held.hint("shuffle_hash"), "run"), "repeated")
-    # a table of its own, so that a run which very many documents hold is split in the join
-    first = written(repeated.filter("doc_id = earlier_id").groupBy("run").agg(F.min("place").alias("first"), (F.count("*") > 1).alias("again")), "first")
-    shared = repeated.filter("doc_id > earlier_id").join(first.hint("shuffle_hash"), "run").drop("run").repartition(partitions(spark), "doc_id")
+    # one shuffle by run; what very many documents hold goes apart, as a row for each slice of texts, and is joined below
+    n = partitions(spark)
+    lines = run_table(slim, min_words, stretch).repartition(n, "run", F.greatest("salt", F.lit(1))).sortWithinPartitions("run")
+    held = "doc_id long, place long, earlier_id long, first long, again boolean"
+    found = written(lines.mapInArrow(lean(_earliest), f"run long, {held}, more binary"), "lines")
+    firsts = found.filter("run is not null and more is null").select("run", "earlier_id", "first", "again")
+    apart = found.filter("more is not null").select("run", "more").join(firsts.hint("shuffle_hash"), "run")
+    lines = found.filter("run is null").drop("run").unionByName(apart.drop("run"), allowMissingColumns=True)
+    shared = lines.mapInArrow(lean(_unpacked), held).repartition(n, "doc_id")
     high, low = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     shared = shared.select("doc_id", high("place").alias("text_hash"), "earlier_id", high("first").alias("earlier_hash"), low("place").alias("here"), low("first").alias("there"), "again")
     shared = shared.sortWithinPartitions("doc_id", "text_hash", "earlier_id", "earlier_hash", "here", "there")
     blocks = written(shared.mapInArrow(lean(_pair_blocks), "doc_id long, text_hash int, earlier_id long, earlier_hash int, places array<int>, there int, again boolean"), "blocks")
     # each earlier text goes to its blocks once for every HELD of them
-    key, n = ["earlier_id", "earlier_hash"], partitions(spark)
+    key = ["earlier_id", "earlier_hash"]
     sizes = blocks.groupBy(key).agg(F.ceil(F.count("*") / HELD).cast("int").alias("tasks"))
     texts = slim.select(F.col("doc_id").alias("earlier_id"), F.col("text_hash").alias("earlier_hash"), "text").join(sizes, key).dropDuplicates(key)
     texts = texts.select(*key, F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), "text")

@@ -178,3 +178,57 @@ def test_edges(spark):
 def test_patience():
     assert linededup.patience([5, 1, 2, 0, 3]) == [1, 2, 4]
     assert linededup.patience([]) == []
+
+
+def test_blocks_by_bytes_are_those_by_words():
+    r = random.Random(5)
+    text = lambda n: b"".join(r.choice([b"a", b"ab", b"b", b"abc"]) + r.choice([b" ", b" ", b" ", b"\n", b"  ", b"\t\n"]) for _ in range(n))
+    some = 0
+    for _ in range(4000):
+        shared = text(r.randrange(1, 40))
+        a = r.choice([b"", b" "]) + text(r.randrange(6)) + shared + text(r.randrange(6))
+        b = text(r.randrange(6)) + (shared if r.random() < 0.5 else b"  ".join(shared.split()) + b" ") + text(r.randrange(6))
+        a, b = (x.rstrip() if r.random() < 0.5 else x for x in (a, b))
+        (words, starts), (other, at) = linededup._words(a), linededup._words(b)
+        for i, j in {(r.randrange(len(words)), r.randrange(len(other))) for _ in range(8)}:
+            lo, hi = linededup.common_block(words, i, other, j, 3)
+            want = (starts[lo], starts[hi] if hi < len(words) else len(a), at[lo + j - i]) if hi > lo else (starts[i], starts[i], at[j])
+            assert linededup.common_bytes(a, starts[i], b, at[j], 3) == want, (a, b, starts[i], at[j])
+            some += hi > lo
+    assert some > 1000
+
+
+def test_lines_are_computed_once(spark, monkeypatch):
+    """No text is cut into lines by two jobs."""
+    plans = []
+    real = linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    df = spark.createDataFrame([(1, P), (2, f"Own. {P}")], "doc_id long, text string")
+    assert {x.doc_id: x.text for x in linededup.dedup(df, stretch=50).collect()} == {1: P, 2: "Own."}
+    assert sum(len(re.findall(r"MapInArrow \w+\(doc_id#\w+, text#\w+, text_hash#\w+\)", p)) for p in plans) == 1
+
+
+def test_a_passage_that_very_many_documents_hold(spark):
+    """Lines dealt out apart from their run meet its earliest document, in whatever slice that is."""
+    rows = [(d, f"own{d} text{d} of{d} it. {P} {'' if d % 5 else P} end{d}") for d in range(1000, 400, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lines = linededup.run_table(df.selectExpr("doc_id", "text", "hash(text) text_hash"), stretch=50)
+    assert lines.filter("salt > 1 and length(more) > 1000").count() > 3 and lines.filter("salt = 1").count() > 3
+    got = linededup.dedup(df, stretch=50).collect()
+    assert sorted((x.doc_id, x.text) for x in got) == sorted(slow_dedup(rows, linededup.MIN_WORDS, 50))
+    assert {x.doc_id for x in got if x.blocks is None} == {401}
+
+
+def test_lines_of_a_run_over_several_batches():
+    r = random.Random(9)
+    lines = sorted((r.randrange(40) if r.random() < 0.7 else 7, r.randrange(30), r.randrange(1 << 40), r.choice([0, 0, 0, 1, 5])) for _ in range(600))
+    own = [x for x in lines if x[3] < 2]
+    least = {x[0]: min(y[1] for y in own if y[0] == x[0]) for x in own}
+    places = {k: sorted(y[2] for y in own if y[:2] == (k, d)) for k, d in least.items()}
+    want = sorted((x[1], x[2], least[x[0]], places[x[0]][0], len(places[x[0]]) > 1) for x in own if x[1] > least[x[0]])
+    for size in (1, 7, 600):
+        batches = [linededup.pa.RecordBatch.from_arrays([linededup.pa.array(c, k) for c, k in zip(zip(*[(*x, bytes([x[1]]) if x[3] > 1 else None) for x in lines[i : i + size]], strict=True), ("int64", "int64", "int64", "int32", "binary"), strict=True)], ["run", "doc_id", "place", "salt", "more"]) for i in range(0, len(lines), size)]
+        got = [tuple(x.values()) for b in linededup._earliest(iter(batches)) for x in b.to_pylist()]
+        assert sorted(x[1:6] for x in got if x[0] is None) == want
+        assert sorted((x[0], x[6][0]) for x in got if x[6]) == sorted(x[:2] for x in lines if x[3] > 1)
+        assert sorted((x[0], *x[3:6]) for x in got if x[0] is not None and not x[6]) == sorted((k, least[k], places[k][0], len(places[k]) > 1) for k in {x[0] for x in own if x[3] == 1})
