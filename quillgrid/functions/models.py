@@ -22,9 +22,12 @@ def hashing_encoder(dimension: int = 256) -> Encoder:
         out: list[list[float] | None] = []
         for t in texts:
             v = np.zeros(dimension)
-            for w in (t or "").lower().split():
-                h = crc32(w.encode())
+            words = [crc32(w.encode()) for w in (t or "").lower().split()]
+            for h in words:
                 v[h % dimension] += 1 if h >> 31 else -1
+            if words and not v.any():  # the signs cancel out: plain counts
+                for h in words:
+                    v[h % dimension] += 1
             n = float(np.linalg.norm(v))
             out.append((v / n).tolist() if n else None)
         return out
