@@ -130,15 +130,16 @@ def virtual_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("path", "page").agg(joined(F.col("text"), F.col("n"), "\n").alias("text"))
 
 
-def contents(pages: DataFrame) -> DataFrame:
+def contents(pages: DataFrame, numbered: bool = True) -> DataFrame:
     """(path, item, level, title, section_number, page_start, page_end) of paged paragraphs' headings.
 
-    The number is taken from the heading's start, else it is the heading's place; a chapter ends on the page before the
-    next one's first, the last one on the last page.
+    The number is taken from the heading's start, else it is the heading's place; with numbered false it is always the
+    place, and titles are whole, for files whose headings may begin with other numbers (addresses, amounts). A chapter
+    ends on the page before the next one's first, the last one on the last page.
     """
     last = pages.groupBy("path").agg(F.max("page").alias("pages"))
     order = Window.partitionBy("path").orderBy("n")
-    number = F.regexp_extract("text", r"^(\d+(?:\.\d+){0,3})\b\s*(.*)", 1)
+    number = F.regexp_extract("text", r"^(\d+(?:\.\d+){0,3})\b\s*(.*)", 1) if numbered else F.lit("")
     rest = _strip(F.regexp_extract("text", r"^(\d+(?:\.\d+){0,3})\b\s*(.*)", 2))
     item = F.row_number().over(order)
     out = pages.filter("level is not null").join(last, "path")

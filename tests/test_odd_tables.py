@@ -33,3 +33,9 @@ def test_texts_whose_hashed_words_cancel_have_a_vector(spark, tmp_path):
     rows = [("x", "a"), (f"{up} {down}", "a"), (f"{up} {down}", "b"), ("x", "b"), ("", "b"), ("x", None)]
     got, want = both(spark, tmp_path, "ingested_rows", documents=documents(spark, rows))
     assert got == want and dict((s, n) for s, _, n in got) == {"a": 1, "b": 1, None: 1}
+
+
+def test_headings_that_begin_with_numbers_stay_whole(spark, tmp_path):
+    rows = [("56.187.231.175 Keit in\nb\nc\nd\n4763047826333361 Of the", "a"), ("1.2 First\n2024", "b"), ("none", "a")]
+    got, want = both(spark, tmp_path, "word_contents", documents=documents(spark, rows))
+    assert got == want and len(got) == 4
