@@ -51,3 +51,20 @@ def test_templates(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     got = [x.ok for x in df.select("k", parameters.fits(df.t, template).alias("ok")).orderBy("k").collect()]
     assert got == [True, True] + [False] * 10
+
+
+def test_trees_take_one_shuffle_and_no_join(spark):
+    df = spark.createDataFrame([(1, '{"a": "x"}')], "set_id long, json string")
+    for made in (parameters.rebuilt, parameters.described):
+        plan = made(parameters.accepted(parameters.parse(df)))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan, plan
+
+
+def test_odd_nodes(spark):
+    sets = [(1, '{"a": 1e999999}'), (2, '{"a": "1", "a": "2"}'), (3, ' {"b": "\\ud83d", "a\\u001f": "\\u000b/"} x'), (4, '{"l": [[]]}'), (5, '{"a": NaN}')]
+    nodes = parameters.parse(spark.createDataFrame(sets, "set_id long, json string"))
+    assert {x.set_id for x in nodes.filter("problem is not null").collect()} == {1, 2, 4, 5}
+    assert [(x.set_id, x.json) for x in parameters.rebuilt(parameters.accepted(nodes)).collect()] == [(3, '{"a\\u001F":"\\u000B/","b":"?"}')]
+    rows = [(1, "a", None, None, None), (1, "b", "a", "k", "1"), (1, "c", "a", "k", "2"), (2, "x", "y", "n", "t"), (3, "a", None, "r", "LIST"), (3, "a", "a", "s", "t")]
+    loose = spark.createDataFrame(rows, "set_id long, id string, parent_id string, name string, description string")
+    assert {x.set_id: x.json for x in parameters.rebuilt(loose).collect()} == {1: '{"null":{"k":"2"}}', 3: '{"r":[{"s":"t"}]}'}
