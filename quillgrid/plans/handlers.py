@@ -77,14 +77,17 @@ def upsert_messages(old: DataFrame, new: DataFrame, key: str, on_insert: tuple[s
     return tables.upsert(old, fresh, key)
 
 
-def extract_graphs(chunks: DataFrame, extractor: Callable[[list[str]], list[str | None]], tasks: int) -> DataFrame:
-    """chunks (id, position, text) with the extractor's raw answer, over `tasks` parallel tasks; order stays in position."""
+def extract_graphs(chunks: DataFrame, extractor: Callable[[list[str]], list[str | None]], tasks: int, dealt: bool = False) -> DataFrame:
+    """chunks (id, position, text) with the extractor's raw answer, over `tasks` parallel tasks; order stays in position.
+
+    Chunks that are dealt over tasks already are not shuffled: they are answered where they lie, in at most `tasks` tasks.
+    """
 
     def run(frames):
         for f in frames:
             yield f.assign(answer=extractor(f["text"].fillna("").tolist()))
 
-    return chunks.repartition(tasks).mapInPandas(run, chunks.withColumn("answer", F.lit(None).cast("string")).schema)
+    return (chunks.coalesce(tasks) if dealt else chunks.repartition(tasks)).mapInPandas(run, chunks.withColumn("answer", F.lit(None).cast("string")).schema)
 
 
 def embed_missing(records: DataFrame, encoder: models.Encoder) -> DataFrame:
