@@ -132,48 +132,142 @@ def entities(pairs: DataFrame) -> DataFrame:
     return linked.select(F.col("vertex").alias("id"), F.col("component").alias("entity")).unionByName(alone.select(F.col("a").alias("id"), F.col("a").alias("entity")))
 
 
+#: Rows of a part before its first cut in `resolved_in_order`, and how many times as many each further cut has.
+_FIRST, _TIMES = 4096, 16
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """(part, cuts): places in the order of rows (part, at) that divide each part into batches of growing size; about so, by a sketch."""
+    kind = dict(rows.dtypes)["at"]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"):
+        return rows.select("part", F.array().cast(f"array<{kind}>").alias("cuts")).distinct()
+    most = rows.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    sizes = []
+    while (size := _FIRST * _TIMES ** len(sizes)) < most:
+        sizes.append(size)
+    sketch = rows.groupBy("part").agg(F.count("*").alias("n"), F.percentile_approx("at", [k / 1000 for k in range(1, 1001)], 10_000).alias("q"))
+    # an array at the places where the part has so many rows; smaller parts have fewer
+    taken = [F.when(F.col("n") > size, F.get("q", F.greatest(F.floor(F.lit(size) * 1000 / F.col("n")) - 1, F.lit(0)).cast("int"))) for size in sizes]
+    return sketch.select("part", F.array_compact(F.array(*taken)).cast(f"array<{kind}>").alias("cuts"))
+
+
+def _crossed(rows: DataFrame, founders: DataFrame, least: float, block: int, kinds: tuple[str, str, str]) -> DataFrame:
+    """(part, key, similarity, to, to_at): of each row the most similar earlier founder of its part of over least, in each pair of blocks.
+
+    rows and founders: (part, key, at, vector). Both are dealt to blocks, and each pair of blocks is one matrix product in a task.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    group, kind, at = kinds
+
+    def side(df: DataFrame, n: str, times: str, is_founder: bool) -> DataFrame:
+        own = F.pmod(F.xxhash64("key"), F.col(n))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1))
+        out = df.join(sizes, "part").withColumns({"_own": own}).withColumn("_other", other)
+        i, j = ("_other", "_own") if is_founder else ("_own", "_other")
+        return out.select("part", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(is_founder).alias("founder"), "key", "at", "vector")
+
+    blocks = lambda df, n: df.groupBy("part").agg(F.ceil(F.count("*") / block).cast("long").alias(n))
+    sizes = blocks(rows, "n").join(blocks(founders, "m"), "part")
+
+    def score(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by([("at", "ascending"), ("key", "ascending")])
+        head = cell["founder"].to_numpy()
+        mine, theirs = np.flatnonzero(~head), np.flatnonzero(head)
+        m = _matrix(cell["vector"])
+        near = m[mine] @ m[theirs].T if len(mine) and len(theirs) else np.zeros((len(mine), len(theirs)))
+        near[(near <= least) | (theirs[None, :] > mine[:, None])] = -np.inf  # only earlier ones
+        best = near.argmax(axis=1) if near.size else np.zeros(0, int)  # the first of equals
+        top = near[np.arange(len(best)), best]
+        some = np.flatnonzero(top > -np.inf)
+        late, early = pa.array(mine[some]), pa.array(theirs[best[some]])
+        return pa.table({"part": cell["part"].take(late), "key": cell["key"].take(late), "similarity": top[some], "to": cell["key"].take(early), "to_at": cell["at"].take(early)})
+
+    cells = side(rows, "n", "m", False).unionByName(side(founders, "m", "n", True))
+    return cells.groupBy("part", "i", "j").applyInArrow(score, f"part {group}, key {kind}, similarity double, to {kind}, to_at {at}")
+
+
+def _matrix(column) -> "numpy.ndarray":  # noqa: F821
+    import numpy as np
+
+    flat = column.combine_chunks()
+    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(len(flat), -1)
+
+
+def _independent(links: DataFrame) -> DataFrame:
+    """(part, key) of what founds no entity, of links (part, key, to) to earlier similar rows.
+
+    A row is out once an earlier neighbour founds an entity, which one does that has no open earlier neighbour. Each round
+    leaves the links between open rows; rounds grow with the logarithm of the rows where their order is by chance.
+    """
+    open_, out = links.select("part", "key", "to"), None
+    while not open_.isEmpty():
+        later = open_.select("part", F.col("key").alias("to")).distinct()
+        gone = written(open_.join(later, ["part", "to"], "left_anti").select("part", "key").distinct(), "gone")
+        out = gone if out is None else out.unionByName(gone)
+        left = open_.join(gone, ["part", "key"], "left_anti").join(gone.withColumnRenamed("key", "to"), ["part", "to"], "left_anti")
+        open_ = written(left.select("part", "key", "to"), "open")
+    return links.select("part", "key").limit(0) if out is None else out
+
+
 def resolved_in_order(rows: DataFrame, key: str, order: str, vector: str, part: str, least: float = 0.95, block: int = 1024) -> DataFrame:
     """(part, key, entity): each row joins the most similar earlier entity of over least, else founds one.
 
-    The reference's sequential meaning, for parts of any size. The similar earlier rows of each row are found first, by
-    matrix products over pairs of blocks of a part. The order is then settled on those links in rounds: a row founds an
-    entity once none of its earlier neighbours is open or has founded one, and joins one once all are settled. Ties go to
-    the earlier row; order and key must tell rows apart; nulls found entities of their own.
+    The reference's sequential meaning, for parts of any size. Parts are taken in batches of their order, each 16 times as
+    large as those before. A batch's rows are held against the earlier batches' founders, by matrix products over pairs of
+    blocks. Those that are similar to none are linked among themselves, and the links settled in rounds (`_independent`);
+    what founds an entity there is held against the batch's other rows. So work grows with rows times founders, and with
+    the square of a part only where its rows found most entities themselves. Ties go to the earlier row; order and key must
+    tell rows apart; nulls found entities of their own.
     """
     import numpy as np
     import pyarrow as pa
 
     kind, at, group = (dict(rows.dtypes)[c] for c in (key, order, part))
     slim = rows.select(F.col(part).alias("part"), F.col(key).alias("key"), F.col(order).alias("at"), F.col(vector).alias("vector"))
+    full = slim.dropna()
 
     def score(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by([("at", "ascending"), ("key", "ascending")])
         own = cell["own"].to_numpy()
-        m = np.array(cell["vector"].to_pylist(), float)
+        m = _matrix(cell["vector"])
         near = np.tril(m @ m.T, -1)
         hit = near > least
+        if least < 0:
+            hit &= np.tri(len(m), k=-1, dtype=bool)
         if own.min() != own.max():
             hit &= own[:, None] != own[None, :]
         late, early = np.nonzero(hit)
         take = lambda c, i: cell[c].take(pa.array(i))
-        return pa.table({"part": take("part", late), "key": take("key", late), "to": take("key", early), "to_at": take("at", early), "similarity": near[late, early]})
-
-    cells = block_pairs(slim.dropna(), "part", "key", block, "at", "vector")
-    links = written(cells.groupBy("part", "cell").applyInArrow(score, f"part {group}, key {kind}, to {kind}, to_at {at}, similarity double"), "links")
-    state = slim.select("part", "key").withColumn("entity", F.lit(None).cast(kind))
-    free = links.select("part", "key").distinct().withColumn("_held", F.lit(True))
-    state = written(state.join(free, ["part", "key"], "left").select("part", "key", F.when(F.col("_held").isNull(), F.col("key")).alias("entity")), "order")  # without a similar row
-    while not state.filter("entity is null and key is not null").isEmpty():
-        to = state.select("part", F.col("key").alias("to"), F.col("entity").alias("to_entity"))
-        seen = links.join(state.filter("entity is null").select("part", "key"), ["part", "key"]).join(to, ["part", "to"])
-        founder = F.col("to_entity") == F.col("to")
-        told = seen.groupBy("part", "key").agg(
-            F.count_if(F.col("to_entity").isNull()).alias("open"),
-            F.count_if(founder).alias("founders"),
-            F.max(F.when(founder, F.struct("similarity"))).alias("best"),
-        )
-        best = seen.filter(founder).join(told.select("part", "key", F.col("best.similarity").alias("top")), ["part", "key"]).filter("similarity = top")
-        best = best.groupBy("part", "key").agg(F.min(F.struct("to_at", "to")).alias("first")).select("part", "key", F.col("first.to").alias("joins"))
-        done = told.filter("open = 0").join(best, ["part", "key"], "left").select("part", "key", F.coalesce("joins", "key").alias("new"))
-        state = written(state.join(done, ["part", "key"], "left").select("part", "key", F.coalesce("entity", "new").alias("entity")), "order")
-    return state.select(F.col("part").alias(part), F.col("key").alias(key), "entity")
+        return pa.table({"part": take("part", late), "key": take("key", late), "similarity": near[late, early], "to": take("key", early), "to_at": take("at", early)})
+
+    cuts = written(_cuts(full.select("part", "at")), "cuts")
+    batches = (cuts.agg(F.max(F.size("cuts"))).first()[0] or 0) + 1
+    dealt = full.join(cuts, "part").withColumn("batch", F.size(F.filter("cuts", lambda c: c < F.col("at")))).drop("cuts")
+    dealt = written(dealt, "batches") if batches > 1 else dealt
+    told, founders = [], None
+    for k in range(batches):
+        mine = dealt.filter(F.col("batch") == k).drop("batch")
+        near = None
+        if founders is not None:
+            near = written(_crossed(mine, founders, least, block, (group, kind, at)), "near")
+            told.append(near)
+            alone = written(mine.join(near.select("part", "key").distinct(), ["part", "key"], "left_anti"), "alone")
+        else:
+            alone = mine
+        cells = block_pairs(alone, "part", "key", block, "at", "vector")
+        links = written(cells.groupBy("part", "cell").applyInArrow(score, f"part {group}, key {kind}, similarity double, to {kind}, to_at {at}"), "links")
+        out = _independent(links)
+        fresh = written(alone.join(out, ["part", "key"], "left_anti").select("part", "key", "at", "vector"), "founders")
+        told.append(links.join(fresh.select("part", F.col("key").alias("to")), ["part", "to"], "left_semi").select("part", "key", "similarity", "to", "to_at"))
+        if near is not None:
+            told.append(_crossed(mine.join(near.select("part", "key").distinct(), ["part", "key"], "left_semi"), fresh, least, block, (group, kind, at)))
+        founders = fresh if founders is None else founders.unionByName(fresh)
+    joins = told[0]
+    for more in told[1:]:
+        joins = joins.unionByName(more)
+    first = F.min_by("to", F.struct((-F.col("similarity")).alias("s"), "to_at", "to"))
+    joins = joins.groupBy("part", "key").agg(first.alias("_to"))
+    state = slim.select("part", "key").join(joins, ["part", "key"], "left")
+    return state.select(F.col("part").alias(part), F.col("key").alias(key), F.coalesce("_to", "key").alias("entity"))

@@ -1,6 +1,7 @@
 """Entity resolution over whole labels, held to brute force over all pairs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillgrid import catalog
 from quillgrid.operators import graph
@@ -58,3 +59,33 @@ def test_order_against_a_plain_fold(spark):
     assert got == want and len(set(want.values())) < len(want)
     df = spark.createDataFrame([(1, 0, [1.0, 0.0], "p"), (2, 1, None, "p"), (3, 2, [1.0, 0.0], None)], "id long, pos int, v array<double>, part string")
     assert sorted((x.id, x.entity) for x in graph.resolved_in_order(df, "id", "pos", "v", "part").collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def slow_order(rows, least):
+    made, out = {}, {}
+    for k, v, p in rows:
+        best = max(((float(np.dot(m, v)), -n, own) for n, (own, m) in enumerate(made.get(p, []))), default=(-2.0, 0, 0))
+        out[k] = best[2] if best[0] > least else k
+        if out[k] == k:
+            made.setdefault(p, []).append((k, v))
+    return out
+
+
+def test_order_in_batches_and_few_rounds(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    rows = [(int(k), [float(x) for x in v / np.linalg.norm(v)], int(k) % 3 // 2) for k, v in enumerate(r.normal(size=(700, 8)))]
+    df = spark.createDataFrame([(k, v, p) for k, v, p in rows], "k long, v array<double>, p int").withColumn("pos", F.col("k") * 3)
+    want = slow_order(rows, 0.5)
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda x, name, own=graph.written: (rounds.append(name), own(x, name))[1])
+    for first, block in ((4096, 1024), (20, 16), (100, 64)):
+        rounds.clear()
+        monkeypatch.setattr(graph, "_FIRST", first)
+        assert {x.k: x.entity for x in graph.resolved_in_order(df, "k", "pos", "v", "p", 0.5, block).collect()} == want
+        assert rounds.count("links") == (1 if first > 1000 else 2 if first == 100 else 3 if first * 16 < 466 else 2) and rounds.count("open") < 15 * rounds.count("links")
+    monkeypatch.setattr(graph, "_FIRST", 4096)
+    chain = spark.createDataFrame([(k, [float(np.cos(k)), float(np.sin(k))], 0) for k in (x * 0.3 for x in range(12))], "k double, v array<double>, p int")
+    slow = slow_order([(x.k, list(x.v), 0) for x in chain.orderBy("k").collect()], 0.95)
+    assert {x.k: x.entity for x in graph.resolved_in_order(chain, "k", "k", "v", "p", 0.95).collect()} == slow
+    named = df.withColumn("pos", F.format_string("%09d", "k"))
+    assert {x.k: x.entity for x in graph.resolved_in_order(named, "k", "pos", "v", "p", 0.5).collect()} == want
