@@ -149,9 +149,13 @@ def utc(x: Column, zone: str = "UTC") -> Column:
 
 
 def groups_of(items: Column, size: int = 500) -> Column:
-    """An array cut into arrays of at most size."""
-    n = F.ceil(F.size(items) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(items, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+    """An array cut into arrays of at most size (X20). items may be any expression: it is computed once, not for each group."""
+
+    def cut(own: Column) -> Column:
+        n = F.ceil(F.size(own) / size).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(own, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    return F.get(F.transform(F.array(items), cut), 0)
 
 
 def stored_images(records: DataFrame, links: DataFrame) -> DataFrame:

@@ -50,3 +50,9 @@ def test_ivf_recall(spark):
     assert index.table.count() == e.count() == index.table.select("id").distinct().count()
     assert ivf.recall(ivf.search(index, q, 5, 8), e, q, 5) == 1.0
     assert ivf.recall(ivf.search(index, q, 5, 7), e, q, 5) >= 0.9  # the vectors have no clusters, so most cells count
+
+
+def test_groups_compute_their_array_once(spark):
+    df = spark.createDataFrame([(" ".join(["w"] * 9),), ("",), (None,)], "t string").select(lookups.groups_of(F.split("t", " "), 4).alias("g"))
+    assert [[len(x) for x in r.g] for r in df.collect()] == [[4, 4, 1], [1], []]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
