@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,12 @@ _COLUMNS = ["task", "run", "status", "steps", "started", "ended", "names"]
 SCHEMA = "task long, run int, status string, steps long, started long, ended long, names string"
 
 
+def _row(task: int, state: tuple, status: str, names: list[str]) -> tuple:
+    run, steps, started, ended, cancelled = state
+    gone = status == "cancelled"
+    return (task, run, status if status != "open" else "cancelling" if cancelled else "running", 0 if gone else steps, started, ended, "" if gone else ",".join(names[-SHOWN:]))
+
+
 class TaskRuns(StatefulProcessor):
     """A task's events (ts, event_id, kind, name) to its runs.
 
@@ -35,59 +42,64 @@ class TaskRuns(StatefulProcessor):
         self.count = handle.getValueState("count", "runs int")
         self.names = handle.getListState("names", "name string")
 
-    def _row(self, task: int, state: tuple, status: str) -> tuple:
-        run, steps, started, ended, cancelled = state
-        gone = status == "cancelled"
-        names = [] if gone else [n for (n,) in self.names.get()][-SHOWN:]
-        return (task, run, status if status != "open" else "cancelling" if cancelled else "running", 0 if gone else steps, started, ended, ",".join(names))
-
-    def _ended(self, task: int, state: tuple, status: str) -> tuple:
-        row = self._row(task, state, status)
-        self.handle.deleteTimer(state[3] // 1000 + IDLE_MS)
-        self.open.clear()
-        self.names.clear()
-        return row
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """State is read before a key's events and written after them, as each call to the store costs as much as many events."""
         task, out = key[0], []
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for at, kind, name in zip(events["ts"].astype("datetime64[us]").astype("int64"), events["kind"], events["name"], strict=True):
-            state = self.open.get() if self.open.exists() else None
+        frames = list(rows)
+        events = frames[0] if len(frames) == 1 else pd.concat(frames)
+        ats, ids = events["ts"].to_numpy().astype("datetime64[us]").astype("int64"), events["event_id"].to_numpy()
+        order = np.lexsort((ids, ats))
+        kinds, said = events["kind"].to_numpy()[order].tolist(), events["name"].to_numpy()[order].tolist()
+        before = state = self.open.get()
+        counted = self.count.get()
+        count = first = counted[0] if counted else 0
+        names = [n for (n,) in self.names.get()] if state is not None else []
+        for at, kind, name in zip(ats[order].tolist(), kinds, said, strict=True):
             if state is not None and at - state[3] > IDLE_MS * 1000:
-                out.append(self._ended(task, state, "expired"))
+                out.append(_row(task, state, "expired", names))
                 state = None
             if kind == "cancel":
                 if state is not None:
-                    self._keep(state, (*state[:3], at, True))
+                    state = (*state[:3], at, True)
                 continue
             if state is not None and state[4]:
-                out.append(self._ended(task, state, "cancelled"))
+                out.append(_row(task, state, "cancelled", names))
                 state = None
             if state is None:
-                runs = (self.count.get()[0] if self.count.exists() else 0) + 1
-                self.count.update((runs,))
-                new = (runs, 1, at, at, False)
+                count += 1
+                state, names = (count, 1, at, at, False), []
             else:
-                new = (state[0], state[1] + 1, state[2], at, False)
-            self.names.appendValue((name,))
-            self._keep(state, new)
+                state = (state[0], state[1] + 1, state[2], at, False)
+            names = [*names, name][-SHOWN:]
             if kind in ("done", "fail"):
-                out.append(self._ended(task, new, "done" if kind == "done" else "failed"))
-        if self.open.exists():
-            out.append(self._row(task, self.open.get(), "open"))
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-    def _keep(self, old: tuple | None, new: tuple) -> None:
-        if old is not None:
+                out.append(_row(task, state, "done" if kind == "done" else "failed", names))
+                state = None
+        if state is not None:
+            out.append(_row(task, state, "open", names))
+        if count != first:
+            self.count.update((count,))
+        self._keep(before, state, names)
+        yield pd.DataFrame(dict(zip(_COLUMNS, map(list, zip(*out)), strict=True)) if out else {c: [] for c in _COLUMNS}, columns=_COLUMNS)
+
+    def _keep(self, old: tuple | None, new: tuple | None, names: list[str]) -> None:
+        if old is not None and (new is None or new[3] // 1000 != old[3] // 1000):
             self.handle.deleteTimer(old[3] // 1000 + IDLE_MS)
-        self.open.update(new)
-        self.handle.registerTimer(new[3] // 1000 + IDLE_MS)
+        if new is not None:
+            self.open.update(new)
+            self.names.put([(n,) for n in names])
+            if old is None or new[3] // 1000 != old[3] // 1000:
+                self.handle.registerTimer(new[3] // 1000 + IDLE_MS)
+        elif old is not None:
+            self.open.clear()
+            self.names.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            state = self.open.get()
-            if state[3] // 1000 + IDLE_MS <= expiredTimerInfo.getExpiryTimeInMs():
-                yield pd.DataFrame([self._ended(key[0], state, "expired")], columns=_COLUMNS)
+        state = self.open.get()
+        if state is not None and state[3] // 1000 + IDLE_MS <= expiredTimerInfo.getExpiryTimeInMs():
+            row = _row(key[0], state, "expired", [n for (n,) in self.names.get()])
+            self.open.clear()
+            self.names.clear()
+            yield pd.DataFrame([row], columns=_COLUMNS)
 
     def close(self) -> None:
         pass
